@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, secret_scan, token_files, warc
+from . import byte_bpe, language_id, secret_scan, substring_dedup, suffix_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
         "op1_token_files": token_files.op1_token_files,
         "op2_language_id": language_id.op2_language_id,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op10_warc": warc.op10_warc,
     }
