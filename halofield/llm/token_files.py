@@ -14,9 +14,13 @@ doc_id are ordered by text and each keep their own entry; an empty table gives n
 from __future__ import annotations
 
 import os
+import re
+import sys
 import tempfile
+import types
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,46 +34,59 @@ MANIFEST = "shard int, path string, id_bits int, n_docs long, n_tokens long"
 ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def word_encoder(path: str, keep: int = 400_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+TAIL = re.compile(r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)([.,;:!?]+)")
+
+
+def held() -> dict:
+    """What a Python worker keeps from task to task."""
+    return sys.modules.setdefault("halofield_held", types.ModuleType("halofield_held")).__dict__
+
+
+def word_encoder(path: str, keep: int = 150_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """Encode arrays of texts with a tokenizer whose matches never span white space.
 
     White space is dropped by such a tokenizer and no match, merge or special token crosses it, so
-    the ids of a text are those of its words in order. Each distinct word is encoded once and kept
-    (at most ``keep`` words at a time). Returns the counts and the ids of all texts.
+    the ids of a text are those of its words in order; likewise a word of ASCII letters and other
+    characters beyond ASCII, followed by marks like `.`, has the ids of both parts. Each distinct
+    word is encoded once and kept (at most ``keep`` at a time, for the worker's next tasks too).
+    Returns the counts and the ids of all texts.
     """
+    if (path, keep) in held():
+        return held()[path, keep]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    place: dict[str, int] = {}
-    ids: list[np.ndarray] = []
-    state = {"lens": np.zeros(0, np.int64), "flat": np.zeros(0, np.uint32)}
+    known: dict[str, list[int]] = {}
+
+    def learn(words: list[str]) -> None:
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            known.update(zip(part, [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # such strings can be special tokens in lower case only
+            texts = pc.ascii_lower(texts)
         words = pc.ascii_split_whitespace(texts)
         sizes = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        if len(place) > keep:
-            place.clear()
-            ids.clear()
-            state.update(lens=np.zeros(0, np.int64), flat=np.zeros(0, np.uint32))
-        new = [w for w in known if w not in place]
-        if new:
-            found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-            state["lens"] = np.concatenate([state["lens"], np.fromiter(map(len, found), np.int64, len(found))])
-            state["flat"] = np.concatenate([state["flat"], np.fromiter((i for f in found for i in f), np.uint32)])
-        lens, flat = state["lens"], state["flat"]
-        starts = np.cumsum(lens) - lens
-        at = np.fromiter((place[w] for w in known), np.int64, len(known))[coded.indices.to_numpy()]
+        distinct = coded.dictionary.to_pylist()
+        if len(known) > keep:
+            known.clear()
+        cut = {w: m for w in distinct if w not in known and (m := TAIL.fullmatch(w)) and m[1][-1].isalpha()}
+        learn(list({x for w in distinct if w not in known for x in (cut[w].groups() if w in cut else (w,)) if x not in known}))
+        ids = [known[w] if w not in cut else known[cut[w][1]] + known[cut[w][2]] for w in distinct]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
+        at = coded.indices.to_numpy()
         counts = lens[at]
         ends = np.cumsum(counts)
-        take = np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        take = np.repeat((np.cumsum(lens) - lens)[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
         upto = np.concatenate([[0], ends])
         edges = np.concatenate([[0], np.cumsum(sizes)])
         return upto[edges[1:]] - upto[edges[:-1]], flat[take]
 
+    held()[path, keep] = encode
     return encode
 
 
