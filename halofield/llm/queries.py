@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, secret_scan, substring_dedup, suffix_dedup, token_files, warc
+from . import byte_bpe, decontaminate, fingerprints, language_id, minhash_dedup, secret_scan, substring_dedup, suffix_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +18,13 @@ def queries() -> dict[str, Query]:
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
         "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.ORACLE}
