@@ -56,7 +56,7 @@ def densified(bins: np.ndarray, full: np.ndarray) -> np.ndarray:
     row, at = np.nonzero(~full & full.any(axis=1, keepdims=True))
     attempt, out = 0, bins.copy()
     while len(row):
-        donor = (mix(at.astype(np.uint64) * U(0x10001) + U(attempt) * U(0x9E3779B97F4A7C15) + U(1)) % U(k)).astype(np.int64)
+        donor = (mix(at.astype(np.uint64) * U(0x10001) + U((attempt * 0x9E3779B97F4A7C15 + 1) % (1 << 64))) % U(k)).astype(np.int64)
         found = full[row, donor]
         out[row[found], at[found]] = bins[row[found], donor[found]]
         row, at, attempt = row[~found], at[~found], attempt + 1
