@@ -14,12 +14,11 @@ doc_id are ordered by text and each keep their own entry; an empty table gives n
 from __future__ import annotations
 
 import os
-import re
 import sys
 import tempfile
 import types
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,7 +33,9 @@ MANIFEST = "shard int, path string, id_bits int, n_docs long, n_tokens long"
 ENTRIES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-TAIL = re.compile(r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)([.,;:!?]+)")
+#: A mark at the end of a word of Latin letters, and what follows it (RE2).
+MARKS = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?]+)([ \t\n\v\f\r]|$)"
+LATIN = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 
 
 def held() -> dict:
@@ -42,52 +43,76 @@ def held() -> dict:
     return sys.modules.setdefault("halofield_held", types.ModuleType("halofield_held")).__dict__
 
 
-def word_encoder(path: str, keep: int = 150_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """Encode arrays of texts with a tokenizer whose matches never span white space.
+class WordEncoder:
+    """Encodes arrays of texts with a tokenizer whose matches never span white space.
 
     White space is dropped by such a tokenizer and no match, merge or special token crosses it, so
-    the ids of a text are those of its words in order; likewise a word of ASCII letters and other
-    characters beyond ASCII, followed by marks like `.`, has the ids of both parts. Each distinct
-    word is encoded once and kept (at most ``keep`` at a time, for the worker's next tasks too).
-    Returns the counts and the ids of all texts.
+    the ids of a text are those of its words in order; likewise a Latin letter and a mark such as a
+    full stop at the end of a word never share a match, so a space may part them. Each distinct word
+    is encoded once and kept, at most ``keep`` at a time. Words of Latin letters alone are one match
+    each; they are encoded many at a time and told apart by the number of the match.
     """
-    if (path, keep) in held():
-        return held()[path, keep]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, list[int]] = {}
-
-    def learn(words: list[str]) -> None:
+    def __init__(self, path: str, keep: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.lens, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words: pa.Array) -> None:
+        """Encode new words; simple ones first, in the order in which they are kept."""
+        simple = pc.match_substring_regex(words, LATIN)
+        plain, rest = words.filter(simple), words.filter(pc.invert(simple)).to_pylist()
+        lens, flat = [self.lens], [self.flat]
+        for a in range(0, len(plain), 500):
+            part = plain.slice(a, 500).to_pylist()
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            of = np.array(found.word_ids, np.int64)
+            if len(of) and of.max() + 1 == len(part) and (np.diff(of) >= 0).all():
+                lens.append(np.bincount(of, minlength=len(part)))
+                flat.append(np.array(found.ids, np.uint32))
+            else:
+                self.singly(part, lens, flat)
+        self.singly(rest, lens, flat)
+        self.words = pa.concat_arrays([self.words, plain, pa.array(rest, pa.string())])
+        self.lens, self.flat = np.concatenate(lens), np.concatenate(flat)
+
+    def singly(self, words: list[str], lens: list[np.ndarray], flat: list[np.ndarray]) -> None:
         for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
-            known.update(zip(part, [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # such strings can be special tokens in lower case only
-            texts = pc.ascii_lower(texts)
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + 2000], add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and the ids of all."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # such strings can be special tokens, in lower case only
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2\3")
         words = pc.ascii_split_whitespace(texts)
         sizes = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(known) > keep:
-            known.clear()
-        cut = {w: m for w in distinct if w not in known and (m := TAIL.fullmatch(w)) and m[1][-1].isalpha()}
-        learn(list({x for w in distinct if w not in known for x in (cut[w].groups() if w in cut else (w,)) if x not in known}))
-        ids = [known[w] if w not in cut else known[cut[w][1]] + known[cut[w][2]] for w in distinct]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
-        at = coded.indices.to_numpy()
-        counts = lens[at]
+        if len(self.words) > self.keep:
+            self.forget()
+        new = coded.dictionary.filter(pc.is_null(pc.index_in(coded.dictionary, self.words)))
+        if len(new):
+            self.learn(new)
+        at = pc.index_in(coded.dictionary, self.words).to_numpy()[coded.indices.to_numpy()]
+        counts = self.lens[at]
         ends = np.cumsum(counts)
-        take = np.repeat((np.cumsum(lens) - lens)[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        upto = np.concatenate([[0], ends])
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        return upto[edges[1:]] - upto[edges[:-1]], flat[take]
+        starts = np.cumsum(self.lens) - self.lens
+        take = np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        upto, edges = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(sizes)])
+        return upto[edges[1:]] - upto[edges[:-1]], self.flat[take]
+
 
-    held()[path, keep] = encode
-    return encode
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a tokenizer."""
+    if path not in held():
+        held()[path] = WordEncoder(path)
+    return held()[path]
 
 
 def with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +125,7 @@ def with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarr
     return counts + 1, out
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_bits: int = 16, rows_at_once: int = 1000) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_bits: int = 16, rows_at_once: int = 2000) -> DataFrame:
     """Write the shards of docs(doc_id, text) into folder; returns their manifest, one row a shard.
 
     One range exchange on (doc_id, text) brings the documents in order; each task writes its range
