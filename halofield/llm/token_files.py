@@ -8,7 +8,7 @@ Shards are ranges of doc_id in ascending order (nulls first), so the place of a
 corpus is the prefix sum of the counts before it. Readers map the files into memory.
 
 Rules for unusual rows: a null text counts as empty and gives the end id only; rows that repeat a
-doc_id are ordered by text and each keep their own entry; an empty table gives no shards and no rows.
+doc_id are ordered by a hash of the text, then by the text, and each keep their own entry; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -125,10 +125,10 @@ def with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarr
     return counts + 1, out
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_bits: int = 16, rows_at_once: int = 2000) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_bits: int = 16, rows_at_once: int = 700) -> DataFrame:
     """Write the shards of docs(doc_id, text) into folder; returns their manifest, one row a shard.
 
-    One range exchange on (doc_id, text) brings the documents in order; each task writes its range
+    One range exchange on (doc_id, hash of the text) brings the documents in order; each task writes its range
     as one shard, document by document. Files appear under their names only when they are whole,
     and a task that runs again writes the same bytes.
     """
@@ -168,11 +168,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             f.write(np.concatenate(doc_ids).astype("<i8").tobytes() + np.concatenate(nulls).astype("u1").tobytes())
         for end in (".idx", ".doc", ".bin"):
             store.move(tmp + end, base + end)
+        pa.default_memory_pool().release_unused()
         row = {"shard": [shard], "path": [base], "id_bits": [id_bits], "n_docs": [len(n)], "n_tokens": [int(n.sum())]}
         yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("id_bits", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the bounds of the ranges come from a sample of the keys that Spark takes to the driver: a hash of the text keeps it small
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
