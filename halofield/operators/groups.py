@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import last_argmax, softmax
+from ..sources.store import written
 from .matrix import squared_distances
 
 
@@ -77,14 +76,16 @@ def programs(correlations: DataFrame, genes: DataFrame, threshold: float) -> Dat
     size, then by their first gene.
     """
     edge = correlations.where(F.abs("r") >= threshold).select("a", "b")
-    both = edge.union(edge.select("b", "a")).distinct().persist()
-    label = genes.select(F.col("gene").alias("node"), F.col("gene").alias("label"))
-    for _ in range(2 + math.ceil(math.log2(max(2, genes.count())))):
+    both = written(edge.union(edge.select("b", "a")).distinct())
+    label = written(genes.select(F.col("gene").alias("node"), F.col("gene").alias("label")).distinct())
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = label.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        label = step.join(jump, "label").select("node", F.least("label", "to").alias("label"))
-        label = label.persist()
+        step = label.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("to"))
+        jumped = step.join(label.select(F.col("node").alias("to"), F.col("label").alias("beyond")), "to")
+        new = written(jumped.select("node", "was", F.least("to", "beyond").alias("label")))
+        label = new.select("node", "label")
+        if not new.where("label <> was").take(1):
+            break
     sizes = label.groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
     order = sizes.select("label", F.struct((-F.col("size")).alias("s"), "label").alias("k"))
     number = order.alias("p").join(order.alias("q"), F.col("q.k") < F.col("p.k"), "left").groupBy(F.col("p.label").alias("label")).agg(F.count("q.label").alias("program"))
