@@ -1,0 +1,306 @@
+"""Each operator against a plain computation on a small table with nulls, empty and long texts, copies and ties."""
+
+import base64
+import hashlib
+import random
+import struct
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from halofield.llm import byte_bpe, decontaminate, exchange, fingerprints, language_id, minhash_dedup, secret_scan, substring_dedup, suffix_dedup, token_files, warc
+
+P = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, chunk int, spans int, kept int"
+
+
+def corpus():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeéñ") for _ in range(rng.randint(1, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared, base = prose(60), prose(300)
+    near = base.split()
+    near[7], near[150] = "changed", "words"
+    texts = [None, "", " \t\n", "x", "Two words", shared, prose(40) + " " + shared + "\n" + prose(30), prose(20) + "  " + shared, base, base, " ".join(near), base + " tail", "ab " * 400, prose(4000), "a" * 3000, prose(3), prose(4), prose(5), "ÀÉ ß 😀 " * 50, shared.upper()]
+    rows = [(i, t, ["en", "fr", None][i % 3], "s", 0, "x", 1, 2, 3) for i, t in enumerate(texts)]
+    return [*rows, (None, base, "en", "s", 0, "x", 1, 2, 3), (5, shared, "fr", "s", 0, "x", 1, 2, 3)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_token_files(docs, none, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = token_files.token_files(docs, path, 2).orderBy("start").collect()
+    texts, start = Counter((r[0], r[1]) for r in corpus()), 0
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
+    want = Counter()
+    for (d, text), n in texts.items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want[d, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += n
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    assert token_files.token_files(none, path, 2).collect() == []
+
+
+def test_word_encoder_is_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, texts = Tokenizer.from_file(path), ["It's a <|endoftext|> x", "naïve. Café; don't!! (a.) b.c 12.5, ÉCOLE.", "…. ?. a…. ß. İ. x y. é. ́a", "", "<|STARTOFTEXT|>", "A.b. C,d, e's. f'll; g'."]
+    for some in (texts, texts[1:4], texts[5:]):
+        encoder = token_files.WordEncoder(path, keep=3)
+        for _ in range(2):
+            counts, ids = encoder(pa.array(some))
+            assert ids.tolist() == [i for x in some for i in t.encode(x, add_special_tokens=False).ids]
+            assert counts.tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in some]
+
+
+def test_byte_bpe(docs, none):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in corpus():
+        ids = e.encode_ordinary(r[1] or "")
+        want.append((r[0], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    assert rows(byte_bpe.round_trip(docs, path, P.PATTERN)) == sorted(want, key=repr)
+    assert byte_bpe.round_trip(none, path, P.PATTERN).collect() == []
+    back = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, P.PATTERN), path, P.PATTERN)
+    assert rows(back.select("doc_id", F.col("bytes").cast("string"))) == sorted([(r[0], r[1] or "") for r in corpus()], key=repr)
+    small, text = byte_bpe.ByteBPE(path, P.PATTERN, piece=7), "Don't  cut\n\n here 's  .. 12 é😀  \t x" * 20
+    assert small.encode(text) == e.encode_ordinary(text)
+
+
+def test_language_id(spark, none):
+    rng = random.Random(1)
+    vocabulary = {"aa": ["loro", "mira", "tosa", "vel"], "bb": ["kniv", "stork", "wald", "zehn"]}
+    made = [(i, " ".join(rng.choice(vocabulary[k]) for _ in range(rng.randint(30, 200))), k) for i in range(120) for k in [("aa", "bb")[i % 2]]]
+    odd = [(900, None, "aa"), (901, "123 !!", "bb"), (902, "", None), (None, made[0][1], None)]
+    df = spark.createDataFrame(made + odd, "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert len(got) == 124 and all(got[i].lang_pred == k for i, _, k in made)
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].accepted for i in (900, 901, 902))
+    assert got[None].lang_pred == "aa"
+    assert language_id.identify(none).collect() == []
+    assert {r.lang_pred for r in language_id.predict(df, []).collect()} == {"und"}
+
+
+def brute_cover(items, n):
+    seen = Counter(s[i : i + n] for s in items for i in range(len(s) - n + 1))
+    out = []
+    for s in items:
+        gone = bytearray(len(s))
+        for i in range(len(s) - n + 1):
+            if seen[s[i : i + n]] > 1:
+                gone[i : i + n] = b"\1" * n
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "many", "piece"), [(8_000_000, 256, 1 << 20), (3_000, 2, 900)])
+def test_suffix_dedup(docs, none, monkeypatch, chunk, many, piece):
+    monkeypatch.setattr(exchange, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "buckets_for", lambda *a: 4)
+    texts = [(r[1] or "").encode() for r in corpus()]
+    want = []
+    for r, t, gone in zip(corpus(), texts, brute_cover(texts, 200)):
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        want.append((r[0], len(t), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(kept).hexdigest()))
+    assert rows(suffix_dedup.repeated_bytes(docs, chunk_bytes=chunk).drop("spans")) == sorted(want, key=repr)
+    assert suffix_dedup.repeated_bytes(none).collect() == []
+
+
+def test_suffix_sort_is_a_suffix_sort():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 99, 2000).astype(np.uint8)
+    start, length = rng.permutation(1900)[:500], 60
+    segment = np.sort(rng.integers(0, 9, 500))
+    order = suffix_dedup.suffix_sort(raw, exchange.Prefix(exchange.BYTE[raw]), start, segment, length)
+    text = raw.tobytes()
+    assert (segment[order] == segment).all()
+    keys = [(segment[i], text[start[i] : start[i] + length]) for i in order]
+    assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("chunk", [8_000_000, 3_000])
+def test_substring_dedup(docs, none, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "buckets_for", lambda *a: 4)
+    words = [tuple((r[1] or "").encode().split()) for r in corpus()]
+    want = []
+    for r, w, gone in zip(corpus(), words, brute_cover(words, 35)):
+        want.append((r[0], len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+    assert rows(substring_dedup.repeated_passages(docs, chunk_bytes=chunk).drop("spans")) == sorted(want, key=repr)
+    assert substring_dedup.repeated_passages(none).collect() == []
+
+
+def brute_components(table, n, percent):
+    sets = []
+    for d, t in table:
+        w = (t or "").encode().lower().split()
+        sets.append((d, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())))
+    ids = sorted(d for d, s in sets if d is not None)
+    label = {d: d for d in ids}
+    pairs = [(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if None not in (a, b) and s and t and 100 * len(s & t) >= percent * len(s | t)]
+    for _ in ids:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return sets, label
+
+
+def test_minhash_dedup(spark, docs, none):
+    table = [(r[0], r[1]) for r in corpus()]
+    sets, label = brute_components(table, 4, 80)
+    want = [(d, len(s), label.get(d), d is None or d == label[d]) for d, s in sets]
+    assert rows(minhash_dedup.near_duplicates(docs, words=4)) == sorted(want, key=repr)
+    assert minhash_dedup.near_duplicates(none).collect() == []
+
+
+def test_minhash_dedup_near_the_threshold(spark):
+    """Copies that are like their origin, but often not like each other: every component must still be whole."""
+    rng, table = random.Random(9), []
+    for group in range(6):
+        origin = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for k in range(25):
+            w = list(origin)
+            for p in rng.sample(range(120), rng.randint(0, 4)):
+                w[p] = f"v{rng.randrange(10**6)}"
+            table.append((group * 25 + k, " ".join(w)))
+    sets, label = brute_components(table, 4, 80)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), words=4)
+    assert {r.doc_id: r.component_id for r in got.collect()} == label
+
+
+def test_secret_scan(spark, none):
+    key, lone = "AKIA" + "B" * 16, "aB3" + "x" * 37
+    far = " " * 400
+    texts = [None, "", f"password = 'longenough' {key}", "token: short", "x" + "0af" * 11, f"https://a.b/c {far} {lone}", f"user=bob {lone} https://a.b/c", f"client_id: abc{far}password=abcdefgh1", "API_KEY:\"abcd/efgh=\" ſecret=abcdefghi paſsword=abcdefghi", key[:10], "éé " + "password=" + "z" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.scan_documents(df).collect()}
+    assert [got[i].spans for i in (0, 1, 3, 5, 9)] == [""] * 5
+    assert got[2].spans == "assign:0:22,access:24:44" and (got[2].n_assign, got[2].n_access, got[2].n_hex) == (1, 1, 0)
+    assert got[2].base_sha256 == hashlib.sha256(b"assign:0:22,access:24:44").hexdigest()
+    assert got[4].spans == "hex:1:34"
+    assert got[6].spans == "identifier:0:8,secret:9:49,endpoint:50:63" and got[6].n_linked == 3
+    assert got[7].spans.startswith("assign:") and "identifier" not in got[7].spans
+    assert got[8].n_assign == 1 and got[10].spans == "assign:3:21"
+    assert secret_scan.scan_documents(none).collect() == []
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert clean[2] == "[assign]' [access]" and clean[0] is None and clean[3] == texts[3] and clean[10] == "éé [assign]"
+
+
+def test_near_is_an_interval_join():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    start = rng.integers(0, 3000, 300)
+    end = start + rng.integers(1, 60, 300)
+    others = rng.random(300) < 0.1
+    want = [not others[i] and any(others[j] and start[j] <= end[i] + 20 and end[j] >= start[i] - 20 for j in range(300)) for i in range(300)]
+    assert secret_scan.near(start, end, others, 20).tolist() == want
+
+
+def test_decontaminate(spark, docs, none):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"w{rng.randrange(1000)}" for _ in range(n))
+    items = [(0, prose(30)), (1, prose(8)), (2, None), (3, "one two"), (4, prose(50)), (4, prose(50)), (5, "")]
+    half = items[4][1].split()
+    table = [(0, prose(3000) + " " + items[0][1].upper() + ". " + prose(10)), (1, prose(9)), (2, items[1][1]), (3, " ".join(half[:46]) + " gap " + prose(5)), (4, " ".join(half[:25])), (5, None), (6, "One, two"), (None, items[0][1]), (0, prose(40)), (2, items[1][1])]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("_text_key", F.lit("x"))
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
+    got = sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contaminated(df, b).collect()), key=repr)
+    assert got == sorted([(0, 0, 26, 26), (2, 1, 4, 4), (3, 4, 46, 42), (6, 3, 1, 1), (None, 0, 26, 26)], key=repr)
+    left = decontaminate.decontaminated(df, b)
+    assert left.columns == df.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == ["0", "1", "4", "5"]
+    assert decontaminate.contaminated(none, b).collect() == [] and decontaminate.contaminated(df, b.limit(0)).collect() == []
+
+
+def test_decontaminate_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(1000)}" for _ in range(20))) for i in range(5)]
+    table = [(i, f"a b {t} c d") for i, t in items]
+    got = decontaminate.contaminated(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(5)]
+
+
+def test_fingerprints(spark, docs, none):
+    got = fingerprints.fingerprints(docs).collect()
+    table = corpus()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in table)
+    distinct = {(r[0], r[1] or "") for r in table}
+    by_text = {}
+    for d, t in distinct:
+        prints = {r.fingerprint for r in got if r.doc_id == d and r.n_chars == len(t)}
+        assert len(prints) == 1
+        assert by_text.setdefault(t, prints) == prints
+    order = sorted(distinct, key=lambda x: -1 if x[0] is None else x[0], reverse=True)
+    at = {}
+    for (d, t), (_, nxt) in zip(order, [*order[1:], order[0]]):
+        at[d] = hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
+    assert {r.doc_id: r.edited_sha256 for r in got} == at
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert next(r for r in got if r.doc_id == 9).near_next == 1.0
+    assert fingerprints.fingerprints(none).collect() == []
+    one = fingerprints.fingerprints(spark.createDataFrame([(1, "abcd ef")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_fingerprint_estimates(spark):
+    rng, table = random.Random(8), []
+    for i in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 400, 2000]))]
+        v = [x if rng.random() > 0.03 else "new" for x in w]
+        table.append((i, " ".join(w), " ".join(v)))
+    df = fingerprints.fingerprint(fingerprints.fingerprint(spark.createDataFrame(table, "i int, a string, b string"), "a", "pa"), "b", "pb")
+    gaps = []
+    for r in df.select("a", "b", fingerprints.likeness("pa", "pb").alias("s")).collect():
+        s, t = ({tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)} for x in (r.a, r.b))
+        gaps.append(r.s - len(s & t) / len(s | t))
+    assert abs(sum(gaps) / len(gaps)) < 0.02 and max(map(abs, gaps)) < 0.2
+
+
+def test_warc(spark, tmp_path):
+    long_ = "<p>" + "é\r\n" * 40_000
+    table = [(3, "http://a/b c", "same"), (1, "http://a/1", "same"), (2, None, None), (5, "u\r\nX: y", long_), (6, "v", long_), (6, "v", long_), (None, "w", "same"), (None, None, long_), (9, "z", "")]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").withColumn("first", F.lit(1))
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=repr)
+    first, want = {"same": 1, "": 2, long_: 5}, []
+    for p, _, h in table:
+        raw = (h or "").encode()
+        again = p is not None and p != first[h or ""]
+        want.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None))
+    assert got == sorted(want, key=repr)
+    assert {r.record_type for r in warc.round_trip(df, least=10**7).collect()} == {"response"}
+    assert warc.round_trip(df.limit(0)).collect() == []
+    assert warc.unchunked(warc.chunked(b"abc" * 9999, 100)) == b"abc" * 9999
+
+
+def test_warc_broken_segments_fail(spark):
+    seg = [(1, "response", None, "o", None, 1, None, None, "x", b"a"), (1, "continuation", None, "p", "o", 3, 2, None, "x", b"b")]
+    with pytest.raises(Exception, match="segments missing"):
+        warc.reassemble(spark.createDataFrame(seg, warc.RECORD)).collect()
