@@ -8,11 +8,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ZERO_WIDTH = "[​‌‍﻿]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_name(v: pd.Series) -> pd.Series:
     """Compatibility form of Unicode, without zero-width characters and outer white space."""
     return v.map(lambda s: None if s is None else re.sub(ZERO_WIDTH, "", unicodedata.normalize("NFKC", s)).strip())
@@ -54,4 +55,4 @@ def flag_by_parts(text: Column, prefixes: tuple[str, ...] = (), parts: tuple[str
 
 def split_list(text: Column, separator: str = ";") -> Column:
     """The trimmed, non-empty parts of a list in a string; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), re.escape(separator)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), re.escape(separator)), lambda s: F.trim(s)), lambda s: s != "")

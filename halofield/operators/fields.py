@@ -67,7 +67,7 @@ def dense_field(cells: DataFrame, kernel: ReactionDiffusion, radius: float, dims
 
     def multiply(receivers: pd.DataFrame, senders: pd.DataFrame) -> pd.DataFrame:
         if not len(receivers) or not len(senders):
-            return pd.DataFrame({"cell": [], "field": []})
+            return pd.DataFrame({"cell": pd.Series([], dtype="int64"), "field": pd.Series([], dtype=object)})
         values = np.stack(senders["v"].to_numpy())
         out = []
         for a in range(0, len(receivers), block):

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def composition(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -86,7 +87,7 @@ def tie_averaged(scores: DataFrame, by: list[str], score: str, positive: str, re
     return scores.select(*by, score, positive).groupBy(*by).applyInPandas(average, f"{kinds}, average_precision double, mrr double, mean_rank double")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided p of the table [[a, b], [c, d]]: all tables at most as likely, with a relative slack of 1e-10."""
     n = int((a + b + c + d).max()) if len(a) else 0
@@ -133,7 +134,7 @@ def rank_sum(df: DataFrame, value: str, inside: str, by: list[str]) -> DataFrame
     return n.withColumn("z", z).withColumn("p", two_sided("z")).select(*by, "n1", "n2", "u", "z", "p")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
 

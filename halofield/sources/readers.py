@@ -142,7 +142,7 @@ def relations(table: DataFrame, measured: DataFrame, separator: str = ";") -> Da
 
 def paths(table: DataFrame, column: str, separator: str = " -> ") -> DataFrame:
     """table with position and node of each step of a path string; blank paths give none."""
-    nodes = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), F.trim), lambda s: s != "")
+    nodes = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), lambda s: F.trim(s)), lambda s: s != "")
     return table.select("*", F.posexplode(nodes).alias("position", "node"))
 
 
