@@ -18,7 +18,8 @@ def attributed(edges: DataFrame, triplets: DataFrame, expression: DataFrame, mem
     sent = expression.where("value > 0").select(F.col("cell").alias("sender"), F.col("gene").alias("source"), "value")
     got = membership.where("p > 0").select(F.col("cell").alias("receiver"), "receiver_group", "p").join(F.broadcast(triplets), "receiver_group")
     got = got.join(residual.select(F.col("cell").alias("receiver"), F.col("gene").alias("target"), "z"), ["receiver", "target"])
-    e = edges.join(sent, "sender").join(got, ["receiver", "source"]).join(F.broadcast(scale), "source")
+    # the receivers' groups name the few sources that matter, so they come before the senders' values
+    e = edges.join(got, "receiver").join(sent, ["sender", "source"]).join(F.broadcast(scale), "source")
     part = F.col("p") * F.col("signed_beta") * F.col("weight") * F.col("value") / F.col("sd")
     e = e.withColumn("signed_contribution", part).withColumn("influence_score", F.abs("signed_contribution") * F.least(F.abs("z"), F.lit(clip)) / clip)
     finite = ~F.isnan("influence_score") & (F.col("influence_score") < float("inf"))

@@ -27,6 +27,10 @@ def radius_join(receivers: DataFrame, senders: DataFrame, radius: float, dims: i
     one table; a cell is paired with itself only with self_pairs.
     """
     axes = AXES[:dims]
+    # Positions are few bytes and their pairs many rows, and a small table is one file and one task; so both
+    # sides are dealt out evenly first. The join's own exchange, if it has one, can still be split by skew.
+    n = int(receivers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    receivers, senders = receivers.select("cell", *axes).repartition(n), senders.select("cell", *axes).repartition(n)
     r = receivers.select(F.col("cell").alias("receiver"), *(F.col(a).cast("double").alias(f"r{a}") for a in axes), *bins(receivers, radius, dims))
     near = F.array(*(F.struct(*(F.lit(o).cast("long").alias(f"d{a}") for a, o in zip(axes, offset))) for offset in product((-1, 0, 1), repeat=dims)))
     s = senders.select(F.col("cell").alias("sender"), *(F.col(a).cast("double").alias(f"s{a}") for a in axes), *bins(senders, radius, dims), F.explode(near).alias("o"))
