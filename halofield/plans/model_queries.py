@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import ReactionDiffusion
 from ..operators import edges as edge_ops
-from ..operators import effects, fields, groups, matrix, ranking, spatial
+from ..operators import effects, fields, groups, matrix, ranking, spatial, transformer
 from . import analysis
 from .analysis import Analysis
 from .registry import CELLS, EDGES, EXPR, LENGTH, MIN_DISTANCE, RADIUS, RESIDUAL, cells, expression, query, r, residual, table
@@ -215,3 +215,13 @@ def group_count_selection(spark: SparkSession, sf: str) -> DataFrame:
 def association_scores(spark: SparkSession, sf: str) -> DataFrame:
     _, y = standard(spark, sf)
     return y.join(cells(spark, sf).select("cell", "group"), "cell").groupBy("group", F.col("gene").alias("target")).agg(r(F.avg(F.col("z") * F.col("z")), 4).alias("target_score"))
+
+
+@query("ml01_masked_gene_model")
+def masked_gene_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Standardize, train for three epochs, infer: each cell's mean square residual and first embedding entry."""
+    v = analysis.wide(matrix.standardized(expression(spark, sf), "value", ["gene"], floor=1e-6), "z", "v")
+    m = transformer.Model(genes=12, width=8, inner=16, heads=2, layers=1)
+    weights, _ = transformer.train(v, m, epochs=3, rate=0.01)
+    square = F.aggregate("residual", F.lit(0.0), lambda s, x: s + x * x) / 12
+    return transformer.infer(v, m, weights).select("cell", r(square, 4).alias("residual_square"), r(F.col("embedding")[0], 4).alias("embedding_0"))
