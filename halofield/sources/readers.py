@@ -115,6 +115,19 @@ def read_headed(spark: SparkSession, path: str, schema: str, separator: str = ",
     return have.select(*(F.col(f"`{n}`").cast(t).alias(n) for n, t in fields))
 
 
+def read_edges(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
+    """(cluster, source, target, sender, receiver, distance) of a headed edge table, its cell ids resolved.
+
+    cells(cell, cell_id); an id that it lacks is an error where the row is read.
+    """
+    from ..operators.ranking import looked_up
+
+    e = read_headed(spark, path, "cluster int, source_gene string, target_gene string, source_cell_id string, receiver_cell_id string, distance double")
+    e = looked_up(e.withColumnRenamed("source_cell_id", "cell_id"), cells.select("cell_id", F.col("cell").alias("sender")), "cell_id").drop("cell_id")
+    e = looked_up(e.withColumnRenamed("receiver_cell_id", "cell_id"), cells.select("cell_id", F.col("cell").alias("receiver")), "cell_id").drop("cell_id")
+    return e.select("cluster", F.col("source_gene").alias("source"), F.col("target_gene").alias("target"), "sender", "receiver", "distance")
+
+
 def read_selected_betas(spark: SparkSession, path: str) -> DataFrame:
     """(receiver_group, source, target, signed_beta) of the selected rows; of repeated keys the last line wins."""
     rows = lines(spark, path)

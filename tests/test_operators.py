@@ -330,6 +330,11 @@ def test_relations_and_betas(spark, tmp_path):
     assert [(r.ligand, r.receptor, r.databases) for r in readers.relations(t, have).collect()] == [(["a", "b"], ["c"], ["d1", "d2"])]
     (tmp_path / "b.csv").write_text("receiver_group,source_gene,target_gene,signed_beta,selected\n0,a,b,0.5,true\n0,a,b,0.7,1\n0,a,c,0.1,false\n")
     assert [tuple(r) for r in readers.read_selected_betas(spark, f"{tmp_path}/b.csv").collect()] == [(0, "a", "b", 0.7)]
+    (tmp_path / "e.csv").write_text("cluster,source_gene,target_gene,source_cell_id,receiver_cell_id,distance\n1,a,b,x,y,0.5\n")
+    ids = spark.createDataFrame([(0, "x"), (1, "y")], "cell long, cell_id string")
+    assert [tuple(r) for r in readers.read_edges(spark, f"{tmp_path}/e.csv", ids).collect()] == [(1, "a", "b", 0, 1, 0.5)]
+    with pytest.raises(Exception, match="unknown cell_id: y"):
+        readers.read_edges(spark, f"{tmp_path}/e.csv", ids.limit(1)).collect()
     p = readers.paths(spark.createDataFrame([(1, "A -> B -> C"), (2, " ")], "i int, path string"), "path")
     assert [(r.i, r.position, r.node) for r in p.orderBy("position").collect()] == [(1, 0, "A"), (1, 1, "B"), (1, 2, "C")]
 
