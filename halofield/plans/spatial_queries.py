@@ -46,11 +46,11 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.knn_join(c, c, 6).select("receiver", "sender", r("distance").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("jn04_radius_join_two_sets", f"WITH {CELLS}, {EXPR} SELECT a.cell AS receiver, b.cell AS sender, round(sqrt({GAP2}), 6) + 0 AS distance FROM (SELECT * FROM cells WHERE grp % 2 = 0) a JOIN (SELECT * FROM cells WHERE cell IN (SELECT cell FROM expr WHERE gene = 1 AND value > 0)) b ON a.cell <> b.cell AND {GAP2} <= 0.15e0 * 0.15e0")
+@query("jn04_radius_join_two_sets", f"WITH {CELLS}, {EXPR} SELECT a.cell AS receiver, b.cell AS sender, round(sqrt({GAP2}), 6) + 0 AS distance FROM (SELECT * FROM cells WHERE grp < 5) a JOIN (SELECT * FROM cells WHERE cell IN (SELECT cell FROM expr WHERE gene = 1 AND value > 0)) b ON a.cell <> b.cell AND {GAP2} <= 0.15e0 * 0.15e0")
 def two_sets(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
     senders = c.join(expression(spark, sf).where("gene = 1 and value > 0"), "cell", "left_semi")
-    return spatial.radius_join(c.where("group % 2 = 0"), senders, RADIUS).select("receiver", "sender", r("distance").alias("distance"))
+    return spatial.radius_join(c.where("group < 5"), senders, RADIUS).select("receiver", "sender", r("distance").alias("distance"))
 
 
 @query("jn05_nearest_distance", f"WITH {CELLS} SELECT receiver, round(distance, 6) + 0 AS distance FROM {knn(1)}")
@@ -59,10 +59,10 @@ def nearest_distance(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.nearest_distance(c, c).select("receiver", r("distance").alias("distance"))
 
 
-@query("jn06_neighbour_context", f"WITH {CELLS}, seeds AS (SELECT * FROM cells WHERE cell % 50 = 0) SELECT DISTINCT sender AS cell FROM {knn(12, 'seeds')} WHERE distance <= 0.1e0 UNION SELECT cell FROM seeds")
+@query("jn06_neighbour_context", f"WITH {CELLS}, seeds AS (SELECT * FROM cells WHERE grp = 3) SELECT DISTINCT sender AS cell FROM {knn(12, 'seeds')} WHERE distance <= 0.1e0 UNION SELECT cell FROM seeds")
 def neighbour_context(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
-    return spatial.context(c.where("cell % 50 = 0"), c, 12, 0.1)
+    return spatial.context(c.where("group = 3"), c, 12, 0.1)
 
 
 @query("jn07_other_sample_neighbours", f"WITH {CELLS} SELECT receiver, count(*) FILTER (receiver % 4 <> sender % 4) AS n_other FROM {knn(12)} GROUP BY 1")
@@ -81,10 +81,10 @@ def truth_edges(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.truth_edges(cells(spark, sf), planted, expression(spark, sf), RADIUS).withColumn("distance", r("distance"))
 
 
-@query("jn20_region_labels", f"WITH {CELLS}, votes AS (SELECT floor(x / 0.1e0) AS bx, floor(y / 0.1e0) AS b_y, grp, count(*) AS n FROM cells WHERE cell % 2 = 0 GROUP BY 1, 2, 3), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bx, b_y ORDER BY n DESC, grp) AS k FROM votes) WHERE k = 1 AND n >= 2) SELECT cell, best.grp AS region FROM cells LEFT JOIN best ON bx = floor(x / 0.1e0) AND b_y = floor(y / 0.1e0)")
+@query("jn20_region_labels", f"WITH {CELLS}, votes AS (SELECT floor(x / 0.1e0) AS bx, floor(y / 0.1e0) AS b_y, grp, count(*) AS n FROM cells GROUP BY 1, 2, 3), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bx, b_y ORDER BY n DESC, grp) AS k FROM votes) WHERE k = 1 AND n >= 2) SELECT cell, best.grp AS region FROM cells LEFT JOIN best ON bx = floor(x / 0.1e0) AND b_y = floor(y / 0.1e0)")
 def region_labels(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
-    return spatial.bin_labels(c.select("cell", "x", "y"), c.where("cell % 2 = 0").withColumnRenamed("group", "label"), 0.1, 2).select("cell", "region")
+    return spatial.bin_labels(c.select("cell", "x", "y"), c.withColumnRenamed("group", "label"), 0.1, 2).select("cell", "region")
 
 
 @query("fld01_kernel_2d", f"WITH {WEIGHED} SELECT receiver, sender, round(weight, 6) + 0 AS weight FROM weighed")
@@ -131,10 +131,11 @@ def mask_summary(spark: SparkSession, sf: str) -> DataFrame:
     return fields.mask_summary(fields.masked(field(spark, sf), expression(spark, sf), 0.05)).withColumn("fraction", r("fraction"))
 
 
-@query("flt02_source_mask", f"WITH {CELLS}, {EXPR}, {EDGES} SELECT receiver AS cell, gene, round(sum(value * {KERNEL.sql('distance')}), 5) + 0 AS field FROM edges JOIN expr ON sender = cell WHERE value <> 0 AND sender % 3 = 0 GROUP BY 1, 2")
+@query("flt02_source_mask", f"WITH {CELLS}, {EXPR}, {EDGES} SELECT receiver AS cell, gene, round(sum(value * {KERNEL.sql('distance')}), 5) + 0 AS field FROM edges JOIN expr ON sender = cell WHERE value <> 0 AND sender IN (SELECT cell FROM expr WHERE gene = 1 AND value > 0) GROUP BY 1, 2")
 def source_mask(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
-    e = fields.weigh(spatial.radius_join(c, c.where("cell % 3 = 0"), RADIUS), KERNEL)
+    flagged = c.join(expression(spark, sf).where("gene = 1 and value > 0"), "cell", "left_semi")
+    e = fields.weigh(spatial.radius_join(c, flagged, RADIUS), KERNEL)
     return fields.source_field(e, expression(spark, sf)).withColumn("field", r("field", 5))
 
 

@@ -13,16 +13,16 @@ from .registry import CELLS, EXPR, RELATIONS, RESIDUAL, cells, expression, query
 # --- projections and filters
 
 
-@query("prj01_gather_rows", f"WITH {EXPR} SELECT cell, gene, round(value, 6) + 0 AS value FROM expr WHERE cell % 7 = 0")
+@query("prj01_gather_rows", f"WITH {EXPR} SELECT cell, gene, round(value, 6) + 0 AS value FROM expr WHERE cell IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def gather(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = table(spark, sf, "embeddings").where("vec_id % 7 = 0").select(F.col("vec_id").alias("cell"))
+    wanted = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("cell"))
     return expression(spark, sf).join(wanted, "cell", "left_semi").withColumn("value", r("value"))
 
 
-@query("prj02_complement", f"WITH {CELLS} SELECT cell FROM cells WHERE cell % 7 <> 0")
+@query("prj02_complement", f"WITH {CELLS} SELECT cell FROM cells WHERE cell NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def complement(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf).select("cell")
-    return c.join(c.where("cell % 7 = 0"), "cell", "left_anti")
+    return c.join(table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("cell")), "cell", "left_anti")
 
 
 @query("prj03_gene_panel", f"WITH {EXPR}, panel(gene, position) AS (VALUES (7, 0), (2, 1), (11, 2)) SELECT cell, position, round(value, 6) + 0 AS value FROM expr JOIN panel USING (gene)")
@@ -97,9 +97,9 @@ def bounding_box(spark: SparkSession, sf: str) -> DataFrame:
 # --- joins on keys
 
 
-@query("jn10_lookup", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1998-01-01'")
+@query("jn10_lookup", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
 def lookup(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem").where("l_shipdate >= timestamp'1998-01-01'").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
     return ranking.looked_up(items, table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").select("l_orderkey", "l_linenumber", "p_name")
 
 
@@ -153,10 +153,10 @@ def zscore(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.standardized(expression(spark, sf), "value", ["gene"]).select("cell", "gene", r("z", 5).alias("z"))
 
 
-@query("la02_zscore_on_subset", f"WITH {EXPR}, m AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s FROM expr WHERE cell % 3 = 0 GROUP BY 1) SELECT cell, gene, round((value - m) / greatest(s, 1e-8), 5) + 0 AS z FROM expr JOIN m USING (gene)")
+@query("la02_zscore_on_subset", f"WITH {CELLS}, {EXPR}, m AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS s FROM expr JOIN cells USING (cell) WHERE grp < 5 GROUP BY 1) SELECT cell, gene, round((value - m) / greatest(s, 1e-8), 5) + 0 AS z FROM expr JOIN m USING (gene)")
 def zscore_subset(spark: SparkSession, sf: str) -> DataFrame:
-    e = expression(spark, sf)
-    return matrix.standardized(e, "value", ["gene"], fit=e.where("cell % 3 = 0")).select("cell", "gene", r("z", 5).alias("z"))
+    fit = cells(spark, sf).where("group < 5")
+    return matrix.standardized(expression(spark, sf), "value", ["gene"], fit=fit).select("cell", "gene", r("z", 5).alias("z"))
 
 
 @query("la03_moments", f"WITH {EXPR} SELECT gene, round(avg(value), 6) + 0 AS mean, round(stddev_pop(value), 6) + 0 AS sd FROM expr GROUP BY 1")
@@ -328,7 +328,7 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg25_tie_averaged")
 def tie_averaged(spark: SparkSession, sf: str) -> DataFrame:
-    s = relations(spark, sf).where("source % 10 = 0").withColumn("hit", (F.col("source") * 7 + F.col("target")) % 10 == 0).withColumn("score", F.floor(F.col("score") / 200000000).cast("double"))
+    s = relations(spark, sf).withColumn("hit", (F.col("source") * 7 + F.col("target")) % 10 == 0).withColumn("score", F.floor(F.col("score") / 200000000).cast("double"))
     return stats.tie_averaged(s, ["cluster", "target"], "score", "hit", repeats=100)
 
 
@@ -532,7 +532,7 @@ def top_fraction(spark: SparkSession, sf: str) -> DataFrame:
 def greedy_panel(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     name = F.col("p_partkey").cast("string")
-    inter = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("interaction")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("genes"), F.sum("l_quantity").alias("score")).orderBy(F.desc("score"), "interaction").limit(10)
+    inter = p.groupBy(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("interaction")).agg(F.array_sort(F.collect_set(name)).alias("genes"), F.sum("p_retailprice").alias("score"))
     return panel.greedy_panel(spark, inter, p.select(F.col("p_brand").alias("label"), name.alias("gene"), F.col("p_retailprice").alias("score")), p.select(name.alias("gene"), F.col("p_size").alias("score")), p.select(name.alias("gene"), F.col("p_retailprice").alias("score")), 120)
 
 
@@ -595,7 +595,7 @@ def permuted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("smp06_bootstrap")
 def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    e = expression(spark, sf).where("gene <= 3").withColumnRenamed("cell", "key")
+    e = expression(spark, sf).withColumnRenamed("cell", "key")
     return sampling.bootstrap(e, "value", ["gene"], 200, 5)
 
 
