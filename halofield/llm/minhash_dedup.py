@@ -33,6 +33,7 @@ from .exchange import Prefix, U, groups, mix
 from .substring_dedup import word_hashes
 
 BANDS, ROWS, ROUNDS = 32, 4, 6
+PARITY, BLOCK, PAIRS = 1024, 4096, 1 << 16
 SIGNED = "doc_id long, n_shingles long, sequence binary, bands array<long>"
 
 
@@ -116,6 +117,87 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("shared") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """node, size of its set, and for each of PARITY bins whether an odd number of its hashes is in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                n = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                place = part.column(1).flatten().to_numpy().view(np.uint64) % U(PARITY)
+                odd = np.bincount(np.repeat(np.arange(len(n)), n) * PARITY + place.astype(np.int64), minlength=len(n) * PARITY) & 1
+                bits = np.packbits(odd.astype(np.uint8).reshape(len(n), PARITY), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array([b.tobytes() for b in bits], pa.binary())], ["node", "n", "bits"])
+
+    return sets.where(F.size("shingles") > 0).select("node", "shingles").mapInArrow(run, "node long, n long, bits binary")
+
+
+def close_pairs(part: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of whole, adjacent groups that parities do not rule out: of two components, and of two blocks if the group has two."""
+    bucket, one, other, own, node, component, n = (part.column(c).to_numpy() for c in ("bucket", "one", "other", "own", "node", "component", "n"))
+    bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+    new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(one) != 0) | (np.diff(other) != 0)) + 1
+    edge = np.concatenate([[0], new, [len(n)]])
+    end = np.repeat(edge[1:], np.diff(edge))
+    a, gap = np.arange(len(n)), 0
+    while len(a):
+        gap += 1
+        a = a[a + gap < end[a]]
+        b = a + gap
+        most = (n[a] + n[b]) * (100 - percent)
+        some = (component[a] != component[b]) & ((own[a] != own[b]) | (one[a] == other[a])) & (np.abs(n[a] - n[b]) * (100 + percent) <= most)
+        x, y, most = a[some], b[some], most[some]
+        near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * (100 + percent) <= most
+        if near.any():
+            yield node[x[near]], node[y[near]]
+
+
+def left_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair(a, b) of two components in one bucket of members(bucket, node, component) that may be so similar."""
+    spans = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spans = spans.where("low < high and size > 2")  # the first star has compared the only pair of two
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = written(members.join(spans, "bucket").select("bucket", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int").alias("own")).distinct(), "open")
+    bits = parities(sets.join(dealt.select("node").distinct(), "node", "left_semi"))
+    met = dealt.join(bits, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), "own", "node", "component", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[pa.Table]:
+            rest: pa.Table | None = None
+            for batch in batches:
+                new = pa.Table.from_batches([batch])
+                rest = new if rest is None else pa.concat_tables([rest, new])
+                key = np.stack([rest.column(c).to_numpy() for c in ("bucket", "one", "other")])
+                change = np.flatnonzero((np.diff(key) != 0).any(axis=0))
+                if len(change):
+                    yield rest.slice(0, change[-1] + 1)
+                    rest = rest.slice(change[-1] + 1)
+            if rest is not None and len(rest):
+                yield rest
+
+        held, count = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for part in whole():
+            for pair in close_pairs(part, percent):
+                held.append(pair)
+                count += len(pair[0])
+                if count > PAIRS:
+                    yield out()
+                    held, count = [], 0
+        if held:
+            yield out()
+
+    keys = ["bucket", "one", "other"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in links(a, b)."""
     both = written(links.union(links.select("b", "a")).where("a <> b").distinct(), "links")
@@ -154,6 +236,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
         links = new if links is None else written(links.union(new), "all-links")
         labels = components(links)
         members = shared.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node").alias("turn"))
+    new = written(confirmed(left_open(members, sets, percent), sets, percent), "confirmed")
+    if new.take(1):
+        labels = components(written(links.union(new), "all-links"))
     found = nodes.join(labels, "node", "left").select("sequence", F.coalesce("component", "node").alias("found"))
     out = rows.select("doc_id", "n_shingles", "sequence").join(found, "sequence", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("found"))

@@ -195,6 +195,22 @@ def test_minhash_dedup_near_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == label
 
 
+@pytest.mark.parametrize("block", [4096, 60])
+def test_minhash_dedup_finds_pairs_inside_a_dense_family(spark, monkeypatch, block):
+    """Texts at 0.77 to one another, all in each other's buckets, and 40 pairs at 0.81 that few stars meet."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    core, table = [f"c{i}" for i in range(174)], []
+    for i in range(400):
+        own = [f"p{i // 2}x{k}" if i < 80 and k < 5 else f"o{i}x{k}" for k in range(26)]
+        table.append((i, " ".join(core + own)))
+    sets, label = brute_components(table, 1, 80)
+    assert sorted(Counter(label.values()).values()) == [1] * 320 + [2] * 40
+    alike = [len(s & t) / len(s | t) for i, (_, s) in enumerate(sets[80:]) for _, t in sets[80 : 80 + i]]
+    assert 0.75 < min(alike) and max(alike) < 0.79
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(3), words=1)
+    assert {r.doc_id: r.component_id for r in got.collect()} == label
+
+
 def test_secret_scan(spark, none):
     key, lone = "AKIA" + "B" * 16, "aB3" + "x" * 37
     far = " " * 400
