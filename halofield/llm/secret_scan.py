@@ -36,9 +36,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 # The weak kinds' patterns are this module's own.
-IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]{3,}", re.I | re.A)
-LONE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-ENDPOINT = re.compile(r"\bhttps?://[^\s\"'<>]+")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]{3,}", re.I | re.A)
+LONE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+# An address of any scheme is group 1; a run of scheme characters is read once, from its start.
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'<>]+)")
 FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
 
 
@@ -49,7 +50,7 @@ def parts(text: str) -> list[tuple[int, int, int]]:
     out += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
     out += [(3, m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
     out += [(4, m.start(), m.end()) for m in LONE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
-    return out + [(5, m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    return out + [(5, m.start(1), m.end()) for m in ENDPOINT.finditer(text)]
 
 
 def near(start: np.ndarray, end: np.ndarray, others: np.ndarray, scope: int) -> np.ndarray:

@@ -211,6 +211,20 @@ def test_minhash_dedup_finds_pairs_inside_a_dense_family(spark, monkeypatch, blo
     assert {r.doc_id: r.component_id for r in got.collect()} == label
 
 
+def test_secret_scan_of_env_files(spark):
+    """Keys right after '=', identifiers after '_' and addresses of other schemes than http."""
+    key, lone = "AKIA" + "B" * 16, "aB3" + "x" * 37
+    texts = [f"AWS_ACCESS_KEY_ID={key}\nAWS_SECRET_ACCESS_KEY={lone}\n", f"DB_USER=bob\nMYSQL_USER=eve\nDB_USERNAME=ann\nKEY={lone}", f"-postgres://h/db KEY={lone} HTTPS://a", f"KEY={lone}", f"KEY={lone}=", "a.-+" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_documents(df).collect()}
+    assert got[0] == "access:18:38,secret:61:101"
+    assert got[1] == "identifier:3:11,identifier:18:26,identifier:30:42,secret:47:87"
+    assert got[2] == "secret:21:61" and got[3] == got[4] == got[5] == ""
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert clean[0] == "AWS_ACCESS_KEY_ID=[access]\nAWS_SECRET_ACCESS_KEY=[secret]\n"
+    assert clean[1] == "DB_[identifier]\nMYSQL_[identifier]\nDB_[identifier]\nKEY=[secret]" and clean[3] == texts[3]
+
+
 def test_secret_scan(spark, none):
     key, lone = "AKIA" + "B" * 16, "aB3" + "x" * 37
     far = " " * 400
