@@ -1,7 +1,9 @@
-"""Gene panels and label matching: greedy choices over a table of genes, whose length doesn't grow with cells.
+"""Gene panels and label matching: greedy choices over tables of genes of any length.
 
-The scores come from Spark; the choice itself goes one gene after the other over at most MOST genes,
-read in order. A longer table is an error, not a cut.
+Spark cuts each list to what a choice can ever use: every gene that a list gives up is in the panel
+afterwards, so no list is read beyond as many distinct genes as the budget. The choice itself goes one
+gene after the other over budget x lists rows. The table of counts of a matching has at most MOST
+rows; a longer one is an error, not a cut.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST = 100_000
@@ -23,6 +25,15 @@ def read_bounded(df: DataFrame, order: list) -> list:
     return rows
 
 
+def best_genes(df: DataFrame, by: list[str], most: int) -> list:
+    """(by..., gene, score): of each list the `most` best distinct genes, best first."""
+    order = [F.desc("score"), F.col("gene")]
+    best = df.groupBy(*by, "gene").agg(F.max("score").alias("score"))
+    if by:
+        return best.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= most).drop("_r").orderBy(*order).collect()
+    return best.orderBy(*order).limit(most).collect()
+
+
 def greedy_panel(spark: SparkSession, interactions: DataFrame, markers: DataFrame, spatial: DataFrame, variable: DataFrame, budget: int) -> DataFrame:
     """(gene, position, reason): complete interactions first, then markers in turn, then spatial, then variable genes.
 
@@ -36,10 +47,18 @@ def greedy_panel(spark: SparkSession, interactions: DataFrame, markers: DataFram
         if len(chosen) + len(new) <= budget:
             chosen.update(dict.fromkeys(new, reason))
 
-    for r in read_bounded(interactions, [F.desc("score"), "interaction"]):
-        add(list(r["genes"]), "interaction")
+    # Each round reads the first interactions that bring a gene and still fit. What doesn't fit never will
+    # again, and the first of a round always enters, so there are at most `budget` rounds.
+    kind = interactions.schema["genes"].dataType
+    while len(chosen) < budget:
+        new = F.size(F.array_except("genes", F.array(*map(F.lit, chosen)).cast(kind)))
+        some = interactions.where((new > 0) & (new <= budget - len(chosen))).orderBy(F.desc("score"), "interaction").limit(budget).collect()
+        for r in some:
+            add(list(r["genes"]), "interaction")
+        if len(some) < budget:
+            break
     lists: dict[str, list[str]] = {}
-    for r in read_bounded(markers, [F.desc("score"), "gene"]):
+    for r in best_genes(markers, ["label"], budget):
         lists.setdefault(r["label"], []).append(r["gene"])
     while any(lists.values()) and len(chosen) < budget:
         for label in sorted(lists):
@@ -48,7 +67,7 @@ def greedy_panel(spark: SparkSession, interactions: DataFrame, markers: DataFram
             if lists[label]:
                 add([lists[label].pop(0)], "marker")
     for table, reason in ((spatial, "spatial"), (variable, "variable")):
-        for r in read_bounded(table, [F.desc("score"), "gene"]):
+        for r in best_genes(table, [], budget):
             add([r["gene"]], reason)
     return spark.createDataFrame([(g, i, why) for i, (g, why) in enumerate(chosen.items())], "gene string, position int, reason string")
 
@@ -58,13 +77,16 @@ def quota_panel(spark: SparkSession, genes: DataFrame, quotas: dict[str, int], b
 
     genes(gene, role, score, eligible); a gene enters once.
     """
-    rows = [r for r in read_bounded(genes, [F.desc("score"), "gene"]) if r["eligible"]]
+    able = genes.where("eligible")
+    rows = best_genes(able.where(F.col("role").isin(*quotas)), ["role"], budget)
     chosen: dict[str, str] = {}
     for role, n in quotas.items():
         for r in [r for r in rows if r["role"] == role and r["gene"] not in chosen][:n]:
             if len(chosen) < budget:
                 chosen[r["gene"]] = role
-    for r in rows:
+    # the role of a gene is that of its best row
+    own = able.groupBy("gene", "score").agg(F.min("role").alias("role")).groupBy("gene").agg(F.max(F.struct("score", "role")).alias("best"))
+    for r in own.select("gene", "best.*").orderBy(F.desc("score"), "gene").limit(budget).collect():
         if r["gene"] not in chosen and len(chosen) < budget:
             chosen[r["gene"]] = r["role"]
     return spark.createDataFrame([(g, role, i) for i, (g, role) in enumerate(chosen.items())], "gene string, role string, position int")

@@ -251,6 +251,28 @@ def test_panels(spark):
     assert got == [("a", "interaction"), ("b", "interaction"), ("m1", "marker"), ("n1", "marker")]
 
 
+def test_panels_over_long_tables(spark):
+    """More genes than the driver reads; only rows within the budget are collected."""
+    n = panel.MOST + 50
+    long = spark.range(n).select(F.format_string("g%06d", "id").alias("gene"), (F.col("id") % 1000).cast("double").alias("score"), F.concat(F.lit("r"), F.col("id") % 3).alias("role"), (F.col("id") % 2 == 0).alias("eligible"))
+    by_score = sorted(range(n), key=lambda i: (-(i % 1000), i))
+    name = lambda some: [f"g{i:06d}" for i in some]
+    got = panel.quota_panel(spark, long, {"r1": 2, "r0": 1}, 5).orderBy("position").collect()
+    able = [i for i in by_score if i % 2 == 0]
+    want = [i for i in able if i % 3 == 1][:2] + [i for i in able if i % 3 == 0][:1]
+    want += [i for i in able if i not in want][:2]
+    assert [(r.gene, r.role) for r in got] == [(g, f"r{i % 3}") for g, i in zip(name(want), want)]
+    # what doesn't fit comes first, and the last interaction fits only because it overlaps the first
+    inter = spark.range(n).select(F.format_string("i%06d", "id").alias("interaction"), F.array(*(F.format_string(f"x%d-{k}", "id") for k in range(3))).alias("genes"), F.lit(1.0).alias("score"))
+    inter = inter.unionByName(spark.createDataFrame([("a", ["x1-0", "x1-1"], 2.0), ("z", ["x1-1", "last"], 0.5)], inter.schema))
+    marks = long.withColumnRenamed("role", "label").drop("eligible")
+    got = [(r.gene, r.reason) for r in panel.greedy_panel(spark, inter, marks, long, long, 4).orderBy("position").collect()]
+    assert got == [(g, "interaction") for g in ("x1-0", "x1-1", "x1-2", "last")]
+    got = [(r.gene, r.reason) for r in panel.greedy_panel(spark, inter.where("score > 1"), marks, long, long, 5).orderBy("position").collect()]
+    first = [next(i for i in by_score if i % 3 == k) for k in range(3)]
+    assert got == [("x1-0", "interaction"), ("x1-1", "interaction"), *((g, "marker") for g in name(first))]
+
+
 def test_joins_check_their_keys(spark):
     a, t = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
     with pytest.raises(Exception, match="unknown k: 2"):
