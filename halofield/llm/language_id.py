@@ -1,83 +1,128 @@
 """Language identification by compression with per-language raw-content dictionaries.
 
-A text is reduced to its letters in lower case, cut into blocks, and every block is compressed once
-with each language's dictionary; the language whose blocks are smallest in total wins. The margin is
-the distance to the second. A narrow margin is a rejection: under one byte, or under 0.2 % of the
-best size.
-
-Learning takes a bounded sample: for each language value the DICT_DOCS labelled rows that come
-first by a hash of doc_id, at most DICT_BYTES / DICT_DOCS bytes of each. Prediction reads nothing but
-the text, and all of it.
+A text is reduced to its letters (Unicode category L, with their marks) in lower case, cut into
+blocks, and every block is compressed once with each language's dictionary; the language whose blocks
+are smallest in total wins. The margin is the distance to the second. A narrow margin is a
+rejection: under one byte, or under the model's share of the best size.
+
+Learning takes a bounded sample: of the LANGUAGES most frequent lang values, for each the
+2 * DICT_DOCS distinct labelled texts that come first by a hash of the text. A text of more than
+LONGEST characters gives one run of LONGEST of them, at a place that its hash names; others are taken whole.
+Texts of odd rank fill the dictionary, as many as fit into DICT_BYTES. Those of even rank with CLEAR
+bytes of letters or more set the share: NARROW of the relative margin that all but one in a hundred
+of the rightly predicted ones exceed (NARROW_DEFAULT where fewer than CALIBRATED are left).
+Prediction reads nothing but the text, and all of it, in blocks, so a long text needs little memory
+beside itself.
 
 Rules for unusual rows: text null or without a letter gives `und`, score 0, rejected; rows with null
-lang don't teach; equal sizes go to the language with more labelled rows, then by name; without any
-labelled row everything is `und`; repeated rows each give a row. An input column called like one of
-the results is dropped, all others are kept.
+lang don't teach; equal texts of one lang teach once; equal sizes go to the language with more labelled
+rows, then by name; without any labelled row everything is `und`; repeated rows each give a row; an
+empty table gives an empty table. An input column called like one of the results is dropped, all
+others are kept.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DICT_BYTES, DICT_DOCS, BLOCK, LEVEL = 49_152, 48, 1024, 6
-LETTERS = re.compile(r"[^\W\d_]+")
+DICT_BYTES, DICT_DOCS, LONGEST, LANGUAGES = 49_152, 48, 8192, 256
+BLOCK, LEVEL = 1024, 6
+NARROW, NARROW_DEFAULT, CALIBRATED, CLEAR = 0.1, 0.01, 20, 200
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 RESULTS = ["lang_pred", "score", "margin", "accepted"]
 
 
-def letters(text: str | None) -> bytes:
-    return " ".join(LETTERS.findall((text or "").lower())).encode()
+class Model(NamedTuple):
+    """Dictionaries, most frequent language first; the share of the best size under which a margin is narrow."""
 
+    dictionaries: list[tuple[str, bytes]]
+    narrow: float = NARROW_DEFAULT
 
-def learn(rows: DataFrame) -> list[tuple[str, bytes]]:
-    """The dictionaries, most frequent language first, from rows(doc_id, text, lang)."""
-    labelled = rows.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("place")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DICT_DOCS).select("doc_id", "lang")
-    # at most DICT_DOCS rows a language, so the broadcast is bounded by the number of languages
-    texts = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", 1, 2 * DICT_BYTES // DICT_DOCS).alias("text"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    held: dict[str, list[bytes]] = {}
-    for r in texts.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").collect():
-        held.setdefault(r["lang"], []).append(letters(r["text"])[: DICT_BYTES // DICT_DOCS])
-    return [(k, b" ".join(held[k])[:DICT_BYTES]) for k in sorted(held, key=lambda k: (-counts.get(k, 0), k))]
+
+def letters(text: str | None) -> bytes:
+    return " ".join(LETTERS.findall((text or "").lower())).encode()
 
 
-def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFrame:
+def sample(rows: DataFrame) -> list[tuple[str, int, str]]:
+    """(lang, rank, text) of the learning rows, most frequent language first, from rows(text, lang)."""
+    labelled = rows.select("lang", "text").where("lang is not null and text is not null")
+    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    turn = {r["lang"]: i for i, r in enumerate(top)}
+    spoken = labelled.where(F.col("lang").isin(list(turn)) & F.col("text").rlike(r"\p{L}")).withColumn("place", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("place")
+    chosen = spoken.select("lang", "place").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * DICT_DOCS)
+    over = F.greatest(F.length("text") - LONGEST, F.lit(0))
+    run = F.substring("text", (F.pmod("place", over + 1) + 1).cast("int"), F.lit(LONGEST))
+    # at most 2 * DICT_DOCS keys a language and LANGUAGES languages, so the broadcast is bounded
+    texts = spoken.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "rank").agg(F.min(run).alias("text"))
+    return sorted(((r["lang"], r["rank"], r["text"]) for r in texts.collect()), key=lambda r: (turn[r[0]], r[1]))
+
+
+def learn(rows: DataFrame) -> Model:
+    """The model from the labelled rows of rows(text, lang)."""
+    chosen, held = sample(rows), {}
+    for lang, rank, text in chosen:
+        got, raw = held.setdefault(lang, bytearray()), letters(text)
+        if rank % 2 and (not got or len(got) + len(raw) < DICT_BYTES):
+            got += raw[:DICT_BYTES] + b" "
+    dictionaries = [(k, bytes(v)) for k, v in held.items() if v]
+    coders, shares = compressors(dictionaries), []
+    for lang, rank, text in chosen:
+        if rank % 2 == 0 and len(raw := letters(text)) >= CLEAR:
+            name, _, gap, best = classified(raw, coders)
+            if name == lang:
+                shares.append(gap / best)
+    narrow = NARROW * sorted(shares)[len(shares) // 100] if len(shares) >= CALIBRATED else NARROW_DEFAULT
+    return Model(dictionaries, narrow)
+
+
+def compressors(dictionaries: list[tuple[str, bytes]]) -> list[tuple]:
+    """(language, compressing function) of each dictionary."""
+    import zstandard as zstd
+
+    out = []
+    for name, content in dictionaries:
+        d = zstd.ZstdCompressionDict(content.ljust(8), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        out.append((name, zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress))
+    return out
+
+
+def classified(raw: bytes, coders: list[tuple]) -> tuple[str, float, int, int]:
+    """Language, score, margin and best size of the letters of a text."""
+    sizes = [sum(len(code(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)) for _, code in coders]
+    best = min(sizes)
+    first = sizes.index(best)
+    gap = min((s - best for i, s in enumerate(sizes) if i != first), default=best)
+    return coders[first][0], 1 / sum(math.exp((best - s) / 2) for s in sizes), gap, best
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score (0 to 1), margin (bytes) and accepted."""
     kept = docs.select([c for c in docs.columns if c not in RESULTS])
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard as zstd
-
-        coders = []
-        for name, content in dictionaries:
-            d = zstd.ZstdCompressionDict(content.ljust(8), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            coders.append((name, zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress))
+        coders = compressors(model.dictionaries)
         for batch in batches:
-            pred, score, margin, ok = [], [], [], []
+            found = []
             for cell in batch.column(at):
                 raw = letters(cell.as_py())
                 if not raw or not coders:
-                    found = ("und", 0.0, 0, False)
+                    found.append(("und", 0.0, 0, False))
                 else:
-                    blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-                    sizes = [sum(len(code(b)) for b in blocks) for _, code in coders]
-                    best = min(sizes)
-                    first = sizes.index(best)
-                    gap = min((s - best for i, s in enumerate(sizes) if i != first), default=best)
-                    share = 1 / sum(math.exp((best - s) / 2) for s in sizes)
-                    found = (coders[first][0], share, gap, gap >= max(1, 0.002 * best))
-                for column, value in zip((pred, score, margin, ok), found):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.int64()), pa.array(ok, pa.bool_())], names=[*batch.schema.names, *RESULTS])
+                    name, score, gap, best = classified(raw, coders)
+                    found.append((name, score, gap, gap >= max(1, model.narrow * best)))
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.bool_())
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *RESULTS])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, margin long, accepted boolean")

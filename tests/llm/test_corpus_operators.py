@@ -104,7 +104,56 @@ def test_language_id(spark, none):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].accepted for i in (900, 901, 902))
     assert got[None].lang_pred == "aa"
     assert language_id.identify(none).collect() == []
-    assert {r.lang_pred for r in language_id.predict(df, []).collect()} == {"und"}
+    assert {r.lang_pred for r in language_id.predict(df, language_id.Model([])).collect()} == {"und"}
+
+
+def test_language_id_of_repeated_and_long_rows(spark):
+    """1,000 equal rows teach once, a long text gives one run; digits that count as word characters are no letters."""
+    rng = random.Random(2)
+    words = {"aa": ["loro", "mira", "tosa", "vel"], "bb": ["kniv", "stork", "wald", "zehn"]}
+    prose = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    same, long_ = prose("aa", 40), prose("bb", 5000)
+    table = [(i, same, "aa") for i in range(1000)] + [(2000, long_, "bb"), (2001, long_, "bb"), (2002, prose("bb", 9), "bb"), (2002, prose("bb", 9), "bb")]
+    df = spark.createDataFrame([*table, (3000, "½ ² Ⅷ", None), (3001, "½ é", None)], "doc_id long, text string, lang string")
+    chosen = language_id.sample(df)
+    assert [(k, n) for k, n, _ in chosen] == [("aa", 1), ("bb", 1), ("bb", 2), ("bb", 3)]
+    run = next(t for k, _, t in chosen if len(t) == language_id.LONGEST)
+    assert run in long_ and all(t in (same, run) or len(t) < 100 for _, _, t in chosen)
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert got[3000].lang_pred == "und" and got[3000].score == 0 and got[3001].lang_pred != "und"
+    assert got[0].lang_pred == "aa" and got[2000].lang_pred == "bb"
+
+
+def test_language_id_against_plain_compression(spark):
+    """Every row by a loop that compresses its letters once with each dictionary."""
+    import zstandard as zstd
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learn(df.where(~language_id.held_out()))
+    assert sorted(k for k, _ in model.dictionaries) == ["de", "en", "es", "fr"] and 0 < model.narrow < 0.05
+    assert all(len(v) <= language_id.DICT_BYTES + 1 for _, v in model.dictionaries)
+    coder = {}
+    for k, content in model.dictionaries:
+        d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        coder[k] = zstd.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    right = n = 0
+    for r in language_id.identify(df).collect():
+        words, word = [], ""
+        for c in (r.text or "").lower() + " ":
+            if c.isalpha():
+                word += c
+            else:
+                words, word = words + [word] * bool(word), ""
+        raw = " ".join(words).encode()
+        if not raw:
+            assert (r.lang_pred, r.accepted) == ("und", False)
+            continue
+        sizes = sorted((sum(len(coder[k].compress(raw[a : a + 1024])) for a in range(0, len(raw), 1024)), i, k) for i, (k, _) in enumerate(model.dictionaries))
+        assert r.lang_pred == sizes[0][2] and r.margin == sizes[1][0] - sizes[0][0]
+        assert r.accepted == (r.margin >= max(1, model.narrow * sizes[0][0]))
+        right += r.lang == r.lang_pred
+        n += r.lang is not None
+    assert right >= 0.97 * n
 
 
 def brute_cover(items, n):
