@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -303,28 +304,52 @@ def test_near_is_an_interval_join():
     assert secret_scan.near(start, end, others, 20).tolist() == want
 
 
-def test_decontaminate(spark, docs, none):
+def brute_contained(table, items, n, threshold):
+    words = lambda t: re.sub(r"[^0-9a-zà-ÿ]+", " ", (t or "").lower()).split()
+    out = set()
+    for item_id, item in items:
+        w = words(item)
+        k = min(n, len(w))
+        own = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+        for d, text in table:
+            v = words(text)
+            shared = len(own & {tuple(v[i : i + k]) for i in range(len(v) - k + 1)})
+            if own and shared >= threshold * len(own):
+                out.add((d, item_id, len(own), shared))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontaminate(spark, docs, none, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST", broadcast)
     rng = random.Random(2)
     prose = lambda n: " ".join(f"w{rng.randrange(1000)}" for _ in range(n))
-    items = [(0, prose(30)), (1, prose(8)), (2, None), (3, "one two"), (4, prose(50)), (4, prose(50)), (5, "")]
+    items = [(0, prose(30)), (1, prose(8)), (2, None), (3, "one two"), (4, prose(50)), (4, prose(50)), (5, ""), (6, "Seven"), (7, prose(4)), (8, prose(12)), (9, prose(9))]
     half = items[4][1].split()
     table = [(0, prose(3000) + " " + items[0][1].upper() + ". " + prose(10)), (1, prose(9)), (2, items[1][1]), (3, " ".join(half[:46]) + " gap " + prose(5)), (4, " ".join(half[:25])), (5, None), (6, "One, two"), (None, items[0][1]), (0, prose(40)), (2, items[1][1])]
+    by = dict(items)
+    table += [(7, prose(20_000) + " one two " + prose(3)), (8, "two one"), (9, "sevenfold"), (10, prose(5) + " SEVEN!"), (11, f"{prose(700)} {by[8]} {by[9]}"), (12, f"{by[7]} {prose(90)}")]
+    table += [(13, " ".join(by[8].split()[:11]) + " " + prose(30)), (14, " ".join(by[8].split()[:10]) + " " + prose(30)), (15, ""), (16, by[9][:-1])]
     df = spark.createDataFrame(table, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("_text_key", F.lit("x"))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
     got = sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contaminated(df, b).collect()), key=repr)
-    assert got == sorted([(0, 0, 26, 26), (2, 1, 4, 4), (3, 4, 46, 42), (6, 3, 1, 1), (None, 0, 26, 26)], key=repr)
-    left = decontaminate.decontaminated(df, b)
-    assert left.columns == df.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == ["0", "1", "4", "5"]
+    want = brute_contained(table, items, 5, 0.8)
+    assert got == want and {(7, 3, 1, 1), (10, 6, 1, 1), (12, 7, 1, 1), (13, 8, 8, 7), (None, 0, 26, 26)} <= set(want)
+    left, hit = decontaminate.decontaminated(df, b), {d for d, *_ in want}
+    assert left.columns == df.columns and {r._text_key for r in left.collect()} == {"x"}
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["0", *(str(d) for d, _ in table if d not in hit)])
     assert decontaminate.contaminated(none, b).collect() == [] and decontaminate.contaminated(df, b.limit(0)).collect() == []
 
 
-def test_decontaminate_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
-    rng = random.Random(2)
-    items = [(i, " ".join(f"w{rng.randrange(1000)}" for _ in range(20))) for i in range(5)]
-    table = [(i, f"a b {t} c d") for i, t in items]
-    got = decontaminate.contaminated(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(5)]
+def test_decontaminate_sketch_prunes_and_finds(spark):
+    """Items of 60 words in documents of 200 to 5,000 words: all are found, though a part of the runs is looked up."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    items = [(i, prose(60)) for i in range(40)]
+    table = [(i, prose(rng.randint(100, 2500)) + " " + t + " " + prose(rng.randint(100, 2500))) for i, t in items]
+    df, b = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(df, b).collect()) == [(i, i) for i in range(40)]
+    assert 0.6 < decontaminate.probed_share(df, b) < 0.83
 
 
 def test_fingerprints(spark, docs, none):
