@@ -245,10 +245,11 @@ def test_minhash_dedup_near_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == label
 
 
-@pytest.mark.parametrize("block", [4096, 60])
-def test_minhash_dedup_finds_pairs_inside_a_dense_family(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "many"), [(4096, 10**6), (60, 30)])
+def test_minhash_dedup_finds_pairs_inside_a_dense_family(spark, monkeypatch, block, many):
     """Texts at 0.77 to one another, all in each other's buckets, and 40 pairs at 0.81 that few stars meet."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "MANY", many)
     core, table = [f"c{i}" for i in range(174)], []
     for i in range(400):
         own = [f"p{i // 2}x{k}" if i < 80 and k < 5 else f"o{i}x{k}" for k in range(26)]
@@ -261,6 +262,49 @@ def test_minhash_dedup_finds_pairs_inside_a_dense_family(spark, monkeypatch, blo
     assert {r.doc_id: r.component_id for r in got.collect()} == label
 
 
+def forms(n, seed=4):
+    """n filled-in forms of 300 words, 60 of them slots; two of each pair share most slots."""
+    rng, table = random.Random(seed), []
+    frame = [f"f{i}" for i in range(300)]
+    slots = sorted(rng.sample(range(300), 60))
+    for i in range(0, n, 2):
+        fill = [f"v{rng.randrange(10**6)}" for _ in slots]
+        for k in range(2):
+            words = list(frame)
+            for j, (at, v) in enumerate(zip(slots, fill)):
+                words[at] = f"u{rng.randrange(10**6)}" if k and j < i % 9 else v
+            table.append((i + k, " ".join(words)))
+    return table
+
+
+def test_minhash_dedup_of_forms(spark):
+    """600 forms in common buckets: no pair of equal or nearly equal slots is lost."""
+    table = forms(600)
+    sets, label = brute_components(table, 4, 80)
+    assert 200 < sum(n == 2 for n in Counter(label.values()).values()) <= 300
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(3), words=4)
+    assert {r.doc_id: r.component_id for r in got.collect()} == label
+
+
+def test_minhash_dedup_parities_never_rule_out_a_pair(spark):
+    """Sets of 3 to 5,000 hashes: every pair at the threshold passes the bound, most others of large sets don't."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, sets = np.random.default_rng(5), []
+    for i in range(60):
+        n = int(rng.choice([3, 20, 250, 300, 1100, 5000]))
+        base = rng.integers(0, 2**62, n)
+        other = np.concatenate([base[: n - int(n * rng.uniform(0, 0.3))], rng.integers(0, 2**62, int(n * rng.uniform(0, 0.2)))])
+        sets += [(2 * i, sorted(set(base.tolist()))), (2 * i + 1, sorted(set(other.tolist())))]
+    df = minhash_dedup.parities(spark.createDataFrame(sets, "node long, shingles array<long>")).orderBy("node").collect()
+    same = len(df)
+    part = pa.table({"bucket": [1] * same, "one": [0] * same, "other": [0] * same, "own": [0] * same, "node": [r.node for r in df], "component": [r.node for r in df], "n": [r.n for r in df], "bits": pa.array([bytes(r.bits) for r in df], pa.binary())})
+    near = {tuple(sorted(p)) for a, b in minhash_dedup.close_pairs(part, 80) for p in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for j, t in sets for i, s in sets[:j] if 100 * len(set(s) & set(t)) >= 80 * len(set(s) | set(t))}
+    assert len(want) > 20 and want <= near and len(near) < len(want) + 30
+
+
 def test_secret_scan_of_env_files(spark):
     """Keys right after '=', identifiers after '_' and addresses of other schemes than http."""
     key, lone = "AKIA" + "B" * 16, "aB3" + "x" * 37
