@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import split_list
+from .store import written
 
 
 def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
     """df with row numbers from 0 in the given order; a range exchange, no single task."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    placed = placed.persist()
+    # a written table, so that the counts and the rows come from the same ranges, whatever is lost meanwhile
+    placed = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     base = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
@@ -26,10 +27,17 @@ def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file in its order, from 0. A file is split by Spark; its order is by offset."""
+    """(line, value) of a text file in its order, from 0; part files of a folder follow each other by name."""
+    return numbered(placed_lines(spark, path), PLACE, "line").select("line", "value")
+
+
+PLACE = ["_file", "_split", "_at"]
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and its place: file, start of the split, and a number that rises with the lines of the split."""
     text = spark.read.text(path)
-    # monotonically_increasing_id rises with the file's splits and the lines in them
-    return numbered(text.select("value", F.monotonically_increasing_id().alias("_o")), ["_o"], "line").select("line", "value")
+    return text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
 
 
 def read_ids(spark: SparkSession, path: str, key: str = "cell", name: str = "cell_id") -> DataFrame:
@@ -78,6 +86,23 @@ def read_matrix_market(spark: SparkSession, path: str, n_cells: int, n_genes: in
     return entry.groupBy(F.col(cell).alias("cell"), F.col(gene).alias("gene")).agg(F.max_by("value", "line").alias("value"))
 
 
+def read_positive_genes(spark: SparkSession, path: str, genes: list[int], threshold: float = 0.0, rows: str = "cells") -> DataFrame:
+    """(cell, genes): the sorted, distinct listed genes of each cell above the threshold, from a MatrixMarket file.
+
+    One scan: entries of other genes or below the threshold go before anything is exchanged. genes are
+    0-based and few, as a panel is; rows says what the file's rows are. A cell without any is left out.
+    """
+    body = placed_lines(spark, path).where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0))
+    head = body.agg(F.min(F.struct(*PLACE)).alias("h")).first()["h"]
+    f = F.split(F.trim("value"), r"\s+")
+    size_line = (F.col("_file") == head["_file"]) & (F.col("_split") == head["_split"]) & (F.col("_at") == head["_at"])
+    i, j = (f[k].cast("long") - 1 for k in (0, 1))
+    cell, gene = (i, j) if rows == "cells" else (j, i)
+    entries = body.where(~size_line & (F.size(f) == 3)).select(cell.alias("cell"), gene.alias("gene"), f[2].cast("float").alias("value"))
+    kept = entries.where(F.col("gene").isin(list(genes)) & (F.col("value") > F.lit(threshold)))
+    return kept.groupBy("cell").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+
+
 def is_matrix_market(spark: SparkSession, path: str) -> bool:
     if path.endswith(".mtx"):
         return True
@@ -107,7 +132,7 @@ def read_labels(spark: SparkSession, path: str, n: int | None = None, kind: str
 
 def read_headed(spark: SparkSession, path: str, schema: str, separator: str = ",") -> DataFrame:
     """A CSV table with a header by the names in schema; a missing column is an error, others are left out."""
-    have = spark.read.option("header", True).option("sep", separator).csv(path)
+    have = spark.read.option("header", True).option("sep", separator).option("escape", '"').option("multiLine", True).csv(path)
     fields = [f.strip().split()[:2] for f in schema.split(",")]
     for name, _ in fields:
         if name not in have.columns:
@@ -128,6 +153,20 @@ def read_edges(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
     return e.select("cluster", F.col("source_gene").alias("source"), F.col("target_gene").alias("target"), "sender", "receiver", "distance")
 
 
+def read_ligand_receptors(spark: SparkSession, path: str, measured: DataFrame, columns: tuple[str, str] = ("ligand", "receptor"), joiner: str = "_") -> DataFrame:
+    """(ligand, receptor array) of a tab-separated list whose parts are all measured(gene), whatever their case.
+
+    A receptor is its parts with the joiner between them; names become the measured ones, of several
+    that differ in case only the smallest.
+    """
+    t = read_headed(spark, path, f"{columns[0]} string, {columns[1]} string", "\t").toDF("l", "r").where("l is not null and r is not null").distinct()
+    names = measured.groupBy(F.lower("gene").alias("folded")).agg(F.min("gene").alias("gene"))
+    parts = t.select("l", "r", F.posexplode(F.concat(F.array("l"), F.split("r", joiner))).alias("position", "part"), (F.size(F.split("r", joiner)) + 1).alias("n"))
+    met = parts.join(names, F.lower(F.trim("part")) == F.col("folded"))
+    whole = met.groupBy("l", "r", "n").agg(F.array_sort(F.collect_list(F.struct("position", "gene"))).alias("p")).where(F.size("p") == F.col("n"))
+    return whole.select(F.col("p")[0]["gene"].alias("ligand"), F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x["gene"]).alias("receptor")).distinct()
+
+
 def read_selected_betas(spark: SparkSession, path: str) -> DataFrame:
     """(receiver_group, source, target, signed_beta) of the selected rows; of repeated keys the last line wins."""
     rows = lines(spark, path)

@@ -34,7 +34,23 @@ def write_table(df: DataFrame, path: str, decimals: dict[str, int] | None = None
     w = df.write.mode("overwrite")
     if by:
         w = w.partitionBy(*by)
-    (w.option("header", True) if form == "csv" else w).format(form).save(path)
+    (w.option("header", True).option("escape", '"') if form == "csv" else w).format(form).save(path)
+
+
+def write_edges(kept: DataFrame, summary: DataFrame, path: str, by: str = "receiver_group") -> None:
+    """Edges as a table partitioned by group, so that one group is read without the others, and their summary beside it."""
+    write_table(kept, f"{path}/edges", by=[by])
+    write_table(summary, f"{path}/summary")
+
+
+def write_bytes(path: str, content: bytes) -> None:
+    """A small file from the driver, in any store that Arrow opens."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(at, compression=None) as out:
+        out.write(content)
 
 
 def write_metadata(spark: SparkSession, path: str, values: dict) -> None:
