@@ -62,3 +62,44 @@ def zscore(v: Column, mean: Column, sd: Column, floor: float = 1e-6, one_below:
     """(v - mean) / sd with a floor under sd; one_below: an sd under the floor counts as 1 instead."""
     scale = F.when(sd < floor, 1.0).otherwise(sd) if one_below else F.greatest(sd, F.lit(floor))
     return (v - mean) / scale
+
+
+def draw(seed: int, *keys: Column | str) -> Column:
+    """A random-looking text of hexadecimal digits that follows from seed and keys alone; for orders."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *keys))
+
+
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """A number from 0 to 1, without 1, in steps of 2 ** -28, that follows from seed and keys alone."""
+    return F.conv(F.substring(draw(seed, *keys), 1, 7), 16, 10).cast("long") / float(1 << 28)
+
+
+# The 64-bit FNV-1a start value in halves; its prime is 2 ** 40 + 435.
+FNV_HIGH, FNV_LOW, FNV_PRIME_LOW = 0xCBF29CE4, 0x84222325, 435
+
+
+def fnv1a(text: str) -> Column:
+    """The 64-bit FNV-1a hash of a text's ASCII characters as decimal(20, 0), in halves of 32 bits so that nothing overflows."""
+    half = 0xFFFFFFFF
+    start = F.struct(F.lit(FNV_HIGH).cast("long").alias("hi"), F.lit(FNV_LOW).cast("long").alias("lo"))
+
+    def step(h: Column, c: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(F.ascii(c).cast("long"))
+        low = lo * FNV_PRIME_LOW
+        high = h["hi"] * FNV_PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(lo, 8)
+        return F.struct(high.bitwiseAND(F.lit(half)).alias("hi"), low.bitwiseAND(F.lit(half)).alias("lo"))
+
+    h = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)
+    wide = lambda c: c.cast("decimal(20,0)")
+    return (wide(h["hi"]) * F.lit(4294967296).cast("decimal(20,0)") + wide(h["lo"])).cast("decimal(20,0)")
+
+
+def natural_key(text: str, digits: int = 20) -> Column:
+    """A text that sorts as its lower-case form with runs of digits as numbers (up to so many digits)."""
+    parts = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), digits, "0")).otherwise(F.lower(p))), "")
+
+
+def euclid(gaps: list[Column]) -> Column:
+    """The length of a difference, from its parts."""
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import draw
 from . import spatial, stats
 
 
@@ -66,7 +67,7 @@ def matched_background(edges: DataFrame, cells: DataFrame, able: DataFrame, radi
     near = spatial.radius_join(edges.select(F.col("receiver").alias("cell")).distinct().join(cells, "cell"), senders, radius)
     pool = edges.select("edge", "source", "receiver", F.col("distance").alias("d")).join(near, "receiver").where(F.abs(F.col("distance") - F.col("d")) <= radius * tolerance)
     pool = pool.join(able.select(F.col("cell").alias("sender"), "source"), ["sender", "source"])
-    return pool.groupBy("edge").agg(F.min_by(F.struct("sender", "receiver"), F.struct(F.xxhash64(F.lit(seed), "edge", "sender").alias("h"), "sender")).alias("m")).select("edge", F.col("m.sender").alias("sender"), F.col("m.receiver").alias("receiver"))
+    return pool.groupBy("edge").agg(F.min_by(F.struct("sender", "receiver"), F.struct(draw(seed, "edge", "sender").alias("h"), "sender")).alias("m")).select("edge", F.col("m.sender").alias("sender"), F.col("m.receiver").alias("receiver"))
 
 
 def enrichment(model: DataFrame, background: DataFrame, sizes: DataFrame, relations: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
 from .matrix import unpack_gram, weighted_gram
 
 EFFECTS = "receiver_group int, source int, target int, screening_signed_effect double, screening_score double, signed_beta double, intercept double, training_improvement double"
@@ -174,7 +175,7 @@ def stability(rows: DataFrame, triplets: DataFrame, repeats: int, fraction: floa
     A cell is in a repeat by a hash of seed, repeat and cell. rows also have `cell`.
     """
     k = rows.select(F.size("p").alias("k")).first()["k"]
-    inside = lambda r: F.pmod(F.xxhash64(F.lit(seed), r, "cell"), F.lit(1_000_000)) < int(fraction * 1_000_000)
+    inside = lambda r: uniform(seed, r.cast("string"), "cell") < fraction
     spread = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda r: F.transform("p", lambda v: F.when(inside(r), v).otherwise(0.0))))
     effects = fit_effects(rows.select("x", "y", spread.alias("p")), n_sources, n_targets, config)
     e = effects.withColumn("repeat", (F.col("receiver_group") / k).cast("int") + 1).withColumn("receiver_group", F.col("receiver_group") % k)

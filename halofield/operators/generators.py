@@ -77,3 +77,32 @@ def least_correlated(fields: DataFrame, primary: int) -> int:
     p = fields.where(F.col("gene") == primary).select("cell", F.col("field").alias("p"))
     r = fields.where(F.col("gene") != primary).join(p, "cell").groupBy("gene").agg(F.round(F.abs(F.corr("field", "p")), 12).alias("r"))
     return r.orderBy("r", "gene").first()["gene"]
+
+
+def matched_markers(expression: DataFrame, groups: DataFrame, targets: dict[int, int], markers: int = 3, share: float = 0.9, seed: int = 168, loadings: tuple[float, ...] = (0.95, 1.05, 1.1)) -> DataFrame:
+    """(cell, group, marker, value): marker genes of each group whose spread follows its target gene, without its spatial order.
+
+    expression(cell, gene, value) is long, groups(cell, group), targets the target gene of each group. A
+    cell gets the target's values of two other cells of its group, one shared by all markers and one of
+    the marker's own, in parts of the variance share and 1 - share; the permutations follow hashes. The
+    sum has the mean and, but for the loading, the variance of the target; values below 0 become 0.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.scalars import draw
+
+    spark = expression.sparkSession
+    of = spark.createDataFrame(list(targets.items()), "group int, gene long")
+    own = groups.select("cell", F.col("group").cast("int").alias("group")).join(F.broadcast(of), "group").join(expression, ["cell", "gene"], "left")
+    own = own.select("cell", "group", F.coalesce("value", F.lit(0.0)).alias("value"))
+    mean = own.groupBy("group").agg(F.avg("value").alias("mean"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("cell"))
+    shuffled = lambda name: F.row_number().over(Window.partitionBy("group", "marker").orderBy(draw(seed, F.lit(name), "marker", "cell"), "cell"))
+    kinds = lambda lo, hi: own.withColumn("marker", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+    shared = kinds(0, 0).select("group", shuffled("shared").alias("at"), F.col("value").alias("a"))
+    special = kinds(0, markers - 1).select("group", "marker", shuffled("own").alias("at"), F.col("value").alias("b"))
+    cells = own.select("cell", "group", place.alias("at"))
+    drawn = cells.join(shared, ["group", "at"]).join(special, ["group", "at"]).join(F.broadcast(mean), "group")
+    loading = F.element_at(F.array(*map(F.lit, loadings)), F.col("marker") % len(loadings) + 1)
+    program = float(share) ** 0.5 * (F.col("a") - F.col("mean")) + (1 - float(share)) ** 0.5 * (F.col("b") - F.col("mean"))
+    return drawn.select("cell", "group", "marker", F.greatest(F.col("mean") + loading * program, F.lit(0.0)).alias("value"))

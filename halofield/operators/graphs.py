@@ -48,3 +48,36 @@ def propagated_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
         if not step.where("label <> was").take(1):
             break
     return label
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+    """(source, node, steps): fewest undirected edges(a, b) from each source(node) to the nodes within `most` steps.
+
+    Each round extends only the pairs found last, so a round costs their number times the degree.
+    """
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    found = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("steps")).distinct())
+    last = found
+    for step in range(1, most + 1):
+        reached = last.join(both, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct()
+        last = written(reached.join(found, ["source", "node"], "left_anti").withColumn("steps", F.lit(step)))
+        if not last.take(1):
+            break
+        found = found.unionByName(last)
+    return found
+
+
+def densest_crop(edges: DataFrame, size: int = 14) -> DataFrame:
+    """(centre, node, rank): of the largest component of edges(receiver, sender, distance) the node whose
+    `size` nearest neighbours lie closest together, and these neighbours. Ties: the smallest node.
+
+    Closeness is the mean distance to the neighbours; nodes with fewer than `size` come after all others.
+    """
+    links = edges.select(F.col("receiver").alias("a"), F.col("sender").alias("b"))
+    label = written(least_reachable(links))
+    largest = label.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
+    inside = label.join(F.broadcast(largest), "label", "left_semi").select(F.col("node").alias("receiver"))
+    near = edges.join(inside, "receiver", "left_semi")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("receiver").orderBy("distance", "sender"))).where(F.col("rank") <= size)
+    centre = ranked.groupBy("receiver").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")).orderBy(F.desc("n"), "mean", "receiver").limit(1)
+    return ranked.join(F.broadcast(centre.select("receiver")), "receiver", "left_semi").select(F.col("receiver").alias("centre"), F.col("sender").alias("node"), "rank")

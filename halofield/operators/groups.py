@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import last_argmax, softmax
 from ..sources.store import written
-from .matrix import squared_distances
+from .matrix import projected, squared_distances, whitened_pca
 
 
 def kmeans(rows: DataFrame, column: str, k: int, restarts: int = 5, iterations: int = 100, seed: int = 168) -> list[list[float]]:
@@ -90,3 +90,28 @@ def programs(correlations: DataFrame, genes: DataFrame, threshold: float) -> Dat
     order = sizes.select("label", F.struct((-F.col("size")).alias("s"), "label").alias("k"))
     number = order.alias("p").join(order.alias("q"), F.col("q.k") < F.col("p.k"), "left").groupBy(F.col("p.label").alias("label")).agg(F.count("q.label").alias("program"))
     return label.join(number, "label").select("program", F.col("node").alias("gene"))
+
+
+def reduced_groups(rows: DataFrame, column: str, width: int, components: int, k: int, restarts: int = 12, seed: int = 168) -> DataFrame:
+    """rows with `group`: k-means with many restarts on the leading axes of an array column; no soft membership."""
+    mean, projection = whitened_pca(rows, column, width, components)
+    placed = projected(rows, column, mean, projection)
+    centres = kmeans(placed, "projected", k, restarts, seed=seed)
+    d2 = squared_distances(placed, "projected", centres)
+    return d2.withColumn("group", (F.array_position("d2", F.array_min("d2")) - 1).cast("int")).drop("projected", "d2")
+
+
+def group_count(manual: int | None, candidates) -> tuple[int, DataFrame | None]:
+    """The number of groups and the table of candidates: a manual number is taken as it is, and nothing is fitted.
+
+    candidates() makes the table (see choose_count) where there is none.
+    """
+    if manual is not None:
+        if manual < 1:
+            raise ValueError("a manual number of groups must be positive")
+        return manual, None
+    table = written(candidates())
+    chosen = table.where("selected").first()
+    if chosen is None:
+        raise ValueError("no candidate count is eligible")
+    return chosen["count"], table

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import draw, uniform
+
 
 def spread(n, take):
     """Places floor(k * n / take) for k below take, as an array of longs."""
@@ -12,9 +14,23 @@ def spread(n, take):
 
 
 def balanced(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
-    """At most most / groups rows of each group, evenly spaced in the order of key."""
+    """At most most / groups rows of each group, evenly spaced in the order of key.
+
+    Places inside a group come from ranges of (group, key) and the sizes of groups and of their parts in
+    each range, so a group that holds most rows is dealt over many tasks. A null group is one of its own
+    for its size, but not counted as a group.
+    """
+    from ..sources.store import written
+
     n_groups = df.agg(F.countDistinct(group).alias("groups"))
-    sized = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(group)).cast("long")).crossJoin(F.broadcast(n_groups))
+    placed = written(df.repartitionByRange(group, key).withColumn("_p", F.spark_partition_id()))
+    # one row for each group and range that it reaches into: at most groups + ranges rows
+    sizes = placed.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count("*").alias("_k"))
+    before = Window.partitionBy("_g").orderBy("_q")
+    sizes = sizes.withColumn("_n", F.sum("_k").over(Window.partitionBy("_g"))).withColumn("_b", F.sum("_k").over(before) - F.col("_k"))
+    inside = F.row_number().over(Window.partitionBy("_p", group).orderBy(key)) - 1
+    sized = placed.withColumn("_i", inside).join(sizes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    sized = sized.withColumn("_r", F.col("_b") + F.col("_i")).crossJoin(F.broadcast(n_groups))
     take = F.least(F.col("_n"), F.greatest(F.floor(F.lit(most) / F.col("groups")), F.lit(1)).cast("long"))
     # k exists with floor(k * n / take) = r exactly if the smallest k with k * n >= r * take gives r
     first = F.ceil(F.col("_r") * F.col("_take") / F.col("_n"))
@@ -32,7 +48,7 @@ def systematic(df: DataFrame, index: str, total: int, most: int) -> DataFrame:
 
 def stratified(df: DataFrame, group: str, key: str, fraction: float, seed: int) -> DataFrame:
     """max(1, round(n * fraction)) random rows of each group."""
-    r = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key))
+    r = F.row_number().over(Window.partitionBy(group).orderBy(draw(seed, key), key))
     n = F.count("*").over(Window.partitionBy(group))
     return df.withColumn("_r", r).withColumn("_n", n).where(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_n") * F.lit(fraction)))).drop("_r", "_n")
 
@@ -43,7 +59,7 @@ def epoch_sample(df: DataFrame, sample: str, key: str, limit: int, least: int, s
     Rows that a sample is owed come first, the rest by hash. The places come from a range exchange and
     a limit, so no task sees all rows.
     """
-    h = F.xxhash64(F.lit(seed), F.lit(epoch), key)
+    h = draw(seed, F.lit(str(epoch)), key)
     owed = F.row_number().over(Window.partitionBy(sample).orderBy(h, key)) <= least
     return df.withColumn("_late", ~owed).orderBy("_late", h, key).limit(limit).drop("_late")
 
@@ -55,7 +71,7 @@ def permuted(df: DataFrame, index: str, seed: int) -> DataFrame:
     """
     from ..sources.readers import numbered
 
-    shuffled = numbered(df.select(index).withColumn("_h", F.xxhash64(F.lit(seed), index)), ["_h", index], "taken")
+    shuffled = numbered(df.select(index).withColumn("_h", draw(seed, index)), ["_h", index], "taken")
     return shuffled.select(index, "taken")
 
 
@@ -65,7 +81,7 @@ def bootstrap(df: DataFrame, value: str, by: list[str], replicates: int, seed: i
     A row's weight in a replicate is a function of seed, replicate and the row's key `key`. Sums are
     partial before the exchange, so a replicate costs one row a group and partition.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "key"), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform(seed, "replicate", "key")
     edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
     drawn = df.select(*by, "key", value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", weight)
@@ -77,10 +93,16 @@ def bootstrap(df: DataFrame, value: str, by: list[str], replicates: int, seed: i
 
 def permutation_null(df: DataFrame, score: str, hit: str, key: str, repeats: int, seed: int) -> DataFrame:
     """Average precision of df's ranking, its mean under permuted hits, and p = (1 + as good) / (repeats + 1)."""
-    order = Window.partitionBy("repeat").orderBy(F.desc("order"), key)
+    order = Window.partitionBy("repeat").orderBy(F.desc("order"), "shuffled", key)
     runs = df.select(key, score, F.col(hit).cast("int").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(repeats))).alias("repeat"))
-    runs = runs.withColumn("order", F.when(F.col("repeat") == 0, F.col(score)).otherwise(F.xxhash64(F.lit(seed), "repeat", key).cast("double")))
+    runs = runs.withColumn("order", F.when(F.col("repeat") == 0, F.col(score)).otherwise(0.0)).withColumn("shuffled", F.when(F.col("repeat") > 0, draw(seed, "repeat", key)))
     runs = runs.withColumn("r", F.row_number().over(order)).withColumn("seen", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ap = runs.groupBy("repeat").agg(F.avg(F.when(F.col("hit") == 1, F.col("seen") / F.col("r"))).alias("ap"))
     seen = ap.where("repeat = 0").select(F.col("ap").alias("observed"))
     return ap.where("repeat > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.avg("ap").alias("expected"), ((1 + F.count_if(F.col("ap") >= F.col("observed"))) / (F.count("*") + 1)).alias("p"))
+
+
+def random_mask(key: str, width: int, probability: float, seed: int, epoch: int) -> Column:
+    """An array of booleans of a row: each place true with the probability, by seed, epoch, key and place alone."""
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    return F.transform(places, lambda g: uniform(seed, F.lit(str(epoch)), key, g.cast("string")) < probability)

@@ -67,24 +67,30 @@ def average_precision(scores: DataFrame, by: list[str], score: str, positive: st
     return out.select(*by, "n_positive", F.when(none, 0.0).otherwise(F.col("s") / F.col("n_positive")).alias("average_precision"), F.when(none, 0.0).otherwise(F.col("g") / best).alias("log_rank_gain"))
 
 
-def tie_averaged(scores: DataFrame, by: list[str], score: str, positive: str, repeats: int = 1000, seed: int = 0) -> DataFrame:
-    """Average precision, MRR and mean rank of the positives, averaged over random orders of equal scores.
-
-    One group's scores are one task's rows; groups are the lists of one method and case.
+def tie_averaged(scores: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
+    """Average precision, MRR and mean rank of the positives, their mean over all orders of equal scores.
+
+    The mean has a closed form for each place of a block of m equal scores with h positives, of which
+    `rows` rows with `hits` positives come before: the place holds a positive in h of m orders, and then
+    has (j - 1)(h - 1)/(m - 1) more of its own block before it; it holds the first positive of all, if
+    hits is 0, with the probability that none of the j - 1 places before does. Groups without a
+    positive give zeros.
     """
-    kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in by)
-
-    def average(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, *(sum(str(k).encode()) for k in key)])
-        s, hit = f[score].to_numpy(float), f[positive].to_numpy(bool)
-        out = np.zeros(3)
-        if hit.any():
-            for _ in range(repeats):
-                ranks = np.flatnonzero(hit[np.lexsort((rng.random(len(s)), -s))]) + 1
-                out += [(np.arange(1, len(ranks) + 1) / ranks).mean(), 1 / ranks[0], ranks.mean()]
-        return pd.DataFrame([[*key, *(out / repeats)]], columns=[*by, "average_precision", "mrr", "mean_rank"])
-
-    return scores.select(*by, score, positive).groupBy(*by).applyInPandas(average, f"{kinds}, average_precision double, mrr double, mean_rank double")
+    block = scores.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_m"), F.sum(F.col(positive).cast("int")).alias("_h"))
+    before = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    block = block.withColumn("_rows", F.coalesce(F.sum("_m").over(before), F.lit(0))).withColumn("_hits", F.coalesce(F.sum("_h").over(before), F.lit(0)))
+    total = block.groupBy(*by).agg(F.sum("_h").alias("_n"), F.sum(F.col("_h") * (F.col("_rows") + (F.col("_m") + 1) / 2.0)).alias("_ranks"))
+    # blocks without a positive add nothing to the first two; the others give a row for each of their places
+    place = block.where("_h > 0").withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
+    j, m, h = F.col("_j"), F.col("_m"), F.col("_h")
+    seen = F.col("_hits") + 1 + F.when(m > 1, (j - 1) * (h - 1) / (m - 1)).otherwise(0.0)
+    part = h / m * seen / (F.col("_rows") + j)
+    inside = Window.partitionBy(*by, "_s").orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
+    missed = F.coalesce(F.exp(F.sum(F.when(m - j - h + 1 > 0, F.ln((m - j - h + 1) / (m - j + 1)))).over(inside)), F.lit(1.0))
+    first = F.when((F.col("_hits") == 0) & (j - 1 <= m - h), missed * h / (m - j + 1) / (F.col("_rows") + j)).otherwise(0.0)
+    sums = place.withColumn("_part", part).withColumn("_first", first).groupBy(*by).agg(F.sum("_part").alias("_ap"), F.sum("_first").alias("_rr"))
+    n = F.greatest(F.col("_n"), F.lit(1))
+    return total.join(sums, by, "left").select(*by, F.coalesce(F.col("_ap") / n, F.lit(0.0)).alias("average_precision"), F.coalesce("_rr", F.lit(0.0)).alias("mrr"), (F.col("_ranks") / n).alias("mean_rank"))
 
 
 @F.pandas_udf(DoubleType())

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import random_mask
+
 
 @dataclass(frozen=True)
 class Model:
@@ -134,11 +136,6 @@ def forward(m: Model, w: dict[str, Var], x: np.ndarray, mask: np.ndarray) -> tup
     return (t @ w["head_token"].shaped(d, 1)).shaped(n, g) + cell @ w["head_cell"].shaped(d, 1) + w["head_bias"], cell
 
 
-def random_mask(cells: np.ndarray, genes: int, probability: float, seed: int, epoch: int) -> np.ndarray:
-    """A mask for each cell that depends on seed, epoch and cell only."""
-    return np.stack([np.random.default_rng([seed, epoch, int(c)]).random(genes) < probability for c in cells])
-
-
 def loss_and_slopes(m: Model, flat: np.ndarray, x: np.ndarray, mask: np.ndarray) -> tuple[float, float, np.ndarray]:
     """Sum of squared errors at masked entries, their number, and the slopes of the sum."""
     w = {k: Var(v) for k, v in m.split(flat).items()}
@@ -161,17 +158,18 @@ def train(rows: DataFrame, m: Model, epochs: int, batches: int = 1, probability:
         for b in range(batches):
             weights = rows.sparkSession.sparkContext.broadcast(flat)
 
-            def add(frames: Iterator[pd.DataFrame], epoch: int = epoch, weights=weights) -> Iterator[pd.DataFrame]:
+            def add(frames: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
                 sums = np.zeros(len(weights.value) + 2)
                 for f in frames:
                     for a in range(0, len(f), at_once):
                         part = f.iloc[a : a + at_once]
-                        mask = random_mask(part["cell"].to_numpy(), m.genes, probability, seed, epoch)
+                        mask = np.stack(part["mask"].to_numpy()).astype(bool)
                         error, n, slopes = loss_and_slopes(m, weights.value, np.stack(part["v"].to_numpy()).astype(float), mask)
                         sums += np.concatenate([[error, n], slopes])
                 yield pd.DataFrame({"place": np.arange(len(sums)), "total": sums})
 
             batch = held.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "cell"), F.lit(batches)) == b)
+            batch = batch.select("v", random_mask("cell", m.genes, probability, seed, epoch).alias("mask"))
             sums = batch.mapInPandas(add, "place int, total double").groupBy("place").agg(F.sum("total").alias("total")).orderBy("place").toPandas()["total"].to_numpy()
             weights.unpersist()
             total, step = total + sums[:2], step + 1

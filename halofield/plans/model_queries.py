@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import ReactionDiffusion
 from ..operators import edges as edge_ops
 from ..operators import effects, fields, groups, matrix, ranking, spatial, transformer
-from . import analysis
+from . import analysis, fit_sql
 from .analysis import Analysis
 from .registry import CELLS, EDGES, EXPR, LENGTH, MIN_DISTANCE, RADIUS, RESIDUAL, cells, expression, query, r, residual, table
 
@@ -105,7 +105,10 @@ def fitted(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("source", (F.col("source") + 1).cast("long")).withColumn("target", (F.col("target") + 1).cast("long"))
 
 
-@query("ml09_sparse_effects")
+HARD = f"{STANDARD}, member AS (SELECT grp * 100 + t AS pid, cell FROM cells, range(1, 13) r(t)), aim AS (SELECT DISTINCT grp * 100 + t AS pid, t AS target FROM cells, range(1, 13) r(t)), {fit_sql.fitted(0.01)}"
+
+
+@query("ml09_sparse_effects", f"WITH RECURSIVE {HARD} SELECT CAST(pid // 100 AS INTEGER) AS receiver_group, s AS source, target, beta <> 0 AS selected, round(score, 5) + 0 AS screening_score, round(beta, 5) + 0 AS signed_beta, round(intercept, 5) + 0 AS intercept, round(imp, 5) + 0 AS training_improvement, round(CASE WHEN sum(abs(beta)) OVER w > 0 THEN abs(beta) / sum(abs(beta)) OVER w ELSE 0 END, 5) + 0 AS derived_attention FROM eff JOIN ic USING (pid) WINDOW w AS (PARTITION BY pid)")
 def sparse_effects(spark: SparkSession, sf: str) -> DataFrame:
     e = effects.with_attention(fitted(spark, sf))
     return e.select("receiver_group", "source", "target", "selected", *(r(c, 5).alias(c) for c in ("screening_score", "signed_beta", "intercept", "training_improvement", "derived_attention")))
@@ -115,13 +118,13 @@ def hard(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).select("cell", F.col("group").alias("receiver_group"), F.lit(1.0).alias("p"))
 
 
-@query("ml11_predictions")
+@query("ml11_predictions", f"WITH RECURSIVE {HARD} SELECT cells.cell, target, round(any_value(intercept) + sum(beta * zf.z), 5) + 0 AS predicted FROM cells JOIN eff ON pid // 100 = grp JOIN ic USING (pid) JOIN zf ON zf.cell = cells.cell AND zf.gene = s GROUP BY 1, 2")
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     x, _ = standard(spark, sf)
     return effects.predict(x.select("cell", "gene", "z"), hard(spark, sf), fitted(spark, sf)).withColumn("predicted", r("predicted", 5))
 
 
-@query("ml12_contributions")
+@query("ml12_contributions", f"WITH RECURSIVE {HARD} SELECT cells.cell, s AS source, target, round(beta, 5) + 0 AS effective_beta, round(beta * zf.z, 5) + 0 AS contribution FROM cells JOIN eff ON pid // 100 = grp JOIN zf ON zf.cell = cells.cell AND zf.gene = s WHERE beta <> 0")
 def contributions(spark: SparkSession, sf: str) -> DataFrame:
     x, _ = standard(spark, sf)
     c = effects.contributions(x.select("cell", "gene", "z"), hard(spark, sf), fitted(spark, sf))
@@ -134,14 +137,35 @@ def gene_programs(spark: SparkSession, sf: str) -> DataFrame:
     return groups.programs(matrix.gene_correlations(e, "value"), e.select("gene").distinct(), 0.05)
 
 
-@query("ml17_held_out_triplets")
+FOLD3 = "xor(CAST(floor(x / 0.3e0) AS BIGINT) * 73856093, CAST(floor(y / 0.3e0) AS BIGINT) * 19349663)"
+HELD_OUT = f"""{STANDARD}, fb AS (SELECT cell, grp, (({FOLD3} % 5) + 5) % 5 AS f FROM cells), cf AS (SELECT cell, grp, CASE WHEN (SELECT count(DISTINCT f) FROM fb) < 5 THEN cell % 5 ELSE f END AS fold FROM fb),
+t(id, grp, source, target) AS (VALUES (0, 0, 2, 3), (1, 1, 4, 5), (2, 2, 6, 7)), q AS (SELECT id * 10 + r.fold AS pid, id, r.fold AS fold, source, target, cf.cell, cf.fold = r.fold AS held FROM t JOIN cf USING (grp), range(0, 5) r(fold)),
+member AS (SELECT pid, cell FROM q WHERE NOT held), aim AS (SELECT DISTINCT pid, target FROM q), {fit_sql.screened()},
+used AS (SELECT * FROM rk JOIN (SELECT DISTINCT pid, source FROM q) USING (pid), (VALUES ('full'), ('less')) v(kind) WHERE (k <= 8 OR s = source) AND (kind = 'full' OR s <> source)),
+gm2 AS (SELECT pid * 2 + kind AS pid, s, t, g FROM gm, range(0, 2) r(kind)), chosen AS (SELECT pid * 2 + CASE WHEN kind = 'full' THEN 0 ELSE 1 END AS pid, s, c, s AS k FROM used),
+{fit_sql.descended(0.03, 0.05).replace("JOIN gm ON gm.pid = a.pid AND gm.s = a.s AND gm.t = b.s", "JOIN gm2 gm ON gm.pid = a.pid AND gm.s = a.s AND gm.t = b.s")},
+beta AS (SELECT pid // 2 AS pid, pid % 2 AS kind, s, b[row_number() OVER (PARTITION BY pid ORDER BY s)] AS b FROM chosen JOIN solved USING (pid)),
+hx AS (SELECT pid, a.gene AS s, b.gene AS t, avg(a.z * b.z) - avg(a.z) * avg(b.z) AS g FROM q JOIN zf a USING (cell) JOIN zf b USING (cell) WHERE held GROUP BY 1, 2, 3),
+hy AS (SELECT pid, a.gene AS s, avg(a.z * b.z) - avg(a.z) * avg(b.z) AS c, avg(a.z) AS mx FROM q JOIN zf a USING (cell) JOIN zr b ON b.cell = q.cell AND b.gene = target WHERE held GROUP BY 1, 2),
+ht AS (SELECT pid, count(*) AS mass, avg(z) AS my, avg(z * z) - avg(z) * avg(z) AS v FROM q JOIN zr ON zr.cell = q.cell AND zr.gene = target WHERE held GROUP BY 1),
+lin AS (SELECT beta.pid, kind, sum(b * hy.c) AS bc, sum(b * (hy.mx - cr.mx)) AS shift FROM beta JOIN hy ON hy.pid = beta.pid AND hy.s = beta.s JOIN cr ON cr.pid = beta.pid AND cr.s = beta.s GROUP BY 1, 2),
+quad AS (SELECT a.pid, a.kind, sum(a.b * b.b * g) AS bgb FROM beta a JOIN beta b ON a.pid = b.pid AND a.kind = b.kind JOIN hx ON hx.pid = a.pid AND hx.s = a.s AND hx.t = b.s GROUP BY 1, 2),
+e AS (SELECT pid, kind, ht.v - 2 * bc + bgb + (ht.my - ty.my - shift) * (ht.my - ty.my - shift) AS error, ht.v + (ht.my - ty.my) * (ht.my - ty.my) AS base, mass FROM lin JOIN quad USING (pid, kind) JOIN ht USING (pid) JOIN ty USING (pid))"""
+
+
+@query("ml17_held_out_triplets", f"WITH RECURSIVE {HELD_OUT} SELECT CAST(t.grp AS INTEGER) AS receiver_group, CAST(t.source - 1 AS INTEGER) AS source, CAST(t.target - 1 AS INTEGER) AS target, CAST(a.pid % 10 AS INTEGER) AS fold, round(CAST(a.mass AS DOUBLE), 5) + 0 AS mass, round(a.base, 5) + 0 AS baseline_mse, round(a.error, 5) + 0 AS full_mse, round(b.error, 5) + 0 AS without_source_mse, round(CASE WHEN a.base > 0 THEN (b.error - a.error) / a.base ELSE 0 END, 5) + 0 AS incremental_improvement FROM e a JOIN e b ON a.pid = b.pid AND a.kind = 0 AND b.kind = 1 JOIN t ON t.id = a.pid // 10")
 def held_out(spark: SparkSession, sf: str) -> DataFrame:
     t = spark.createDataFrame([(0, 1, 2), (1, 3, 4), (2, 5, 6)], "receiver_group int, source int, target int")
     v = analysis.validate(cells(spark, sf), rows(spark, sf), t, 12, 12)
     return v.select("receiver_group", "source", "target", "fold", *(r(c, 5).alias(c) for c in ("mass", "baseline_mse", "full_mse", "without_source_mse", "incremental_improvement")))
 
 
-@query("ml18_stability")
+REPEATED = f"""{STANDARD}, t(id, grp, source, target) AS (VALUES (0, 0, 2, 3), (1, 1, 4, 5), (2, 2, 6, 7)),
+member AS (SELECT id * 10 + n AS pid, cell FROM t JOIN cells USING (grp), range(1, 6) r(n) WHERE CAST('0x' || substr(md5('168/' || n || '/' || cell), 1, 7) AS BIGINT) / 268435456e0 < 0.8e0), aim AS (SELECT id * 10 + n AS pid, target FROM t, range(1, 6) r(n)), {fit_sql.fitted(0.01)},
+ranks AS (SELECT pid, s, beta, rank() OVER (PARTITION BY pid ORDER BY abs(beta) DESC) AS source_rank FROM eff)"""
+
+
+@query("ml18_stability", f"WITH RECURSIVE {REPEATED} SELECT CAST(pid % 10 AS INTEGER) AS repeat, CAST(grp AS INTEGER) AS receiver_group, CAST(source - 1 AS INTEGER) AS source, CAST(target - 1 AS INTEGER) AS target, round(beta, 5) + 0 AS signed_beta, CAST(source_rank AS INTEGER) AS source_rank FROM ranks JOIN t ON t.id = pid // 10 AND s = source")
 def stability(spark: SparkSession, sf: str) -> DataFrame:
     t = spark.createDataFrame([(0, 1, 2), (1, 3, 4), (2, 5, 6)], "receiver_group int, source int, target int")
     return effects.stability(rows(spark, sf), t, 5, 0.8, 168, 12, 12, effects.SparseEffects(l1=0.01)).withColumn("signed_beta", r("signed_beta", 5))
@@ -183,7 +207,7 @@ def containment_join(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy(F.col("edge.receiver").alias("receiver"), "relation").agg(F.count("*").alias("n"))
 
 
-@query("jn17_matched_background")
+@query("jn17_matched_background", f"WITH {ATTRIBUTED}, k AS (SELECT *, row_number() OVER (PARTITION BY receiver_group, source, target ORDER BY influence DESC, receiver, sender) AS rank, count(*) OVER (PARTITION BY receiver_group, source, target) AS n FROM s), kept AS (SELECT source || '/' || sender || '/' || receiver AS edge, source, receiver, distance AS d FROM k WHERE rank <= least(ceil(n * 0.5e0), 300)), pool AS (SELECT edge, edges.sender, edges.receiver FROM kept JOIN edges USING (receiver) JOIN expr ON expr.cell = edges.sender AND expr.gene = kept.source AND expr.value > 0 WHERE abs(edges.distance - d) <= {RADIUS * 0.1!r}) SELECT edge, sender, receiver FROM (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY md5('168/' || edge || '/' || sender), sender) AS k FROM pool) WHERE k = 1")
 def matched_background(spark: SparkSession, sf: str) -> DataFrame:
     kept, _ = triplet_edges(spark, sf)
     e = kept.select(F.concat_ws("/", "source", "sender", "receiver").alias("edge"), "source", "sender", "receiver", "distance")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import effects, generators, graphs, spatial, stats, transformer
+from ..operators import effects, generators, graphs, spatial, stats
 from ..sources import readers, writers
 from ..sources.store import new_path, written
 from . import recovery
-from .model_queries import ATTRIBUTED, fitted, hard, standard, triplet_edges
-from .registry import CELLS, EXPR, RELATIONS, cells, expression, query, r, relations, residual, table
+from .model_queries import ATTRIBUTED, HARD, fitted, hard, standard, triplet_edges
+from .registry import CELLS, EXPR, RELATIONS, cells, expression, knn, query, r, relations, residual, table
 
 # --- sources and sinks
 
@@ -163,19 +163,7 @@ def gene_rank_sums(spark: SparkSession, sf: str) -> DataFrame:
 # --- models
 
 
-@query("smp08_random_mask")
-def random_mask(spark: SparkSession, sf: str) -> DataFrame:
-    """Genes masked for each cell in one epoch."""
-
-    def run(frames):
-        for f in frames:
-            f["masked"] = transformer.random_mask(f["cell"].to_numpy(), 12, 0.15, 168, 1).sum(1) if len(f) else []
-            yield f
-
-    return cells(spark, sf).select("cell").mapInPandas(run, "cell long, masked long")
-
-
-@query("ml20_component_errors")
+@query("ml20_component_errors", f"WITH RECURSIVE {HARD}, p AS (SELECT cells.cell, target, any_value(intercept) + sum(beta * zf.z) AS p FROM cells JOIN eff ON pid // 100 = grp JOIN ic USING (pid) JOIN zf ON zf.cell = cells.cell AND zf.gene = s GROUP BY 1, 2), o AS (SELECT zr.cell, gene, zr.z AS v, avg(zr.z) OVER (PARTITION BY grp, gene) AS m FROM zr JOIN cells USING (cell)), e AS (SELECT avg((v - m) * (v - m)) AS base, avg((v - p) * (v - p)) AS mse FROM o JOIN p ON p.cell = o.cell AND target = gene) SELECT 'group mean' AS method, round(base, 5) + 0 AS mse, 0e0 AS improvement FROM e UNION ALL SELECT 'effects', round(mse, 5) + 0, round(1 - mse / base, 5) + 0 FROM e")
 def component_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of group means and of the fitted effects on the standardized residuals."""
     x, y = standard(spark, sf)
@@ -195,7 +183,15 @@ def truth_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("receiver_group", "source", "target", *(F.col(c).cast("long").alias(c) for c in ("source_rank", "joint_rank", "target_rank")))
 
 
-@query("ml23_propagated_labels")
+def propagated_sql(rounds: int) -> str:
+    steps = ["l0 AS (SELECT DISTINCT a AS node, a AS label FROM e)"]
+    for i in range(rounds):
+        steps.append(f"v{i} AS (SELECT e.a AS node, label, count(*) AS n FROM e JOIN l{i} ON l{i}.node = e.b GROUP BY 1, 2)")
+        steps.append(f"l{i + 1} AS (SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, label) AS k FROM v{i}) WHERE k = 1)")
+    return ", ".join(steps)
+
+
+@query("ml23_propagated_labels", f"WITH {CELLS}, k AS {knn(6)}, e AS (SELECT receiver AS a, sender AS b FROM k UNION SELECT sender, receiver FROM k), {propagated_sql(5)} SELECT node, label FROM l5")
 def propagated_labels(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
     return graphs.propagated_labels(spatial.knn_join(c, c, 6), rounds=5)

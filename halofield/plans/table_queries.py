@@ -264,7 +264,7 @@ def bulk(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.standardized(matrix.library_size(s.withColumnRenamed("cluster", "cell"), 1e6).withColumnRenamed("cell", "cluster"), "value", ["gene"])
 
 
-@query("agg16_module_labels")
+@query("agg16_module_labels", f"WITH {CELLS}, {EXPR}, s AS (SELECT grp AS cluster, gene, sum(value) AS v FROM expr JOIN cells USING (cell) GROUP BY 1, 2), t AS (SELECT *, sum(v) OVER (PARTITION BY cluster) AS total FROM s), n AS (SELECT cluster, gene, CASE WHEN total > 0 THEN ln(1 + v * 1e6 / total) ELSE 0 END AS v FROM t), z AS (SELECT cluster, gene, (v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 1e-8) AS z FROM n WINDOW w AS (PARTITION BY gene)), m(gene, label, role) AS (VALUES (1, 'a', 'core'), (2, 'a', 'aux'), (3, 'a', 'anti'), (4, 'b', 'core'), (5, 'b', 'aux'), (6, 'c', 'core'), (7, 'c', 'anti')), sc AS (SELECT cluster, label, coalesce(avg(z) FILTER (role = 'core'), 0) + 0.5e0 * coalesce(avg(z) FILTER (role = 'aux'), 0) - 0.5e0 * coalesce(avg(z) FILTER (role = 'anti'), 0) AS score FROM z JOIN m USING (gene) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM sc WINDOW w AS (PARTITION BY cluster ORDER BY score DESC, label)) SELECT cluster, CASE WHEN second IS NULL OR score - second >= 0.25e0 THEN label ELSE 'unassigned' END AS label, round(score, 4) + 0 AS score FROM k WHERE r = 1")
 def module_labels(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(1, "a", "core"), (2, "a", "aux"), (3, "a", "anti"), (4, "b", "core"), (5, "b", "aux"), (6, "c", "core"), (7, "c", "anti")]
     m = spark.createDataFrame(rows, "gene long, label string, role string")
@@ -326,13 +326,17 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("cluster", "n_positive", r("average_precision").alias("average_precision"), r("log_rank_gain").alias("log_rank_gain"))
 
 
-@query("agg25_tie_averaged")
+def ln_choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+
+
+@query("agg25_tie_averaged", f"WITH {RELATIONS}, e AS (SELECT cluster, target, floor(score / 200000000) AS s, CASE WHEN (source * 7 + target) % 10 = 0 THEN 1 ELSE 0 END AS hit FROM relations), b AS (SELECT cluster, target, s, count(*) AS m, sum(hit) AS h FROM e GROUP BY 1, 2, 3), c AS (SELECT *, coalesce(sum(m) OVER w, 0) AS rows_, coalesce(sum(h) OVER w, 0) AS hits FROM b WINDOW w AS (PARTITION BY cluster, target ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), p AS (SELECT *, unnest(range(1, m + 1)) AS j FROM c), a AS (SELECT cluster, target, sum(h / m * (hits + 1 + CASE WHEN m > 1 THEN (j - 1) * (h - 1) / (m - 1) ELSE 0 END) / (rows_ + j)) AS ap, sum(CASE WHEN h > 0 AND hits = 0 AND j - 1 <= m - h THEN exp({ln_choose('m - j', 'h - 1')} - {ln_choose('m', 'h')}) / (rows_ + j) ELSE 0 END) AS rr FROM p GROUP BY 1, 2), n AS (SELECT cluster, target, greatest(sum(h), 1) AS n, sum(h * (rows_ + (m + 1) / 2)) AS ranks FROM c GROUP BY 1, 2) SELECT cluster, target, round(ap / n, 6) + 0 AS average_precision, round(rr, 6) + 0 AS mrr, round(ranks / n, 6) + 0 AS mean_rank FROM n JOIN a USING (cluster, target)")
 def tie_averaged(spark: SparkSession, sf: str) -> DataFrame:
     s = relations(spark, sf).withColumn("hit", (F.col("source") * 7 + F.col("target")) % 10 == 0).withColumn("score", F.floor(F.col("score") / 200000000).cast("double"))
-    return stats.tie_averaged(s, ["cluster", "target"], "score", "hit", repeats=100)
+    return stats.tie_averaged(s, ["cluster", "target"], "score", "hit").select("cluster", "target", *(r(c).alias(c) for c in ("average_precision", "mrr", "mean_rank")))
 
 
-@query("agg26_fisher_exact")
+@query("agg26_fisher_exact", f"WITH o AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus <> 'F') AS b FROM orders GROUP BY 1), t AS (SELECT *, CAST(sum(a) OVER () - a AS BIGINT) AS c, CAST(sum(b) OVER () - b AS BIGINT) AS d FROM o), q AS (SELECT *, a + b AS row_, a + c AS column_, a + b + c + d AS total FROM t), k AS (SELECT *, unnest(range(greatest(0, row_ + column_ - total), least(row_, column_) + 1)) AS k FROM q), p AS (SELECT *, exp({ln_choose('row_', 'k')} + {ln_choose('(total - row_)', 'column_ - k')} - {ln_choose('total', 'column_')}) AS pk FROM k), z AS (SELECT *, max(CASE WHEN k = a THEN pk END) OVER (PARTITION BY o_orderpriority) AS own FROM p) SELECT o_orderpriority, a, b, c, d, round(least(1, sum(CASE WHEN pk <= own * (1 + 1e-10) THEN pk ELSE 0 END)), 6) + 0 AS p FROM z GROUP BY 1, 2, 3, 4, 5")
 def fisher(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count_if(F.col("o_orderstatus") != "F").alias("b"))
     w = Window.partitionBy()
@@ -384,7 +388,7 @@ def positive_pearson(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("group", "target").agg(r(F.max("r")).alias("score"))
 
 
-@query("agg34_fold_regression")
+@query("agg34_fold_regression", f"WITH {EXPR}, {RESIDUAL}, d AS (SELECT gene, cell % 5 AS fold, a.value AS x, b.value AS y FROM expr a JOIN residual b USING (cell, gene)), f AS (SELECT gene, r.fold, avg(x) FILTER (d.fold <> r.fold) AS mx, avg(y) FILTER (d.fold <> r.fold) AS my, covar_pop(y, x) FILTER (d.fold <> r.fold) AS c, var_pop(x) FILTER (d.fold <> r.fold) AS v, count(*) FILTER (d.fold <> r.fold) AS tn, count(*) FILTER (d.fold = r.fold) AS n FROM d, range(0, 5) r(fold) GROUP BY 1, 2), b AS (SELECT gene, fold, my, CASE WHEN v > 1e-12 THEN c / v ELSE 0 END AS b, mx FROM f WHERE tn >= 20 AND n >= 5), e AS (SELECT gene, fold, any_value(b) AS b, sum((y - my) * (y - my)) AS base, sum((y - my - b * (x - mx)) * (y - my - b * (x - mx))) AS fit FROM d JOIN b USING (gene, fold) GROUP BY 1, 2) SELECT gene, count(*) AS folds, round(1 - sum(fit) / sum(base), 6) + 0 AS mse_reduction, round(avg(b), 6) + 0 AS effect, round(abs(avg(sign(b))), 6) + 0 AS sign_agreement FROM e GROUP BY 1")
 def fold_regression(spark: SparkSession, sf: str) -> DataFrame:
     d = expression(spark, sf).select("cell", "gene", F.col("value").alias("x"), (F.col("cell") % 5).alias("fold")).join(residual(spark, sf).withColumnRenamed("value", "y"), ["cell", "gene"])
     return stats.fold_regression(d, ["gene"], 5).select("gene", "folds", r("mse_reduction").alias("mse_reduction"), r("effect").alias("effect"), r("sign_agreement").alias("sign_agreement"))
@@ -578,31 +582,34 @@ def systematic(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.systematic(e, "vec_id", e.count(), 70)
 
 
-@query("smp03_stratified_sample")
+@query("smp03_stratified_sample", f"WITH {CELLS}, k AS (SELECT cell, grp, row_number() OVER (PARTITION BY grp ORDER BY md5('7/' || cell), cell) AS r, count(*) OVER (PARTITION BY grp) AS n FROM cells) SELECT cell, grp AS \"group\" FROM k WHERE r <= greatest(1, round(n * 0.3e0))")
 def stratified(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stratified(cells(spark, sf).select("cell", "group"), "group", "cell", 0.3, 7)
 
 
-@query("smp04_epoch_sample")
+@query("smp04_epoch_sample", f"WITH {CELLS}, k AS (SELECT cell, cell % 4 AS sample, md5('42/3/' || cell) AS h FROM cells), o AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY h, cell) > 20 AS late FROM k) SELECT cell, sample FROM o ORDER BY late, h, cell LIMIT 200")
 def epoch_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.epoch_sample(cells(spark, sf).select("cell", (F.col("cell") % 4).alias("sample")), "sample", "cell", 200, 20, 42, 3)
 
 
-@query("smp05_permuted_rows")
+@query("smp05_permuted_rows", f"WITH {CELLS} SELECT cell, row_number() OVER (ORDER BY md5('11/' || cell), cell) - 1 AS taken FROM cells")
 def permuted(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.permuted(cells(spark, sf).select("cell"), "cell", 11)
 
 
-@query("smp06_bootstrap")
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+@query("smp06_bootstrap", f"WITH {CELLS}, {EXPR}, u AS (SELECT cell, n, CAST('0x' || substr(md5('5/' || n || '/' || cell), 1, 7) AS BIGINT) / 268435456e0 AS u FROM cells, range(1, 201) t(n)), w AS (SELECT cell, n, {' + '.join(f'CASE WHEN u >= {e!r} THEN 1 ELSE 0 END' for e in POISSON)} AS w FROM u), m AS (SELECT gene, n, sum(w * value) / sum(w) AS m FROM expr JOIN w USING (cell) GROUP BY 1, 2), q AS (SELECT gene, quantile_cont(m, {(1 - 0.95) / 2!r}) AS low, quantile_cont(m, {1 - (1 - 0.95) / 2!r}) AS high FROM m GROUP BY 1) SELECT gene, round(avg(value), 6) + 0 AS mean, round(any_value(low), 6) + 0 AS low, round(any_value(high), 6) + 0 AS high FROM expr JOIN q USING (gene) GROUP BY 1")
 def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     e = expression(spark, sf).withColumnRenamed("cell", "key")
-    return sampling.bootstrap(e, "value", ["gene"], 200, 5)
+    return sampling.bootstrap(e, "value", ["gene"], 200, 5).select("gene", *(r(c).alias(c) for c in ("mean", "low", "high")))
 
 
-@query("smp07_permutation_null")
+@query("smp07_permutation_null", "WITH p AS (SELECT p_partkey AS k, p_retailprice AS score, CASE WHEN p_size <= 5 THEN 1 ELSE 0 END AS hit FROM part), o AS (SELECT n, hit, row_number() OVER w AS r, sum(hit) OVER w AS seen FROM p, range(0, 101) t(n) WINDOW w AS (PARTITION BY n ORDER BY CASE WHEN n = 0 THEN score ELSE 0 END DESC, CASE WHEN n > 0 THEN md5('3/' || n || '/' || k) END, k)), a AS (SELECT n, avg(CASE WHEN hit = 1 THEN seen / r END) AS ap FROM o GROUP BY 1), b AS (SELECT ap AS observed FROM a WHERE n = 0) SELECT round(observed, 6) + 0 AS observed, round(avg(ap), 6) + 0 AS expected, round((1 + count(*) FILTER (ap >= observed)) / (count(*) + 1), 6) + 0 AS p FROM a, b WHERE n > 0 GROUP BY observed")
 def permutation_null(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("score"), (F.col("p_size") <= 5).alias("hit"))
-    return sampling.permutation_null(p, "score", "hit", "p_partkey", 100, 3)
+    return sampling.permutation_null(p, "score", "hit", "p_partkey", 100, 3).select(*(r(c).alias(c) for c in ("observed", "expected", "p")))
 
 
 # --- scalar functions

@@ -237,9 +237,26 @@ def test_fisher(spark):
     assert t[0].p == pytest.approx(want)
 
 
+def test_tie_averaged_metrics_are_the_mean_over_all_orders(spark):
+    import itertools
+
+    rows = [("a", 3.0, True), ("a", 2.0, False), ("a", 2.0, True), ("a", 2.0, True), ("a", 2.0, False), ("a", 1.0, True), ("b", 5.0, False), ("b", 5.0, False), ("b", 5.0, True), ("b", 4.0, True), ("c", 1.0, False)]
+    got = {r.m: r for r in stats.tie_averaged(spark.createDataFrame(rows, "m string, score double, hit boolean"), ["m"], "score", "hit").collect()}
+    for m in "ab":
+        mine, sums, n = [r[1:] for r in rows if r[0] == m], [0.0, 0.0, 0.0], 0
+        for order in itertools.permutations(mine):
+            if [s for s, _ in order] == sorted((s for s, _ in order), reverse=True):
+                ranks = [i for i, (_, hit) in enumerate(order, 1) if hit]
+                n += 1
+                for k, v in enumerate((sum((i + 1) / r for i, r in enumerate(ranks)) / len(ranks), 1 / ranks[0], sum(ranks) / len(ranks))):
+                    sums[k] += v
+        assert [round(x / n, 9) for x in sums] == [round(x, 9) for x in (got[m].average_precision, got[m].mrr, got[m].mean_rank)]
+    assert (got["c"].average_precision, got["c"].mrr, got["c"].mean_rank) == (0, 0, 0)
+
+
 def test_tie_averaged_metrics_without_ties_are_exact(spark):
     s = spark.createDataFrame([("m", float(i), i in (9, 7)) for i in range(10)], "m string, score double, hit boolean")
-    r = stats.tie_averaged(s, ["m"], "score", "hit", repeats=3).first()
+    r = stats.tie_averaged(s, ["m"], "score", "hit").first()
     assert (r.average_precision, r.mrr, r.mean_rank) == pytest.approx(((1 + 2 / 3) / 2, 1.0, 2.0))
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 
 from halofield.operators import transformer as t
+from halofield.operators.sampling import random_mask
 
 
 def test_slopes_are_differences():
@@ -17,10 +18,12 @@ def test_slopes_are_differences():
         assert abs(slopes[i] - numeric) < 1e-5 * max(1, abs(numeric))
 
 
-def test_masks_depend_on_seed_epoch_and_cell():
-    a = t.random_mask(np.array([5, 6]), 50, 0.3, 1, 2)
-    assert (t.random_mask(np.array([6, 5]), 50, 0.3, 1, 2)[::-1] == a).all()
-    assert (t.random_mask(np.array([5, 6]), 50, 0.3, 1, 3) != a).any() and 10 < a.sum() < 50
+def test_masks_depend_on_seed_epoch_and_cell(spark):
+    cells = spark.createDataFrame([(5,), (6,)], "cell long")
+    of = lambda seed, epoch: {r.cell: r.m for r in cells.select("cell", random_mask("cell", 50, 0.3, seed, epoch).alias("m")).collect()}
+    a = of(1, 2)
+    assert a == of(1, 2) and a != of(1, 3) and a != of(2, 2) and a[5] != a[6]
+    assert 10 < sum(a[5]) + sum(a[6]) < 50
 
 
 def test_training_learns_and_inference_hides_the_gene(spark):
