@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, minhash_dedup, secret_scan, substring_dedup, suffix_dedup, token_files, warc
+from . import byte_bpe, decontaminate, fingerprints, language_id, minhash_dedup, oracles, secret_scan, substring_dedup, suffix_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,4 +27,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE}
+    return {
+        "op4_suffix_dedup": oracles.SUFFIX,
+        "op5_substring_dedup": oracles.SUBSTRING,
+        "op6_minhash_dedup": oracles.NEAR_DUPLICATES,
+        "op8_decontaminate": decontaminate.ORACLE,
+        "op10_warc": oracles.WARC,
+    }

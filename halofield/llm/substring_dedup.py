@@ -127,4 +127,4 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, chunk_bytes: int =
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")

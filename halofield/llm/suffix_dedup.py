@@ -289,4 +289,4 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
