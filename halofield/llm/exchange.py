@@ -66,25 +66,40 @@ class Prefix:
         return (self.sums[length : length + m] - self.sums[:m]) * self.back[:m]
 
 
-def pack(keys: np.ndarray, flags: np.ndarray) -> bytes:
-    """Sorted keys and a byte of flags each, as planes of the bytes of their differences."""
+def pack(keys: np.ndarray, flags: np.ndarray, checks: np.ndarray) -> bytes:
+    """Sorted keys as planes of the bytes of their differences, a byte of flags each, and their checks, if any."""
     import zstandard
 
     steps = np.diff(keys, prepend=U(0)) if len(keys) else keys
     wide = (int(steps.max()).bit_length() + 7) // 8 if len(keys) else 0
     planes = np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :wide].T
-    return zstandard.ZstdCompressor(level=1).compress(bytes([wide]) + planes.tobytes() + flags.astype(np.uint8).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(bytes([wide, 8 * bool(len(checks))]) + planes.tobytes() + flags.astype(np.uint8).tobytes() + checks.astype("<u8").tobytes())
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    wide = int(raw[0])
-    n = (len(raw) - 1) // (wide + 1)
+    wide, checked = int(raw[0]), int(raw[1])
+    n = (len(raw) - 2) // (wide + 1 + checked)
     steps = np.zeros((n, 8), np.uint8)
-    steps[:, :wide] = raw[1 : 1 + wide * n].reshape(wide, n).T
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), raw[1 + wide * n :]
+    steps[:, :wide] = raw[2 : 2 + wide * n].reshape(wide, n).T
+    flags, checks = np.split(raw[2 + wide * n :], [n])
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), flags, np.frombuffer(checks.tobytes(), "<u8")
+
+
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct pair of key and check first stands, in order; each position's place among them; their counts."""
+    if not len(checks):
+        _, first, at, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        return first, at, counts
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at, np.bincount(at)
 
 
 def chunked(docs: DataFrame, size: int = CHUNK) -> tuple[DataFrame, int, int]:
@@ -104,11 +119,16 @@ def rows_of(table: pa.Table) -> tuple[list, list[bytes]]:
 
 
 class Sent:
-    """The distinct keys of a chunk in order, and where each position's key stands among them."""
+    """The distinct keys of a chunk in order, and where each position's key stands among them.
+
+    Keys with checks, 64 more bits each, are equal only if their checks are.
+    """
 
-    def __init__(self, keys: np.ndarray, marked: np.ndarray | None, buckets: int, width: int):
+    def __init__(self, keys: np.ndarray, marked: np.ndarray | None, buckets: int, width: int, checks: np.ndarray | None = None):
         bits = buckets.bit_length() - 1
-        self.keys, first, self.at, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        checks = np.zeros(0, np.uint64) if checks is None else checks
+        first, self.at, counts = distinct(keys, checks)
+        self.keys, self.checks = keys[first], checks[first] if len(checks) else checks
         self.flags = (counts > 1).astype(np.uint8)
         if marked is not None:
             any_marked = np.zeros(len(self.keys), np.uint8)
@@ -119,7 +139,7 @@ class Sent:
 
     def rows(self, chunk: int) -> pa.Table:
         edges = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-2))
-        blobs = [pack(self.low[a:b], self.flags[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        blobs = [pack(self.low[a:b], self.flags[a:b], self.checks[a:b]) for a, b in zip(edges[:-1], edges[1:])]
         bucket = self.bucket[edges[:-1]] if len(self.keys) else []
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([chunk] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -152,13 +172,15 @@ def answer(sent: DataFrame, need_marked: bool) -> DataFrame:
         order = np.argsort(table.column("chunk").to_numpy(), kind="stable")
         chunk, blob = table.column("chunk").to_numpy()[order], table.column("blob").to_pylist()
         got = [unpack(blob[i]) for i in order]
-        keys, flags = np.concatenate([k for k, _ in got]), np.concatenate([f for _, f in got])
-        _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        sizes = [len(g[0]) for g in got]
+        keys, flags, checks = (np.concatenate(parts) for parts in zip(*got))
+        del got
+        _, at, counts = distinct(keys, checks)
         times = np.bincount(at, 1 + (flags & 1), len(counts))
         code = (times >= 2).astype(np.uint8) + (times >= MANY)
         if need_marked:
             code[np.bincount(at, flags & 2, len(counts)) == 0] = 0
-        code, edges, zip1 = code[at].astype(np.uint8), np.cumsum([0, *(len(k) for k, _ in got)]), zstandard.ZstdCompressor(level=1)
+        code, edges, zip1 = code[at].astype(np.uint8), np.cumsum([0, *sizes]), zstandard.ZstdCompressor(level=1)
         out = [zip1.compress(code[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
         bucket = table.column("bucket").to_numpy()[order]
         return pa.table({"chunk": pa.array(chunk, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "blob": pa.array(out, pa.binary())})

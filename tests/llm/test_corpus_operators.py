@@ -208,6 +208,24 @@ def test_substring_dedup(docs, none, monkeypatch, chunk):
     assert substring_dedup.repeated_passages(none).collect() == []
 
 
+def test_substring_dedup_tells_windows_with_equal_hashes_apart(spark, monkeypatch):
+    """With a window hash that is the same for all windows, the digest of the words decides alone."""
+    import numpy as np
+
+    plain = substring_dedup.Words.candidates
+
+    def blind(self, at, hit, window):
+        start, keys = plain(self, at, np.ones_like(hit), window)
+        return start, np.zeros_like(keys)
+
+    monkeypatch.setattr(substring_dedup.Words, "candidates", blind)
+    shared = [f"s{i}" for i in range(40)]
+    texts = [" ".join([*(f"{d}a{i}" for i in range(9)), *shared, *(f"{d}b{i}" for i in range(30))]) for d in range(3)] + [" ".join(f"alone{i}" for i in range(90))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.repeated_passages(docs, chunk_bytes=700).collect()}
+    assert got == {0: [9, 49], 1: [9, 49], 2: [9, 49], 3: []}
+
+
 def brute_components(table, n, percent):
     sets = []
     for d, t in table:
