@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import zscore
 
+SHIFT_ROWS = 100
+
 
 def moments(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
@@ -80,20 +82,26 @@ def unpack_gram(sums: np.ndarray, nx: int, ny: int) -> dict[str, np.ndarray]:
 
 
 def covariance(rows: DataFrame, column: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and sample covariance (n - 1) of an array column; one pass, sums of partitions."""
+    """Rows, means and sample covariance (n - 1) of an array column; one pass, sums of partitions.
+
+    Values are taken from near their mean, that of a few rows, or large means would cost the digits of
+    small spreads. Which rows these are doesn't matter for the result.
+    """
+    few = rows.select(column).limit(SHIFT_ROWS).collect()
+    shift = np.mean([r[0] for r in few], axis=0, dtype=float) if few else np.zeros(width)
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s, ss = 0, np.zeros(width), np.zeros((width, width))
         for f in frames:
             if len(f):
-                x = np.stack(f[column].to_numpy()).astype(float)
+                x = np.stack(f[column].to_numpy()).astype(float) - shift
                 n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
         v = np.concatenate([[n], s, ss.ravel()])
         yield pd.DataFrame({"part": np.arange(len(v)), "total": v})
 
     total = rows.select(column).mapInPandas(add, "part int, total double").groupBy("part").agg(F.sum("total").alias("total")).orderBy("part").toPandas()["total"].to_numpy()
     n, s, ss = total[0], total[1 : width + 1], total[width + 1 :].reshape(width, width)
-    return int(n), s / n, (ss - np.outer(s, s) / n) / max(n - 1, 1)
+    return int(n), s / n + shift, (ss - np.outer(s, s) / n) / max(n - 1, 1)
 
 
 def whitened_pca(rows: DataFrame, column: str, width: int, components: int) -> tuple[np.ndarray, np.ndarray]:

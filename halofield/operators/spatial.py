@@ -48,13 +48,31 @@ def nearest(edges: DataFrame, n: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def crowded_width(senders: DataFrame, width: float, dims: int, most: int, halvings: int = 30) -> float:
+    """width, halved until a sender's own grid bin holds at most so many senders on average.
+
+    Clusters far apart fill little of their bounding box, so its mean density says nothing about them.
+    Each step is one aggregation to occupied bins. Equal positions count once: no bin tells them apart.
+    """
+    places = senders.select(*AXES[:dims]).distinct()
+    for _ in range(halvings):
+        counts = places.groupBy(*bins(places, width, dims)).agg(F.count("*").cast("double").alias("n"))
+        if (counts.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0) <= most:
+            break
+        width /= 2
+    return width
+
+
 def knn_join(receivers: DataFrame, senders: DataFrame, k: int, dims: int = 2, start: float | None = None, self_pairs: bool = False) -> DataFrame:
     """(receiver, sender, distance, rank) of the k nearest senders, ties by sender.
 
     Radius joins with a growing radius: a receiver is done once it has k senders within the radius, as
-    then none farther out can be nearer. The radius doubles for the rest, until it spans everything.
-    Receivers get all senders where there are fewer than k.
+    then none farther out can be nearer. The first radius follows the senders' density where they are;
+    for the rest it grows twofold, then fourfold and so on, until it spans everything. Every round is a
+    written table. Receivers get all senders where there are fewer than k.
     """
+    from ..sources.store import written
+
     axes = AXES[:dims]
     both = receivers.select(*axes).union(senders.select(*axes))
     box = both.agg(*(F.min(a).alias(f"lo{a}") for a in axes), *(F.max(a).alias(f"hi{a}") for a in axes)).first()
@@ -64,20 +82,20 @@ def knn_join(receivers: DataFrame, senders: DataFrame, k: int, dims: int = 2, st
     sides = [max(float(box[f"hi{a}"] - box[f"lo{a}"]), 1e-12) for a in axes]
     diagonal = 1.001 * sum(s * s for s in sides) ** 0.5
     volume = reduce(lambda p, q: p * q, sides)
-    radius = start or min(diagonal, (volume * 2 * k / n) ** (1 / dims))
-    found, left = [], receivers
+    radius = start or crowded_width(senders, min(diagonal, (volume * 2 * k / n) ** (1 / dims)), dims, 8 * k)
+    found, left, growth = [], receivers, 2
     while True:
         got = nearest(radius_join(left, senders, radius, dims, self_pairs), k)
         if radius >= diagonal:
             found.append(got)
             break
         got = got.withColumn("have", F.count("*").over(Window.partitionBy("receiver"))).where(F.col("have") >= k).drop("have")
-        got = got.persist()
+        got = written(got)
         found.append(got)
         left = left.join(got.select(F.col("receiver").alias("cell")).distinct(), "cell", "left_anti")
         if not left.take(1):
             break
-        radius = min(radius * 2, diagonal)
+        radius, growth = min(radius * growth, diagonal), growth * 2
     return reduce(DataFrame.unionByName, found)
 
 

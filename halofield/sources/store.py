@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir, or in a temporary folder where that isn't set."""
+    """A new place below spark.checkpoint.dir, or, in local mode alone, in a temporary folder where that isn't set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:" + tempfile.mkdtemp(prefix="halofield-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
