@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
-    Where that setting is missing (tests, one machine) a temporary folder takes its place.
+    Where that setting is missing a temporary folder takes its place in local mode (tests, one machine);
+    on a cluster that is an error, as other machines wouldn't see the folder.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:" + tempfile.mkdtemp(prefix="halofield-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
