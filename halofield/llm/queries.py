@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, minhash_dedup, oracles, secret_scan, substring_dedup, suffix_dedup, token_files, warc
+from . import byte_bpe, decontaminate, fingerprints, language_id, merkle, minhash_dedup, oracles, resample, secret_scan, sentence_pieces, substring_dedup, suffix_dedup, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_warc": warc.op10_warc,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_sentence_pieces": sentence_pieces.op12_sentence_pieces,
+        "op13_resample": resample.op13_resample,
     }
 
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_dedup": oracles.NEAR_DUPLICATES,
         "op8_decontaminate": decontaminate.ORACLE,
         "op10_warc": oracles.WARC,
+        "op11_merkle_manifest": oracles.MERKLE,
+        "op13_resample": oracles.RESAMPLE,
     }
