@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
 from . import spatial, stats
+from .ordered import running
 
 
 def attributed(edges: DataFrame, triplets: DataFrame, expression: DataFrame, membership: DataFrame, residual: DataFrame, scale: DataFrame, clip: float = 3.0) -> DataFrame:
@@ -28,13 +29,15 @@ def attributed(edges: DataFrame, triplets: DataFrame, expression: DataFrame, mem
 
 
 def retained(supported: DataFrame, fraction: float, most: int) -> DataFrame:
-    """Edges with the receiver's normalized share (over all supported ones) and rank; the top part of each triplet."""
+    """Edges with the receiver's normalized share (over all supported ones) and rank; the top part of each triplet.
+
+    Ranks come from ranges of (triplet, influence), so a triplet with most edges is ranked by many tasks.
+    """
     key = ["receiver_group", "source", "target"]
     total = F.sum("influence_score").over(Window.partitionBy(*key, "receiver"))
     e = supported.withColumn("receiver_normalized_attribution", F.col("influence_score") / total)
-    order = Window.partitionBy(*key).orderBy(F.desc("influence_score"), "receiver", "sender")
-    n = F.count("*").over(Window.partitionBy(*key))
-    e = e.withColumn("rank_within_triplet", F.row_number().over(order)).withColumn("n_supported", n)
+    e = running(e, key, [F.desc("influence_score"), "receiver", "sender"], {"_before": F.lit(1)})
+    e = e.withColumn("rank_within_triplet", (F.col("_before") + 1).cast("int")).withColumn("n_supported", F.col("_before_all")).drop("_before", "_before_all")
     return e.where(F.col("rank_within_triplet") <= F.least(F.ceil(F.col("n_supported") * F.lit(fraction)), F.col("n_supported"), F.lit(most)))
 
 

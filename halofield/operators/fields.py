@@ -6,13 +6,22 @@ or not. The long form suits few genes; `dense_field` keeps wide rows and multipl
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ReactionDiffusion
-from .spatial import AXES, bins, knn_join, radius_join
+from ..sources.store import written
+from .graphs import least_reachable
+from .ordered import quantiles
+from .spatial import bins, gaps, knn_join, radius_join
+from .trees import AXES, bin_keys, crowded_bins, finest, leaf_of
+
+#: Halvings of a tile at most; what lies closer together is dealt by hash.
+TILE_DEPTH = 16
 
 
 def weigh(edges: DataFrame, kernel: ReactionDiffusion) -> DataFrame:
@@ -49,25 +58,54 @@ def exponential_field(cells: DataFrame, expression: DataFrame, gene: int, bandwi
     return source_field(edges, expression.where(F.col("gene") == gene))
 
 
-def dense_field(cells: DataFrame, kernel: ReactionDiffusion, radius: float, dims: int = 2, tiles: int = 4, block: int = 512) -> DataFrame:
+def field_tasks(cells: DataFrame, radius: float, dims: int, tiles: int, receivers: int, senders: int) -> tuple[DataFrame, DataFrame]:
+    """cells with their unit, and the pairs of units within a radius of each other, bundled to tasks.
+
+    A tile of `tiles` radii with more than receivers cells is halved along each axis until it has not; cells that
+    no halving parts are dealt by hash. These are the units. Of the units around a receiving one (least distance of
+    the boxes around their cells at most the radius) consecutive ones with about senders cells make a task `bundle`, so no task
+    has more than receivers x (senders + receivers) pairs, wherever the cells are.
+    """
+    keys = ["level", *bin_keys(dims)]
+    fine = written(finest(cells, radius * tiles, dims))
+    placed = written(leaf_of(fine, *crowded_bins(fine, dims, receivers, TILE_DEPTH), dims))
+    dense = placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > receivers).select(*keys, F.ceil(F.col("n") / receivers).alias("_parts"))
+    placed = placed.join(dense, keys, "left").withColumn("part", F.pmod(F.xxhash64("cell"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    box = [f(a).alias(f"{s}_{a}") for a in AXES[:dims] for s, f in (("lo", F.min), ("hi", F.max))]
+    units = written(placed.groupBy(*keys, "part").agg(F.count("*").alias("n"), *box))
+    # bins of at least a radius, so that neighbours lie in adjacent ones; a unit in a larger bin meets the others there
+    deepest = max(0, tiles.bit_length() - 1)
+    coarse = F.explode(F.sequence(F.lit(0), F.least(F.col("level"), F.lit(deepest)))).alias("c")
+    at = units.select("*", coarse).withColumns({f"c_{a}": F.expr(f"shiftright(k_{a}, level - c)") for a in AXES[:dims]})
+    at = at.withColumn("own", F.col("c") == F.least(F.col("level"), F.lit(deepest)))
+    near = F.array(*(F.struct(*(F.lit(o).cast("long").alias(f"d{a}") for a, o in zip(AXES, offset))) for offset in product((-1, 0, 1), repeat=dims)))
+    r = at.select(*(F.col(c).alias(f"r{c}") for c in [*keys, "part", "own", *(f"{e}_{a}" for a in AXES[:dims] for e in ("lo", "hi"))]), "c", *(f"c_{a}" for a in AXES[:dims]), F.explode(near).alias("o"))
+    r = r.withColumns({f"c_{a}": F.col(f"c_{a}") + F.col(f"o.d{a}") for a in AXES[:dims]}).drop("o")
+    s = at.select(*(F.col(c).alias(f"s{c}") for c in [*keys, "part", "n", "own", *(f"{e}_{a}" for a in AXES[:dims] for e in ("lo", "hi"))]), "c", *(f"c_{a}" for a in AXES[:dims]))
+    met = r.join(s, ["c", *(f"c_{a}" for a in AXES[:dims])]).where("rown or sown").where(gaps("r", "s", dims)[0] <= radius * radius * (1 + 1e-9))
+    receiving = Window.partitionBy(*(f"r{k}" for k in keys), "rpart")
+    before = F.sum("sn").over(receiving.orderBy(*(f"s{k}" for k in keys), "spart")) - F.col("sn")
+    pairs = met.withColumn("bundle", F.floor(before / senders))
+    return placed, written(pairs.select(*(f"{e}{k}" for e in "rs" for k in [*keys, "part"]), "sn", "bundle"))
+
+
+def dense_field(cells: DataFrame, kernel: ReactionDiffusion, radius: float, dims: int = 2, tiles: int = 4, block: int = 512, receivers: int = 2048, senders: int = 8192) -> DataFrame:
     """cell and its field over all genes, from cells(cell, x, y[, z], v array<double>).
 
-    Space is cut into tiles of `tiles` radii. A cell is a receiver in its own tile and a sender in all
-    tiles within a radius (its halo), so each tile multiplies on its own; inside, receivers go in
-    blocks, and neither the edges nor the weights of a whole tile are ever held. A cell doesn't send to
-    itself.
+    Tasks are pairs of a unit of receivers and a bundle of the units around it (see field_tasks); inside, receivers go in
+    blocks, and neither the edges nor the weights of a task are ever held whole. Where a unit has several bundles its
+    parts are added up in the order of bundles. A cell doesn't send to itself.
     """
-    width, axes = radius * tiles, AXES[:dims]
-    keys = [f"b{a}" for a in axes]
-    own = cells.select(F.col("cell").alias("receiver"), *(F.col(a).alias(f"r{a}") for a in axes), *(F.floor(F.col(a) / F.lit(width)).cast("long").alias(f"k{a}") for a in axes))
-    sent = cells.select(F.col("cell").alias("sender"), *(F.col(a).alias(f"s{a}") for a in axes), "v")
-    for a in axes:
-        reach = F.array(*(F.floor((F.col(f"s{a}") + d) / F.lit(width)).cast("long") for d in (-radius, 0.0, radius)))
-        sent = sent.withColumn(f"b{a}", F.explode(F.array_distinct(reach)))
+    axes = AXES[:dims]
+    keys = ["level", *bin_keys(dims), "part"]
+    placed, pairs = field_tasks(cells.select("cell", *axes, "v"), radius, dims, tiles, receivers, senders)
+    task = [f"r{k}" for k in keys] + ["bundle"]
+    own = placed.select(F.col("cell").alias("receiver"), *(F.col(a).alias(f"r{a}") for a in axes), *(F.col(k).alias(f"r{k}") for k in keys))
+    own = own.join(pairs.select(*task).distinct(), [f"r{k}" for k in keys])
+    sent = placed.select(F.col("cell").alias("sender"), *(F.col(a).alias(f"s{a}") for a in axes), *(F.col(k).alias(f"s{k}") for k in keys), "v")
+    sent = sent.join(pairs.select(*(f"s{k}" for k in keys), *(F.col(c).alias(f"to_{c}") for c in task)), [f"s{k}" for k in keys]).drop(*(f"s{k}" for k in keys))
 
     def multiply(receivers: pd.DataFrame, senders: pd.DataFrame) -> pd.DataFrame:
-        if not len(receivers) or not len(senders):
-            return pd.DataFrame({"cell": pd.Series([], dtype="int64"), "field": pd.Series([], dtype=object)})
         values = np.stack(senders["v"].to_numpy())
         out = []
         for a in range(0, len(receivers), block):
@@ -76,11 +114,15 @@ def dense_field(cells: DataFrame, kernel: ReactionDiffusion, radius: float, dims
             near = (gap <= radius) & (part["receiver"].to_numpy()[:, None] != senders["sender"].to_numpy()[None, :])
             weight = np.zeros_like(gap)
             weight[near] = kernel_values(kernel, gap[near])
-            out.append(pd.DataFrame({"cell": part["receiver"], "field": list(weight @ values)}))
+            out.append(pd.DataFrame({"cell": part["receiver"], "bundle": part["bundle"], "field": list(weight @ values)}))
         return pd.concat(out)
 
     kind = cells.schema["cell"].dataType.simpleString()
-    return own.groupBy(*(f"k{a}" for a in axes)).cogroup(sent.groupBy(*keys)).applyInPandas(multiply, f"cell {kind}, field array<double>")
+    parts = own.groupBy(*task).cogroup(sent.groupBy(*(f"to_{c}" for c in task))).applyInPandas(multiply, f"cell {kind}, bundle long, field array<double>")
+    if not pairs.where("bundle > 0").take(1):
+        return parts.select("cell", "field")
+    several = F.aggregate(F.slice("f", 2, F.size("f")), F.col("f")[0]["field"], lambda s, x: F.zip_with(s, x["field"], lambda p, q: p + q))
+    return parts.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("bundle", "field"))).alias("f")).select("cell", several.alias("field"))
 
 
 def kernel_values(kernel: ReactionDiffusion, distance: np.ndarray) -> np.ndarray:
@@ -134,7 +176,7 @@ def field_agreement(a: DataFrame, b: DataFrame, quantile: float = 0.35) -> DataF
     """Cosine of two vector fields, weighted by the product of their lengths, where it is above its quantile."""
     both = a.select("cell", F.col("fx").alias("ax"), F.col("fy").alias("ay")).join(b.select("cell", F.col("fx").alias("bx"), F.col("fy").alias("by")), "cell")
     both = both.withColumn("w", F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2) * F.sqrt(F.col("bx") ** 2 + F.col("by") ** 2)).withColumn("dot", F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"))
-    cut = both.agg(F.percentile("w", F.lit(quantile)).alias("cut"))
+    cut = quantiles(both, "w", [quantile]).select(F.col("q")[0].alias("cut"))
     return both.crossJoin(F.broadcast(cut)).where("w >= cut and w > 0").agg((F.sum("dot") / F.sum("w")).alias("agreement"), F.count("*").alias("n"))
 
 
@@ -179,6 +221,27 @@ def smoothed(density_: DataFrame, sigma: float, reach: int = 3, dims: int = 2) -
     return out
 
 
+def envelope(points: DataFrame, width: float, sigma: float, least_bins: int, quantile: float = 0.12, part: float = 0.055, dims: int = 2) -> DataFrame:
+    """The smoothed density of the bins around most points: b..., density, component (its smallest bin), bins.
+
+    Kept are bins of at least the quantile of the points' own densities and of `part` of the largest density, in
+    components of at least least_bins bins that share faces.
+    """
+    keys = [f"b{a}" for a in AXES[:dims]]
+    smooth = written(smoothed(density(points, width, dims=dims), sigma, dims=dims))
+    own = points.select(*bins(points, width, dims)).join(smooth, keys)
+    cut = quantiles(own, "density", [quantile]).select(F.col("q")[0].alias("low")).crossJoin(F.broadcast(smooth.agg(F.max("density").alias("top"))))
+    node = F.concat_ws("/", *(F.lpad((F.col(k) + (1 << 40)).cast("string"), 13, "0") for k in keys))
+    kept = smooth.crossJoin(F.broadcast(cut)).where((F.col("density") >= F.col("low")) & (F.col("density") >= F.col("top") * part)).select(*keys, "density", node.alias("node"))
+    kept = written(kept)
+    faces = F.explode(F.array(*(F.struct(*(F.lit(int(i == j)).cast("long").alias(f"d{k}") for j, k in enumerate(keys))) for i in range(-1, dims)))).alias("o")
+    shifted = kept.select(F.col("node").alias("a"), faces, *keys).select("a", *((F.col(k) + F.col(f"o.d{k}")).alias(k) for k in keys))
+    links = shifted.join(kept.select(F.col("node").alias("b"), *keys), keys).select("a", "b")
+    label = least_reachable(links)
+    sizes = label.groupBy("label").agg(F.count("*").alias("bins")).where(F.col("bins") >= least_bins)
+    return kept.join(label, "node").join(sizes, "label").select(*keys, "density", F.col("label").alias("component"), "bins")
+
+
 def voxel_ratio(points: DataFrame, width: float, weight: str, dims: int = 3, least: float = 1e-8) -> DataFrame:
     """Weighted density over count density, where there is any."""
     out = points.groupBy(*bins(points, width, dims)).agg(F.sum(weight).alias("w"), F.count("*").cast("double").alias("n"))

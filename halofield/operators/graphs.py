@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,30 @@ def densest_crop(edges: DataFrame, size: int = 14) -> DataFrame:
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("receiver").orderBy("distance", "sender"))).where(F.col("rank") <= size)
     centre = ranked.groupBy("receiver").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")).orderBy(F.desc("n"), "mean", "receiver").limit(1)
     return ranked.join(F.broadcast(centre.select("receiver")), "receiver", "left_semi").select(F.col("receiver").alias("centre"), F.col("sender").alias("node"), "rank")
+
+
+def average_linkage(distances: DataFrame) -> DataFrame:
+    """(left, right, height, size): the merges of average linkage over items with distances(a, b, distance) between all.
+
+    Each pair is given once, either way round. Clusters are named by their smallest item, and left < right.
+    In each round all pairs merge that are each other's nearest (of equal ones the smallest name): with
+    average linkage no other order gives other heights, as a merge never brings a cluster nearer to a third.
+    Where distances tie, pairs of smaller names merge first. Distances between merged clusters are means weighted
+    by sizes, from the table of the round before, so a round is two joins over items^2 rows or fewer.
+    """
+    both = distances.select("a", "b", F.col("distance").cast("double").alias("d"))
+    d = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where("a <> b"))
+    size = written(d.select(F.col("a").alias("node")).distinct().withColumn("n", F.lit(1).cast("long")))
+    merges = []
+    while d.take(1):
+        near = d.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
+        back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        pairs = written(near.join(back, ["a", "b"]).where("a < b"))
+        merges.append(pairs.join(size.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "nb"}), "b").select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("d").alias("height"), (F.col("na") + F.col("nb")).alias("size")))
+        to = size.join(pairs.select(F.col("b").alias("node"), F.col("a").alias("into")), "node", "left").select("node", "n", F.coalesce("into", "node").alias("into"))
+        to = written(to)
+        sums = d.join(to.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("into").alias("ia")), "a").join(to.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("into").alias("ib")), "b").where("ia <> ib")
+        weight = F.col("na") * F.col("nb")
+        d = written(sums.groupBy(F.col("ia").alias("a"), F.col("ib").alias("b")).agg((F.sum(weight * F.col("d")) / F.sum(weight)).alias("d")))
+        size = written(to.groupBy(F.col("into").alias("node")).agg(F.sum("n").alias("n")))
+    return reduce(DataFrame.unionByName, merges) if merges else distances.select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("distance").cast("double").alias("height"), F.lit(2).cast("long").alias("size")).limit(0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import last_argmax, softmax
 from ..sources.store import written
 from .matrix import projected, squared_distances, whitened_pca
+from .ordered import order_statistics
 
 
 def kmeans(rows: DataFrame, column: str, k: int, restarts: int = 5, iterations: int = 100, seed: int = 168) -> list[list[float]]:
@@ -22,11 +23,8 @@ def kmeans(rows: DataFrame, column: str, k: int, restarts: int = 5, iterations:
 
 def upper_median(df: DataFrame, value: str, floor: float = 1e-3) -> float:
     """Element n / 2 of the sorted values, not below floor."""
-    n = df.count()
-    if not n:
-        return floor
-    exact = df.agg(F.expr(f"percentile_disc({(n // 2 + 0.5) / n!r}) WITHIN GROUP (ORDER BY {value})").alias("m"))
-    return max(float(exact.first()["m"]), floor)
+    middle = order_statistics(df, value, lambda n: [F.floor(n / 2)]).first()["at"]
+    return max(float(middle[0]), floor) if middle else floor
 
 
 def temperature(rows: DataFrame, column: str, centres: list[list[float]]) -> float:
@@ -54,18 +52,19 @@ def choose_count(folds: DataFrame, least_mass: float = 30.0) -> DataFrame:
     """The table of candidate counts from per-fold errors, the chosen one marked.
 
     folds(count, fold, baseline_mse, physical_mse, active, minimum_mass). A count is eligible if the mean
-    over the folds of its smallest training mass reaches least_mass; of the eligible ones the smallest
-    whose mean improvement is within one standard error of the best is selected.
+    over the folds of its smallest training mass reaches least_mass; of the eligible ones (of all, if none is) the
+    smallest whose mean improvement is within one standard error of the best is selected. One row a count.
     """
-    gain = 1 - F.col("physical_mse") / F.col("baseline_mse")
-    t = folds.withColumn("gain", F.when(F.col("baseline_mse") > 0, gain).otherwise(0.0)).groupBy("count").agg(
+    gain = (F.col("baseline_mse") - F.col("physical_mse")) / F.greatest("baseline_mse", F.lit(1e-12))
+    t = folds.withColumn("gain", gain).groupBy("count").agg(
         F.avg("baseline_mse").alias("baseline_mse"), F.avg("physical_mse").alias("physical_mse"), F.avg("gain").alias("improvement_fraction"),
         F.coalesce(F.stddev_samp("gain") / F.sqrt(F.count("*")), F.lit(0.0)).alias("improvement_standard_error"), F.avg("active").alias("mean_active_effects"), F.avg("minimum_mass").alias("minimum_effective_train_mass"),
     )
     t = t.withColumn("eligible", F.col("minimum_effective_train_mass") >= least_mass)
-    best = t.where("eligible").agg(F.max(F.struct("improvement_fraction", (-F.col("count")).alias("c"), "improvement_standard_error")).alias("b"))
+    pool = t.crossJoin(t.agg(F.max("eligible").alias("_any"))).where(F.col("eligible") | ~F.col("_any"))
+    best = pool.agg(F.max(F.struct("improvement_fraction", "count", "improvement_standard_error")).alias("b"))
     bar = F.col("b.improvement_fraction") - F.col("b.improvement_standard_error")
-    pick = t.where("eligible").crossJoin(best).where(F.col("improvement_fraction") >= bar).agg(F.min("count").alias("pick"))
+    pick = pool.crossJoin(best).where(F.col("improvement_fraction") >= bar).agg(F.min("count").alias("pick"))
     return t.crossJoin(pick).withColumn("selected", F.coalesce(F.col("count") == F.col("pick"), F.lit(False))).drop("pick")
 
 

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+from .ranking import top
+
 MOST = 100_000
 
 
@@ -93,34 +96,36 @@ def quota_panel(spark: SparkSession, genes: DataFrame, quotas: dict[str, int], b
 
 
 def dense_grid(scores: DataFrame, size: int = 5, starts: int = 5, steps: int = 12) -> DataFrame:
-    """For each cluster the sources and targets of a dense part of its score table.
+    """For each cluster the sources and targets of a dense part of its score table(cluster, source, target, score).
 
     Alternating choice: the best `size` targets for the sources, then the best sources for those
-    targets, from several starts; the start with the largest sum wins. A task has one cluster's table.
+    targets, from the `starts` sources with the largest sums; the start with the largest sum wins (of equal
+    ones the first), and equal sums go by name. A pair without a score counts as 0. All clusters and starts take a step together, as a join
+    with the few chosen names and a top-k, until no choice changes or steps are done.
     """
-    kind = scores.schema["cluster"].dataType.simpleString()
-
-    def choose(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        t = f.pivot_table(index="source", columns="target", values="score", aggfunc="max", fill_value=0.0).sort_index(axis=0).sort_index(axis=1)
-        m = t.to_numpy()
-        first = lambda v: np.lexsort((np.arange(len(v)), -v))[:size]
-        best: tuple[float, np.ndarray, np.ndarray] | None = None
-        for s in np.lexsort((np.arange(len(m)), -m.sum(1)))[:starts]:
-            rows = np.array([s])
-            for _ in range(steps):
-                columns = first(m[rows].sum(0))
-                new = first(m[:, columns].sum(1))
-                if set(new) == set(rows):
-                    break
-                rows = new
-            total = m[np.ix_(rows, columns)].sum()
-            if best is None or total > best[0] + 1e-12:
-                best = (total, np.sort(rows), np.sort(columns))
-        out = [(key[0], t.index[a], t.columns[b], float(m[a, b])) for a in best[1] for b in best[2]] if best else []
-        return pd.DataFrame(out, columns=["cluster", "source", "target", "score"])
-
-    s, t = (scores.schema[c].dataType.simpleString() for c in ("source", "target"))
-    return scores.groupBy("cluster").applyInPandas(choose, f"cluster {kind}, source {s}, target {t}, score double")
+    table = written(scores.groupBy("cluster", "source", "target").agg(F.max("score").alias("score")))
+    begun = top(table.groupBy("cluster", "source").agg(F.sum("score").alias("sum")), ["cluster"], "sum", ["source"], starts)
+    rows = written(begun.select("cluster", F.col("rank").alias("start"), "source"))
+    names = {side: written(table.select("cluster", side).distinct()) for side in ("source", "target")}
+    runs = rows.select("cluster", "start").distinct()
+
+    def chosen(given: DataFrame, of: str, to: str) -> DataFrame:
+        sums = given.join(table, ["cluster", of]).groupBy("cluster", "start", to).agg(F.sum("score").alias("sum"))
+        zeros = runs.join(names[to], "cluster").join(sums, ["cluster", "start", to], "left_anti").withColumn("sum", F.lit(0.0))
+        best = top(sums.unionByName(zeros), ["cluster", "start"], "sum", [to], size)
+        return written(best.select("cluster", "start", to))
+
+    columns = rows
+    for _ in range(steps):
+        columns = chosen(rows, "source", "target")
+        new = chosen(columns, "target", "source")
+        changed = new.join(rows, ["cluster", "start", "source"], "left_anti").take(1) or rows.join(new, ["cluster", "start", "source"], "left_anti").take(1)
+        rows = new
+        if not changed:
+            break
+    grid = rows.join(columns, ["cluster", "start"]).join(table, ["cluster", "source", "target"], "left").na.fill(0.0, ["score"])
+    best = grid.groupBy("cluster", "start").agg(F.sum("score").alias("total")).groupBy("cluster").agg(F.max(F.struct("total", (-F.col("start")).alias("s"))).alias("b"))
+    return grid.join(best.select("cluster", (-F.col("b.s")).alias("start")), ["cluster", "start"], "left_semi").select("cluster", "source", "target", "score")
 
 
 def majority_mapping(counts: DataFrame, inferred: str, true: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw, uniform
+from .ordered import running
 
 
 def spread(n, take):
@@ -47,21 +48,20 @@ def systematic(df: DataFrame, index: str, total: int, most: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, group: str, key: str, fraction: float, seed: int) -> DataFrame:
-    """max(1, round(n * fraction)) random rows of each group."""
-    r = F.row_number().over(Window.partitionBy(group).orderBy(draw(seed, key), key))
-    n = F.count("*").over(Window.partitionBy(group))
-    return df.withColumn("_r", r).withColumn("_n", n).where(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_n") * F.lit(fraction)))).drop("_r", "_n")
+    """max(1, round(n * fraction)) random rows of each group, placed in ranges of (group, hash)."""
+    placed = running(df.withColumn("_h", draw(seed, key)), [group], ["_h", key], {"_r": F.lit(1)})
+    return placed.where(F.col("_r") < F.greatest(F.lit(1), F.round(F.col("_r_all") * F.lit(fraction)))).select(df.columns)
 
 
 def epoch_sample(df: DataFrame, sample: str, key: str, limit: int, least: int, seed: int, epoch: int) -> DataFrame:
     """limit rows for an epoch, at least `least` of each sample where it has them; another seed or epoch gives others.
 
-    Rows that a sample is owed come first, the rest by hash. The places come from a range exchange and
-    a limit, so no task sees all rows.
+    Rows that a sample is owed come first, the rest by hash. Both places, in the sample and over all, come
+    from ranges, so no task sees a whole sample, and the rows taken stay spread.
     """
-    h = draw(seed, F.lit(str(epoch)), key)
-    owed = F.row_number().over(Window.partitionBy(sample).orderBy(h, key)) <= least
-    return df.withColumn("_late", ~owed).orderBy("_late", h, key).limit(limit).drop("_late")
+    hashed = df.withColumn("_h", draw(seed, F.lit(str(epoch)), key))
+    owed = running(hashed, [sample], ["_h", key], {"_r": F.lit(1)}).withColumn("_late", F.col("_r") >= least)
+    return running(owed.drop("_r", "_r_all"), [], ["_late", "_h", key], {"_i": F.lit(1)}).where(F.col("_i") < limit).select(df.columns)
 
 
 def permuted(df: DataFrame, index: str, seed: int) -> DataFrame:
@@ -92,12 +92,16 @@ def bootstrap(df: DataFrame, value: str, by: list[str], replicates: int, seed: i
 
 
 def permutation_null(df: DataFrame, score: str, hit: str, key: str, repeats: int, seed: int) -> DataFrame:
-    """Average precision of df's ranking, its mean under permuted hits, and p = (1 + as good) / (repeats + 1)."""
-    order = Window.partitionBy("repeat").orderBy(F.desc("order"), "shuffled", key)
+    """Average precision of df's ranking, its mean under permuted hits, and p = (1 + as good) / (repeats + 1).
+
+    The order of all repeats is one exchange into ranges of (repeat, hash), which part a repeat as they part the
+    rest; ranks and hits so far are carried over range ends, and a hit's row alone goes on from there.
+    """
     runs = df.select(key, score, F.col(hit).cast("int").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(repeats))).alias("repeat"))
-    runs = runs.withColumn("order", F.when(F.col("repeat") == 0, F.col(score)).otherwise(0.0)).withColumn("shuffled", F.when(F.col("repeat") > 0, draw(seed, "repeat", key)))
-    runs = runs.withColumn("r", F.row_number().over(order)).withColumn("seen", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ap = runs.groupBy("repeat").agg(F.avg(F.when(F.col("hit") == 1, F.col("seen") / F.col("r"))).alias("ap"))
+    order = F.when(F.col("repeat") == 0, F.col(score)).otherwise(0.0)
+    runs = runs.withColumn("_o", -order).withColumn("_h", F.when(F.col("repeat") > 0, draw(seed, "repeat", key))).select("repeat", "_o", "_h", key, "hit")
+    placed = running(runs, ["repeat"], ["_o", "_h", key], {"r": F.lit(1), "seen": F.col("hit")})
+    ap = placed.where("hit = 1").groupBy("repeat").agg(F.avg((F.col("seen") + 1) / (F.col("r") + 1)).alias("ap"))
     seen = ap.where("repeat = 0").select(F.col("ap").alias("observed"))
     return ap.where("repeat > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.avg("ap").alias("expected"), ((1 + F.count_if(F.col("ap") >= F.col("observed"))) / (F.count("*") + 1)).alias("p"))
 

@@ -13,7 +13,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AXES = ("x", "y", "z")
+from ..sources.store import written
+from .trees import AXES, STRIDE, bin_keys, counted, crowded_bins, even_width, finest, leaf_of, nodes_above, root_level
+
+#: Levels of a tree that are gone down before the pairs of nodes are written.
+LEVELS_AT_ONCE = 3
 
 
 def bins(df: DataFrame, width: float, dims: int) -> list[Column]:
@@ -48,55 +52,107 @@ def nearest(edges: DataFrame, n: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def crowded_width(senders: DataFrame, width: float, dims: int, most: int, halvings: int = 30) -> float:
-    """width, halved until a sender's own grid bin holds at most so many senders on average.
+def gaps(a: str, b: str, dims: int) -> tuple[Column, Column]:
+    """Squared least and largest distance between points of two boxes, columns <a>lo_x, <a>hi_x, ... and <b>lo_x, ..."""
+    low, high = [], []
+    for x in AXES[:dims]:
+        la, ha, lb, hb = (F.col(f"{s}{e}_{x}") for s in (a, b) for e in ("lo", "hi"))
+        apart = F.greatest(lb - ha, la - hb, F.lit(0.0))
+        across = F.greatest(hb - la, ha - lb)
+        low.append(apart * apart)
+        high.append(across * across)
+    return reduce(lambda p, q: p + q, low), reduce(lambda p, q: p + q, high)
+
+
+def node_columns(dims: int) -> list[str]:
+    return ["level", *bin_keys(dims), "n", *(f"{s}_{a}" for a in AXES[:dims] for s in ("lo", "hi")), "leaf"]
+
+
+def descended(receivers: DataFrame, senders: DataFrame, need: int, top: int, levels: int, dims: int) -> DataFrame:
+    """Pairs of a receiver leaf and a sender leaf that may hold one of its points' `need` nearest, with `bound`, their squared distance at most.
 
-    Clusters far apart fill little of their bounding box, so its mean density says nothing about them.
-    Each step is one aggregation to occupied bins. Equal positions count once: no bin tells them apart.
+    Both trees (nodes as from nodes_above) are gone down together. For the boxes that a receiver node still has, those
+    with the least largest distance that hold need senders bound the distance of its points' nearest, and
+    boxes beyond the bound are left out; then both nodes give way to their halves. A node keeps some
+    tens of boxes, so a level costs some tens of rows a node, whatever the density and however far an outlier lies.
     """
-    places = senders.select(*AXES[:dims]).distinct()
-    for _ in range(halvings):
-        counts = places.groupBy(*bins(places, width, dims)).agg(F.count("*").cast("double").alias("n"))
-        if (counts.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0) <= most:
-            break
-        width /= 2
-    return width
+    columns, keys = node_columns(dims), ["level", *bin_keys(dims)]
+
+    def below(nodes: DataFrame, side: str) -> DataFrame:
+        """Nodes by the one they come from; a leaf stands in for its own halves, too."""
+        half = nodes.where(F.col("level") > top).withColumns({"p_level": F.col("level") - 1} | {f"p_{k}": F.shiftright(k, 1) for k in keys[1:]})
+        same = nodes.where("leaf").withColumns({f"p_{k}": F.col(k) for k in keys})
+        both = half.unionByName(same)
+        return both.select(*(F.col(f"p_{k}").alias(f"{side}p_{k}") for k in keys), *(F.col(c).alias(f"{side}{c}") for c in columns))
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        least, most = gaps("r", "s", dims)
+        node = Window.partitionBy(*(f"r{k}" for k in keys))
+        nearer = node.orderBy("_most").rowsBetween(Window.unboundedPreceding, 0)
+        pairs = pairs.withColumn("_least", least).withColumn("_most", most).withColumn("_have", F.sum("sn").over(nearer))
+        bound = F.coalesce(F.min(F.when(F.col("_have") >= need, F.col("_most"))).over(node), F.lit(float("inf")))
+        return pairs.withColumn("bound", bound).where(F.col("_least") <= F.col("bound") * (1 + 1e-12)).drop("_least", "_most", "_have")
+
+    named = lambda nodes, side: nodes.where(F.col("level") == top).select(*(F.col(c).alias(f"{side}{c}") for c in columns))
+    # at most 256 roots a side
+    pairs = pruned(named(receivers, "r").crossJoin(F.broadcast(named(senders, "s"))))
+    lower = {"r": below(receivers, "r"), "s": below(senders, "s")}
+    for i in range(levels):
+        for side in ("r", "s"):
+            above = [f"{side}p_{k}" for k in keys]
+            pairs = pairs.drop(*(f"{side}{c}" for c in columns if c not in keys)).withColumnsRenamed({f"{side}{k}": f"{side}p_{k}" for k in keys})
+            pairs = pairs.join(lower[side], above).drop(*above)
+        pairs = pruned(pairs.drop("bound"))
+        if i % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1 or i == levels - 1:
+            pairs = written(pairs)
+    return pairs
+
+
+def candidates(receivers: DataFrame, senders: DataFrame, k: int, dims: int = 2, start: float | None = None, self_pairs: bool = False) -> DataFrame | None:
+    """(receiver, sender, d2) of pairs among which are all that a k-nearest join needs; None without a sender or receiver.
+
+    Of senders at one place only the first k + 1 count. Bins of their tree hold at most 2 k of them; receivers
+    lie in the bins of the same tree. start is the width of the bins that halving starts from; by default it
+    follows the mean density of the senders' bounding box.
+    """
+    axes, most, need = AXES[:dims], 2 * k, k if self_pairs else k + 1
+    position = [F.col(a).cast("double").alias(a) for a in axes]
+    r, s = receivers.select("cell", *position), senders.select("cell", *position)
+    both = s.withColumn("_s", F.lit(1)).unionByName(r.withColumn("_s", F.lit(0)))
+    ends = [f(F.when(F.col("_s") == 1, F.col(a)) if own else F.col(a)).alias(f"{e}{a}{own}") for own in (0, 1) for a in axes for e, f in (("lo", F.min), ("hi", F.max))]
+    box = both.agg(F.sum("_s").alias("n"), F.count("*").alias("all"), *ends).first()
+    if not box["n"] or box["n"] == box["all"]:
+        return None
+    width = start or even_width(box["n"], [box[f"hi{a}1"] - box[f"lo{a}1"] for a in axes], most / 2)
+    top = root_level([box[f"lo{a}0"] for a in axes], [box[f"hi{a}0"] for a in axes], width)
+    first = s.withColumn("_at", F.row_number().over(Window.partitionBy(*axes).orderBy("cell"))).where(F.col("_at") <= k + 1).drop("_at")
+    fine = written(finest(first, width, dims))
+    crowded, levels = crowded_bins(fine, dims, most)
+    sp, rp = leaf_of(fine, crowded, levels, dims), leaf_of(finest(r, width, dims), crowded, levels, dims)
+    if levels > STRIDE:
+        sp, rp = written(sp), written(rp)
+    rt, st = (written(nodes_above(counted(p, dims), top, dims)) for p in (rp, sp))
+    pairs = descended(rt, st, need, top, levels - top, dims)
+    keys = ["level", *bin_keys(dims)]
+    met = rp.select(F.col("cell").alias("receiver"), *(F.col(a).alias(f"lo_{a}") for a in axes), *(F.col(a).alias(f"hi_{a}") for a in axes), *(F.col(c).alias(f"r{c}") for c in keys))
+    met = met.join(pairs.select(*(f"r{c}" for c in keys), *(f"s{c}" for c in keys), *(f"s{e}_{a}" for a in axes for e in ("lo", "hi")), "bound"), [f"r{c}" for c in keys])
+    met = met.where(gaps("", "s", dims)[0] <= F.col("bound") * (1 + 1e-12)).select("receiver", *(F.col(f"lo_{a}").alias(f"r{a}") for a in axes), *(f"s{c}" for c in keys))
+    met = met.join(sp.select(F.col("cell").alias("sender"), *(F.col(a).alias(f"s{a}") for a in axes), *(F.col(c).alias(f"s{c}") for c in keys)), [f"s{c}" for c in keys])
+    return met.select("receiver", "sender", reduce(lambda p, q: p + q, ((F.col(f"r{a}") - F.col(f"s{a}")) * (F.col(f"r{a}") - F.col(f"s{a}")) for a in axes)).alias("d2"))
 
 
 def knn_join(receivers: DataFrame, senders: DataFrame, k: int, dims: int = 2, start: float | None = None, self_pairs: bool = False) -> DataFrame:
     """(receiver, sender, distance, rank) of the k nearest senders, ties by sender.
 
-    Radius joins with a growing radius: a receiver is done once it has k senders within the radius, as
-    then none farther out can be nearer. The first radius follows the senders' density where they are;
-    for the rest it grows twofold, then fourfold and so on, until it spans everything. Every round is a
-    written table. Receivers get all senders where there are fewer than k.
+    Trees of bins follow the density of both sides, so dense clusters, thin regions and outliers cost
+    each receiver some 10 k pairs alike. Receivers get all senders where there are fewer than k.
     """
-    from ..sources.store import written
-
-    axes = AXES[:dims]
-    both = receivers.select(*axes).union(senders.select(*axes))
-    box = both.agg(*(F.min(a).alias(f"lo{a}") for a in axes), *(F.max(a).alias(f"hi{a}") for a in axes)).first()
-    n = senders.count()
-    if not n or box[f"lo{axes[0]}"] is None:
+    pairs = candidates(receivers, senders, k, dims, start, self_pairs)
+    if pairs is None:
         return radius_join(receivers, senders, 1.0, dims, self_pairs).withColumn("rank", F.lit(1)).limit(0)
-    sides = [max(float(box[f"hi{a}"] - box[f"lo{a}"]), 1e-12) for a in axes]
-    diagonal = 1.001 * sum(s * s for s in sides) ** 0.5
-    volume = reduce(lambda p, q: p * q, sides)
-    radius = start or crowded_width(senders, min(diagonal, (volume * 2 * k / n) ** (1 / dims)), dims, 8 * k)
-    found, left, growth = [], receivers, 2
-    while True:
-        got = nearest(radius_join(left, senders, radius, dims, self_pairs), k)
-        if radius >= diagonal:
-            found.append(got)
-            break
-        got = got.withColumn("have", F.count("*").over(Window.partitionBy("receiver"))).where(F.col("have") >= k).drop("have")
-        got = written(got)
-        found.append(got)
-        left = left.join(got.select(F.col("receiver").alias("cell")).distinct(), "cell", "left_anti")
-        if not left.take(1):
-            break
-        radius, growth = min(radius * growth, diagonal), growth * 2
-    return reduce(DataFrame.unionByName, found)
+    if not self_pairs:
+        pairs = pairs.where("receiver <> sender")
+    return nearest(pairs.select("receiver", "sender", F.sqrt("d2").alias("distance")), k)
 
 
 def nearest_distance(receivers: DataFrame, senders: DataFrame, dims: int = 2, self_pairs: bool = False) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.store import written
+from .ordered import average_ranks, met, quantiles, running
+
 
 def composition(df: DataFrame, group: str, label: str) -> DataFrame:
     """count of each label in each group and its share of the group."""
@@ -122,24 +125,89 @@ def log_odds(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.log2((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
-    """df with ranks from 1 within each group; equal values share the mean of their ranks."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    same = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn(out, low + (same - 1) / 2.0)
+def tie_blocks(df: DataFrame, value: str, by: list[str], **counts: Column) -> DataFrame:
+    """by..., value, n, the given counts and `rank` of each block of equal values; null values have no rank.
+
+    Rows are counted up to blocks before they move, so a value that many share is one row a task, and a
+    group's blocks are ranked in ranges.
+    """
+    blocks = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in counts.items()))
+    return average_ranks(blocks, value, by, "n")
+
+
+def cubed(n: Column) -> Column:
+    """n^3 - n in doubles, the share of a block in the correction for ties."""
+    x = n.cast("double")
+    return x * x * x - x
 
 
 def rank_sum(df: DataFrame, value: str, inside: str, by: list[str]) -> DataFrame:
     """Mann-Whitney U of the rows with `inside` against the others, with its z (ties corrected) and two-sided p."""
-    ranked = average_ranks(df, value, by)
-    ties = df.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
-    n = ranked.groupBy(*by).agg(F.count_if(inside).cast("double").alias("n1"), F.count_if(~F.col(inside)).cast("double").alias("n2"), F.sum(F.when(F.col(inside), F.col("rank"))).alias("r1"))
-    n = n.join(ties, by).withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).withColumn("n", F.col("n1") + F.col("n2"))
+    b = tie_blocks(df, value, by, n1=F.count_if(inside))
+    n = b.groupBy(*by).agg(F.sum("n1").cast("double").alias("n1"), F.sum(F.col("n") - F.col("n1")).cast("double").alias("n2"), F.sum(F.col("n1") * F.col("rank")).alias("r1"), F.sum(cubed(F.col("n"))).alias("ties"))
+    n = n.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).withColumn("n", F.col("n1") + F.col("n2"))
     variance = F.col("n1") * F.col("n2") / 12 * (F.col("n") + 1 - F.col("ties") / (F.col("n") * (F.col("n") - 1)))
-    z = F.when(variance > 0, (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(variance)).otherwise(0.0)
+    z = F.when((F.col("n") > 1) & (variance > 0), (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(variance)).otherwise(0.0)
     return n.withColumn("z", z).withColumn("p", two_sided("z")).select(*by, "n1", "n2", "u", "z", "p")
 
 
+def differential(rows: DataFrame, group: str, control, value: str, by: list[str], alpha: float = 0.05, least_change: float = 0.5, ties: bool = False) -> DataFrame:
+    """Rank-sum test of each group against the control rows: by..., group, n, n_control, log_fold_change, u, z, p, p_adjusted, significant.
+
+    rows(by..., group, value) holds log1p values, zeros included; by is the gene. Groups share one order
+    of (by, value) in which only control rows are counted: U is the sum over a group's rows of the control
+    rows below plus half of those level with it, so control rows are never repeated for a group. p is
+    adjusted over the genes of a group (Benjamini-Hochberg); with ties the variance is corrected for them.
+    """
+    is_control = F.col(group).eqNullSafe(F.lit(control))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value, group).agg(F.count("*").alias("n"))
+    blocks = counts.groupBy(*by, value).agg(F.coalesce(F.sum(F.when(is_control, F.col("n"))), F.lit(0)).alias("c"), F.array_compact(F.collect_list(F.when(~is_control & F.col(group).isNotNull(), F.struct(group, "n")))).alias("groups"))
+    placed = running(blocks, by, [value], {"below": F.col("c"), "control_ties": cubed(F.col("c")), "control_value": F.col("c") * F.col(value)})
+    each = placed.select(*by, value, "c", "below", "below_all", "control_ties_all", "control_value_all", F.explode("groups").alias("g")).select("*", "g.*")
+    n, c, level = F.col("n"), F.col("c"), cubed(F.col("n") + F.col("c")) - cubed(F.col("c"))
+    t = each.groupBy(*by, group).agg(F.sum(n).cast("double").alias("n"), F.max("below_all").cast("double").alias("n_control"), F.sum(n * (F.col("below") + c / 2)).alias("u"), (F.max("control_ties_all") + F.sum(level)).alias("t"), (F.sum(n * F.col(value)) / F.sum(n)).alias("mean"), (F.max("control_value_all") / F.max("below_all")).alias("mean_control"))
+    n1, n2 = F.col("n"), F.col("n_control")
+    all_ = n1 + n2
+    variance = n1 * n2 / 12 * ((all_ + 1) - (F.when(all_ > 1, F.col("t") / (all_ * (all_ - 1))).otherwise(0.0) if ties else F.lit(0.0)))
+    t = t.withColumn("z", F.when(variance > 0, (F.col("u") - n1 * n2 / 2) / F.sqrt(variance)).otherwise(0.0)).withColumn("p", two_sided("z"))
+    t = t.withColumn("log_fold_change", F.log2((F.expm1("mean") + 1e-9) / (F.expm1("mean_control") + 1e-9)))
+    t = benjamini_hochberg(t, "p", [group], by, "p_adjusted")
+    significant = (F.col("p_adjusted") < alpha) & (F.abs("log_fold_change") > least_change)
+    return t.select(*by, group, "n", "n_control", "log_fold_change", "u", "z", "p", "p_adjusted", significant.alias("significant"))
+
+
+def level_trends(rows: DataFrame, level: str, levels: tuple, value: str, by: list[str], pad: float = 0.05, least_fraction: float = 0.1, least_mean: float = 0.05) -> DataFrame:
+    """The trend of each gene over three ordered levels, with rank-sum tests of the outer ones and of the middle against both.
+
+    by..., trend ('first', 'middle', 'last' or 'none': where the mean is highest in a monotone or peaked
+    course), score (log2 of the means), the means and positive fractions of the levels, p_outer and
+    p_middle (two-sided, corrected for ties and continuity). A gene that no level expresses enough has no
+    trend. Both tests come from one order of (by, value).
+    """
+    at = [F.count_if(F.col(level) == x) for x in levels]
+    known = rows.where(F.col(level).isin(*levels) & F.col(value).isNotNull())
+    blocks = known.groupBy(*by, value).agg(*(c.alias(f"n{i}") for i, c in enumerate(at)))
+    n0, n1, n2 = (F.col(f"n{i}") for i in range(3))
+    placed = running(blocks, by, [value], {"b2": n2, "b02": n0 + n2})
+    v, positive = F.col(value), F.col(value) > 0
+    t = placed.groupBy(*by).agg(*(F.sum(f"n{i}").cast("double").alias(f"k{i}") for i in range(3)), *((F.sum(F.col(f"n{i}") * v) / F.sum(f"n{i}")).alias(f"mean_{i}") for i in range(3)), *((F.sum(F.when(positive, F.col(f"n{i}")).otherwise(0)) / F.sum(f"n{i}")).alias(f"fraction_{i}") for i in range(3)),
+        F.sum(n0 * (F.col("b2") + n2 / 2)).alias("u_outer"), F.sum(n1 * (F.col("b02") + (n0 + n2) / 2)).alias("u_middle"), F.sum(cubed(n0 + n2)).alias("t_outer"), F.sum(cubed(n0 + n1 + n2)).alias("t_middle"))
+
+    def p(u: str, a: Column, b: Column, ties: str) -> Column:
+        n = a + b
+        variance = a * b / 12 * (n + 1 - F.col(ties) / (n * (n - 1)))
+        # the larger of both U less the correction, as the test is two-sided
+        return F.least(F.lit(1.0), two_sided(F.when((n > 1) & (variance > 0), (F.abs(F.col(u) - a * b / 2) - 0.5) / F.sqrt(variance)).otherwise(0.0)))
+
+    m = [F.col(f"mean_{i}") for i in range(3)]
+    enough = (F.greatest(*(F.col(f"fraction_{i}") for i in range(3))) >= least_fraction) & (F.greatest(*m) >= least_mean)
+    trend = F.when(~enough, "none").when((m[0] > m[1]) & (m[1] > m[2]), "first").when((m[0] < m[1]) & (m[1] < m[2]), "last").when((m[1] > m[0]) & (m[1] > m[2]), "middle").otherwise("none")
+    ratio = lambda a, b: F.log2((a + pad) / (b + pad))
+    score = F.when(F.col("trend") == "first", ratio(m[0], m[2])).when(F.col("trend") == "last", ratio(m[2], m[0])).when(F.col("trend") == "middle", ratio(m[1], F.greatest(m[0], m[2]))).otherwise(0.0)
+    t = t.withColumn("trend", trend).withColumn("p_outer", p("u_outer", F.col("k0"), F.col("k2"), "t_outer")).withColumn("p_middle", p("u_middle", F.col("k1"), F.col("k0") + F.col("k2"), "t_middle"))
+    return t.select(*by, "trend", score.alias("score"), *(f"mean_{i}" for i in range(3)), *(f"fraction_{i}" for i in range(3)), "p_outer", "p_middle")
+
+
 @F.pandas_udf(DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
@@ -147,10 +215,12 @@ def two_sided(z: pd.Series) -> pd.Series:
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """H over the groups, corrected for ties, and its degrees of freedom."""
-    ranked = average_ranks(df, value, by)
-    ties = df.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
-    each = ranked.groupBy(*by, group).agg(F.count("*").cast("double").alias("k"), F.sum("rank").alias("r"))
-    h = each.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("k")).alias("s"), F.count("*").alias("groups")).join(ties, by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value, group).agg(F.count("*").alias("k"))
+    blocks = counts.groupBy(*by, value).agg(F.sum("k").alias("n"), F.collect_list(F.struct(F.col(group).alias("g"), "k")).alias("groups"))
+    ranked = average_ranks(blocks, value, by, "n")
+    ties = ranked.groupBy(*by).agg(F.sum(cubed(F.col("n"))).alias("ties"))
+    each = ranked.select(*by, "rank", F.inline("groups")).groupBy(*by, "g").agg(F.sum("k").cast("double").alias("k"), F.sum(F.col("k") * F.col("rank")).alias("r"))
+    h = met(each.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("k")).alias("s"), F.count("*").alias("groups")), ties, by)
     n = F.col("n")
     raw = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     return h.select(*by, (raw / (1 - F.col("ties") / (n * n * n - n))).alias("h"), (F.col("groups") - 1).alias("df"))
@@ -166,7 +236,19 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    return average_ranks(average_ranks(df, a, by, "_a"), b, by, "_b").groupBy(*by).agg(F.corr("_a", "_b").alias("spearman"))
+    """Correlation of the average ranks of a and b in each group, over the rows that have both.
+
+    Equal pairs are counted up first; ranks are looked up for distinct pairs, and the sums weigh them.
+    """
+    pairs = written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_w")))
+    for v in ("_a", "_b"):
+        ranks = average_ranks(pairs.groupBy(*by, v).agg(F.sum("_w").alias("_n")), v, by, "_n").select(*by, v, F.col("rank").alias(f"{v}r"))
+        pairs = met(pairs, ranks, [*by, v])
+    w, x, y = F.col("_w"), F.col("_ar"), F.col("_br")
+    s = pairs.groupBy(*by).agg(F.sum(w).cast("double").alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy"))
+    n = F.col("n")
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
+    return s.select(*by, F.when((vx > 0) & (vy > 0), (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(vx * vy)).alias("spearman"))
 
 
 def moran(cells: DataFrame, edges: DataFrame, expression: DataFrame, n_cells: int) -> DataFrame:
@@ -222,7 +304,7 @@ def marker_scores(expression: DataFrame, labels: DataFrame, pad: float = 0.05) -
 def variable_genes(metrics: DataFrame, bins: int = 20) -> DataFrame:
     """log dispersion of each gene, standardized among the genes of similar mean (equal-count bins by quantiles)."""
     base = metrics.where("mean > 0 and variance > 0").withColumn("dispersion", F.ln(F.col("variance") / F.col("mean")))
-    edges = base.agg(F.percentile("mean", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+    edges = quantiles(base, "mean", [i / bins for i in range(1, bins)]).select(F.col("q").alias("edges"))
     binned = base.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("mean"))))
     w = Window.partitionBy("bin")
     sd = F.stddev_samp("dispersion").over(w)
@@ -260,20 +342,20 @@ def fold_regression(rows: DataFrame, by: list[str], folds: int, least_train: int
 
 def dose_response(df: DataFrame, dose: str, response: str, bins: int) -> DataFrame:
     """Mean, positive share and 1.96 standard errors of the response in quantile bins of the dose."""
-    edges = df.agg(F.percentile(dose, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+    edges = quantiles(df, dose, [i / bins for i in range(1, bins)]).select(F.col("q").alias("edges"))
     binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(dose))))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(response).alias("mean"), F.avg(F.when(F.col(response) > 0, 1.0).otherwise(0.0)).alias("positive"), (1.96 * F.stddev_samp(response) / F.sqrt(F.count("*"))).alias("error"))
 
 
 def clipped(df: DataFrame, value: str, quantile: float, by: list[str]) -> DataFrame:
     """df with the value cut off at its quantile within each group."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.lit(quantile)).alias("_cut"))
-    return df.join(cut, by).withColumn(value, F.least(value, "_cut")).drop("_cut")
+    cut = quantiles(df, value, [quantile], by).select(*by, F.col("q")[0].alias("_cut"))
+    return met(df, cut, by).withColumn(value, F.least(value, "_cut")).drop("_cut")
 
 
 def winsorized_score(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """df with z of the value cut off at both quantiles (sample SD; 0 where it doesn't vary)."""
-    q = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = quantiles(df, value, [low, high]).select(F.col("q").alias("_q"))
     cut = df.crossJoin(F.broadcast(q)).withColumn("_v", F.least(F.greatest(F.col(value), F.col("_q")[0]), F.col("_q")[1]))
     scale = cut.agg(F.avg("_v").alias("_m"), F.stddev_samp("_v").alias("_s"))
     return cut.crossJoin(F.broadcast(scale)).withColumn("z", F.when(F.col("_s") > 0, (F.col("_v") - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_q", "_v", "_m", "_s")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ReactionDiffusion
 from ..functions.scalars import fold_id
 from ..operators import edges as edge_ops
-from ..operators import effects, fields, groups, matrix, sampling, spatial
+from ..operators import effects, fields, groups, many_models, matrix, sampling, spatial
 from ..operators.effects import SparseEffects
+from ..sources.store import written
 
 
 @dataclass(frozen=True)
@@ -75,11 +77,11 @@ def analyse(cells: DataFrame, expression: DataFrame, residual: DataFrame, embedd
     cells(cell, x, y[, z]); expression, residual (cell, gene, value); embedding(cell, v array<double>).
     """
     member, _, _ = groups.receiver_groups(embedding, "v", a.receiver_group_count, seed=a.seed)
-    member = member.select("cell", "p", "receiver_group", "maximum_probability").persist()
-    fit = sampling.balanced(member.select("cell", "receiver_group"), "receiver_group", "cell", a.max_fit_cells).persist()
+    member = written(member.select("cell", "p", "receiver_group", "maximum_probability"))
+    fit = written(sampling.balanced(member.select("cell", "receiver_group"), "receiver_group", "cell", a.max_fit_cells))
     n = expression.select("gene").distinct().count()
     rows = fit_rows(source_fields(cells, expression, a), residual, member, fit)
-    e = effects.fit_effects(rows, n, residual.select("gene").distinct().count(), a.effect).persist()
+    e = written(effects.fit_effects(rows, n, residual.select("gene").distinct().count(), a.effect))
     targets, sources = effects.score_tables(e, a.per_target)
     return {"receiver_group_assignments": member.select("cell", "receiver_group", "maximum_probability"), "effects": e, "target_scores": targets, "source_target_scores": sources}
 
@@ -134,43 +136,22 @@ def validate(cells: DataFrame, rows: DataFrame, triplets: DataFrame, n_sources:
     return effects.held_out_triplets(effects.fold_moments(placed, folds, n_sources, n_targets), triplets, n_sources, n_targets, config)
 
 
-def count_selection(cells: DataFrame, embedding: DataFrame, field_: DataFrame, residual: DataFrame, counts: list[int], folds: int = 5, width: float = 0.3, a: Analysis = Analysis()) -> DataFrame:
-    """The table of candidate counts: groups are fitted without a fold and judged on it.
+def count_selection(cells: DataFrame, embedding: DataFrame, field_: DataFrame, residual: DataFrame, counts: list[int], folds: int = 5, width: float = 0.3, a: Analysis = Analysis(), restarts: int = 2, centres: dict[int, list[list[float]]] | None = None) -> DataFrame:
+    """The table of candidate counts: groups and effects are fitted without a fold and judged on it.
 
-    One pass over the cells a count and fold; errors come from the sums of the held-out cells.
+    field_(cell, gene, z) and residual(cell, gene, z) are standardized. All counts and folds go through each scan
+    together (see many_models); centres, if given, stand for the fitted ones of a count.
     """
-    import numpy as np
-    import pandas as pd
-
-    placed = with_folds(cells, folds, width).select("cell", "fold").persist()
-    nx, ny = field_.select("gene").distinct().count(), residual.select("gene").distinct().count()
-    out = None
-    for count in counts:
-        for fold in range(folds):
-            train = placed.where(F.col("fold") != fold)
-            centres = groups.kmeans(embedding.join(train, "cell", "left_semi"), "v", count, restarts=2, seed=a.seed)
-            heat = groups.temperature(embedding.join(train, "cell", "left_semi"), "v", centres)
-            member = groups.soft_membership(embedding, "v", centres, heat)
-            rows = wide(matrix.standardized(field_, "field", ["gene"], fit=train), "z", "x").join(wide(matrix.standardized(residual, "value", ["gene"], fit=train), "z", "y"), "cell").join(member.select("cell", "p"), "cell").join(placed, "cell")
-            sums = effects.fold_moments(rows.withColumn("fold", (F.col("fold") == fold).cast("int")), 2, nx, ny)
-
-            def judge(frames, count=count, fold=fold, nx=nx, ny=ny, config=a.effect):
-                parts = pd.concat(list(frames))
-                base = full = mass = active = 0.0
-                least = np.inf
-                for g, f in parts.groupby("receiver_group"):
-                    s = {int(k): np.asarray(v) for k, v in zip(f["fold"], f["sums"])}
-                    if 0 not in s or 1 not in s or s[0][0] <= 0:
-                        continue
-                    train_, test = matrix.unpack_gram(s[0], nx, ny), matrix.unpack_gram(s[1], nx, ny)
-                    b = effects.fit_group(train_, config)["signed_beta"].to_numpy().reshape(nx, ny)
-                    gap = test["mean_y"] - train_["mean_y"]
-                    shift = gap - (test["mean_x"] - train_["mean_x"]) @ b
-                    base += test["mass"] * (test["variance_y"] + gap**2).mean()
-                    full += test["mass"] * (test["variance_y"] - 2 * (b * test["cross"]).sum(0) + (b * (test["gram"] @ b)).sum(0) + shift**2).mean()
-                    mass, active, least = mass + test["mass"], active + (b != 0).sum(), min(least, train_["mass"])
-                yield pd.DataFrame([[count, fold, base / max(mass, 1e-12), full / max(mass, 1e-12), active, least]], columns=["count", "fold", "baseline_mse", "physical_mse", "active", "minimum_mass"])
-
-            one = sums.coalesce(1).mapInPandas(judge, "count int, fold int, baseline_mse double, physical_mse double, active double, minimum_mass double")
-            out = one if out is None else out.unionByName(one)
-    return groups.choose_count(out)
+    placed = with_folds(cells, folds, width).select("cell", "fold")
+    rows = wide(field_, "z", "x").join(wide(residual, "z", "y"), "cell").join(embedding.select("cell", "v"), "cell").join(placed, "cell")
+    rows = written(rows)
+    first = rows.select(F.size("x").alias("nx"), F.size("y").alias("ny")).first()
+    if first is None:
+        raise ValueError("no cell has a field, a residual and an embedding")
+    pairs = [(count, fold) for count in counts for fold in range(folds)]
+    if centres is None:
+        models = [many_models.Model(*pair, restart) for pair in pairs for restart in range(restarts)]
+        best = many_models.best_restarts(rows, models, many_models.fitted_centres(rows, models, seed=a.seed))
+    else:
+        best = {pair: np.array(centres[pair[0]], float) for pair in pairs}
+    return groups.choose_count(many_models.judged(rows, best, many_models.heats(rows, best), first["nx"], first["ny"], a.effect))

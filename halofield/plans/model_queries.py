@@ -19,6 +19,13 @@ STANDARD = f"{CELLS}, {EXPR}, {RESIDUAL}, {EDGES}, f AS (SELECT receiver AS cell
 SCREEN = f"{STANDARD}, j AS (SELECT grp, a.gene AS source, b.gene AS target, a.z AS x, b.z AS y FROM zf a JOIN zr b USING (cell) JOIN cells USING (cell) WHERE a.gene <> b.gene), k AS (SELECT grp, source, target, avg(x * y) - avg(x) * avg(y) AS c, greatest(avg(x * x) - avg(x) * avg(x), 0) + 1e-12 AS v FROM j GROUP BY 1, 2, 3)"
 
 
+def weighted(sql: str) -> str:
+    """The SQL of a fit with cells weighted by member.w in place of plain averages."""
+    for mean in ("a.z * b.z", "a.z", "b.z", "z * z", "z"):
+        sql = sql.replace(f"avg({mean})", f"(sum(w * {mean}) / sum(w))")
+    return sql
+
+
 def standard(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Standardized masked fields and residuals."""
     e, c = expression(spark, sf), cells(spark, sf)
@@ -228,10 +235,40 @@ def source_target_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("receiver_group", "target", "source", "target_rank", "source_rank", "selected", *(r(c, 5).alias(c) for c in ("screening_score", "signed_beta", "derived_attention", "training_improvement")))
 
 
-@query("ml14_group_count_selection")
+#: Soft groups around the first cells as centres; each problem is a count, fold, group and target, its cells weighted.
+SELECTION = f"""{STANDARD}, emb AS (SELECT vec_id AS cell, list_transform(embedding[28:64], lambda v: CAST(v AS DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings),
+fb AS (SELECT cell, ((xor(CAST(floor(x / 0.1e0) AS BIGINT) * 73856093, CAST(floor(y / 0.1e0) AS BIGINT) * 19349663) % 2) + 2) % 2 AS f FROM cells), cf AS (SELECT cell, CASE WHEN (SELECT count(DISTINCT f) FROM fb) < 2 THEN cell % 2 ELSE f END AS fold FROM fb),
+centre AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS g, v FROM emb, (VALUES (2), (3)) n(c) WHERE i < c),
+d AS (SELECT emb.cell, c, g, list_sum(list_transform(range(1, 38), lambda i: (emb.v[i] - centre.v[i]) * (emb.v[i] - centre.v[i]))) AS d2 FROM emb, centre),
+gap AS (SELECT cell, c, list(d2 ORDER BY d2)[2] - min(d2) AS gap FROM d GROUP BY 1, 2),
+heat AS (SELECT c, r.fold, greatest(list(gap ORDER BY gap)[count(*) // 2 + 1], 1e-3) AS h FROM gap JOIN cf USING (cell), range(0, 2) r(fold) WHERE cf.fold <> r.fold GROUP BY 1, 2),
+ex AS (SELECT cell, d.c, heat.fold AS f, g, exp(greatest(-d2 / h + min(d2 / h) OVER (PARTITION BY cell, d.c, heat.fold), -60)) AS e FROM d JOIN heat USING (c)),
+pr AS (SELECT ex.cell, c, f, g, e / sum(e) OVER (PARTITION BY ex.cell, c, f) AS p, cf.fold = f AS held FROM ex JOIN cf USING (cell)),
+member AS (SELECT ((c * 10 + f) * 10 + g) * 100 + t AS pid, cell, p AS w FROM pr, range(1, 13) r(t) WHERE NOT held), aim AS (SELECT DISTINCT pid, pid % 100 AS target FROM member), {weighted(fit_sql.fitted(0.03))},
+fit AS (SELECT pid, s, beta FROM eff),
+guess AS (SELECT pr.cell, c, f, ic.pid % 100 AS target, sum(p * intercept) AS plain, sum(p * (intercept + bx)) AS full_ FROM pr JOIN ic ON ic.pid // 100 = (c * 10 + f) * 10 + g JOIN (SELECT zf.cell, pid, sum(beta * z) AS bx FROM fit JOIN zf ON zf.gene = s GROUP BY 1, 2) u ON u.cell = pr.cell AND u.pid = ic.pid WHERE held GROUP BY 1, 2, 3, 4),
+er AS (SELECT c, f, avg((z - plain) * (z - plain)) AS base, avg((z - full_) * (z - full_)) AS full_ FROM guess JOIN zr ON zr.cell = guess.cell AND zr.gene = target GROUP BY 1, 2),
+mass AS (SELECT c, f, min(m) AS m FROM (SELECT c, f, g, sum(p) AS m FROM pr WHERE NOT held GROUP BY 1, 2, 3) GROUP BY 1, 2),
+tab AS (SELECT c, avg(base) AS base, avg(full_) AS full_, avg((base - full_) / greatest(base, 1e-12)) AS gain, stddev_samp((base - full_) / greatest(base, 1e-12)) / sqrt(count(*)) AS se, avg(m) AS m FROM er JOIN mass USING (c, f) GROUP BY 1),
+pool AS (SELECT * FROM tab WHERE m >= 30 OR NOT EXISTS (SELECT 1 FROM tab WHERE m >= 30)), best AS (SELECT * FROM pool ORDER BY gain DESC, c DESC LIMIT 1)
+SELECT CAST(c AS INTEGER) AS count, m >= 30 AS eligible, c = (SELECT min(pool.c) FROM pool, best WHERE pool.gain >= best.gain - best.se) AS selected, round(base, 5) + 0 AS baseline_mse, round(full_, 5) + 0 AS physical_mse, round(gain, 5) + 0 AS improvement_fraction, round(m, 4) + 0 AS minimum_effective_train_mass FROM tab"""
+
+
+@query("ml14_group_count_selection", f"WITH RECURSIVE {SELECTION}")
 def group_count_selection(spark: SparkSession, sf: str) -> DataFrame:
-    x, _ = standard(spark, sf)
-    t = analysis.count_selection(cells(spark, sf), embedding(spark, sf), x.select("cell", "gene", "field"), residual(spark, sf), [2, 3], folds=2, width=0.1, a=SETTINGS)
+    """Counts 2 and 3 judged over two spatial folds, with the first cells as given centres."""
+    x, y = standard(spark, sf)
+    e = embedding(spark, sf)
+    first = [row["v"] for row in e.orderBy("cell").limit(3).collect()]
+    t = analysis.count_selection(cells(spark, sf), e, x.select("cell", "gene", "z"), y.select("cell", "gene", "z"), [2, 3], folds=2, width=0.1, a=SETTINGS, centres={n: sorted(first[:n]) for n in (2, 3)})
+    return t.select("count", "eligible", "selected", *(r(c, 5).alias(c) for c in ("baseline_mse", "physical_mse", "improvement_fraction")), r("minimum_effective_train_mass", 4).alias("minimum_effective_train_mass"))
+
+
+@query("ml14_fitted_group_count")
+def fitted_group_count(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with fitted centres: k-means depends on its start, so there is no SQL for it."""
+    x, y = standard(spark, sf)
+    t = analysis.count_selection(cells(spark, sf), embedding(spark, sf), x.select("cell", "gene", "z"), y.select("cell", "gene", "z"), [2, 3], folds=2, width=0.1, a=SETTINGS, restarts=1)
     return t.select("count", "eligible", "selected", *(r(c, 5).alias(c) for c in ("baseline_mse", "physical_mse", "improvement_fraction", "minimum_effective_train_mass")))
 
 

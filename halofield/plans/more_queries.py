@@ -197,6 +197,24 @@ def propagated_labels(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.propagated_labels(spatial.knn_join(c, c, 6), rounds=5)
 
 
+def linkage_sql(items: int) -> str:
+    """One merge a step of the two clusters with the least mean distance, over d(a, b, d) and labels s0(a, l); a step without a pair adds nothing."""
+    out = []
+    for i in range(items - 1):
+        out.append(f"m{i} AS MATERIALIZED (SELECT x.l AS l, y.l AS r, avg(d) AS h, count(DISTINCT x.a) + count(DISTINCT y.a) AS n FROM d JOIN s{i} x ON x.a = d.a JOIN s{i} y ON y.a = d.b WHERE x.l < y.l GROUP BY 1, 2 ORDER BY h, 1, 2 LIMIT 1)")
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT a, CASE WHEN s{i}.l = m{i}.r THEN m{i}.l ELSE s{i}.l END AS l FROM s{i} LEFT JOIN m{i} ON true)")
+    return ", ".join([*out, "merges AS (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(items - 1)) + ")"])
+
+
+@query("ml24_average_linkage", f"WITH {CELLS}, {EXPR}, v AS (SELECT grp, gene, avg(value) AS m FROM expr JOIN cells USING (cell) GROUP BY 1, 2), d AS MATERIALIZED (SELECT a.grp AS a, b.grp AS b, 1 - sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) AS d FROM v a JOIN v b USING (gene) WHERE a.grp <> b.grp GROUP BY 1, 2), s0 AS (SELECT DISTINCT grp AS a, grp AS l FROM v), {linkage_sql(10)} SELECT l AS \"left\", r AS \"right\", round(h, 7) + 0 AS height, n AS size FROM merges")
+def average_linkage(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups by the cosine distance of their mean expression."""
+    v = expression(spark, sf).join(cells(spark, sf).select("cell", "group"), "cell").groupBy("group", "gene").agg(F.avg("value").alias("m"))
+    a, b = v.select(F.col("group").alias("a"), "gene", F.col("m").alias("x")), v.select(F.col("group").alias("b"), "gene", F.col("m").alias("y"))
+    gap = 1 - F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
+    return graphs.average_linkage(a.join(b, "gene").where("a < b").groupBy("a", "b").agg(gap.alias("distance"))).withColumn("height", r("height", 7))
+
+
 @query("ml24_density_clusters", f"WITH RECURSIVE {CELLS}, near AS (SELECT a.cell AS a, b.cell AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM cells a JOIN cells b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02e0 * 0.02e0), core AS (SELECT a AS core FROM near GROUP BY 1 HAVING count(*) >= 4), links AS (SELECT a, b FROM near WHERE a IN (SELECT core FROM core) AND b IN (SELECT core FROM core)), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a), label AS (SELECT a, min(b) AS cluster FROM reach GROUP BY 1), best AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS k FROM near WHERE b IN (SELECT core FROM core)) WHERE k = 1) SELECT cell, label.cluster FROM cells LEFT JOIN best ON best.a = cell LEFT JOIN label ON label.a = best.b")
 def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.density_clusters(cells(spark, sf), 0.02, 4)

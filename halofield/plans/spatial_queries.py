@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import ReactionDiffusion
 from ..operators import fields, spatial, stats
+from ..operators.ordered import quantiles
 from .registry import CELLS, EDGES, EXPR, GAP2, GAP3, LENGTH, MIN_DISTANCE, RADIUS, cells, expression, knn, query, r
 
 KERNEL = ReactionDiffusion.of_length(LENGTH, min_distance=MIN_DISTANCE)
@@ -199,6 +200,27 @@ def density(spark: SparkSession, sf: str) -> DataFrame:
     return fields.density(cells(spark, sf), 0.05)
 
 
+def gauss(sigma: float, reach: int) -> str:
+    """SQL rows (o, w): the weights of a Gaussian over bins."""
+    return f"(SELECT o, exp(-0.5e0 * o * o / ({sigma!r} * {sigma!r})) / sum(exp(-0.5e0 * o * o / ({sigma!r} * {sigma!r}))) OVER () AS w FROM (SELECT unnest(range(-{reach}, {reach + 1})) AS o))"
+
+
+#: Both axes at once; components by closure over faces.
+ENVELOPE = f"""WITH RECURSIVE {CELLS}, h AS (SELECT CAST(floor(x / 0.05e0) AS BIGINT) AS bx, CAST(floor(y / 0.05e0) AS BIGINT) AS b_y, count(*) AS n FROM cells GROUP BY 1, 2),
+s AS (SELECT bx + p.o AS bx, b_y + q.o AS b_y, sum(n * p.w * q.w) AS density FROM h, {gauss(1.0, 3)} p, {gauss(1.0, 3)} q GROUP BY 1, 2),
+c AS (SELECT (SELECT quantile_cont(density, 0.12) FROM cells JOIN s ON bx = CAST(floor(x / 0.05e0) AS BIGINT) AND b_y = CAST(floor(y / 0.05e0) AS BIGINT)) AS low, (SELECT max(density) FROM s) AS top),
+k AS (SELECT bx, b_y, density, row_number() OVER (ORDER BY bx, b_y) AS i FROM s, c WHERE density >= low AND density >= top * 0.055e0),
+e AS (SELECT a.i AS a, b.i AS b FROM k a JOIN k b ON abs(a.bx - b.bx) + abs(a.b_y - b.b_y) <= 1),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+l AS (SELECT a, min(b) AS l FROM reach GROUP BY 1), z AS (SELECT l, count(*) AS bins FROM l GROUP BY 1)
+SELECT bx, b_y AS "by", round(density, 6) + 0 AS density, bins FROM k JOIN l ON a = i JOIN z USING (l) WHERE bins >= 6"""
+
+
+@query("fld15_envelope", ENVELOPE)
+def envelope(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.envelope(cells(spark, sf), 0.05, 1.0, 6).select("bx", "by", r("density").alias("density"), "bins")
+
+
 @query("fld16_complex_expression", f"WITH {EXPR}, parts(complex, gene) AS (VALUES ('a', 1), ('a', 2), ('b', 3), ('c', 4), ('c', 5), ('c', 6)), need AS (SELECT complex, count(*) AS need FROM parts GROUP BY 1) SELECT cell, complex, round(exp(sum(ln(1 + value)) / count(*)) - 1, 6) + 0 AS value FROM expr JOIN parts USING (gene) JOIN need USING (complex) WHERE value > 0 GROUP BY cell, complex, need HAVING count(*) = need")
 def complex_expression(spark: SparkSession, sf: str) -> DataFrame:
     parts = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5), ("c", 6)], "complex string, gene long")
@@ -239,6 +261,6 @@ def neighbour_entropy(spark: SparkSession, sf: str) -> DataFrame:
 def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
     one = c.agg(F.count("*").alias("n"), F.countDistinct("group").alias("groups"), r(F.min("x")).alias("min_x"), r(F.max("y")).alias("max_y"))
-    return one.crossJoin(spatial.nearest_distance(c, c).agg(r(F.median("distance")).alias("median_gap")))
+    return one.crossJoin(F.broadcast(quantiles(spatial.nearest_distance(c, c), "distance", [0.5]).select(r(F.col("q")[0]).alias("median_gap"))))
 
 

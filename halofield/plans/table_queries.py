@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
 from ..functions.kernels import bessel_i0, bessel_k0
 from ..operators import matrix, panel, ranking, sampling, stats
+from ..operators.ordered import quantiles
+from ..sources.store import written
 from .registry import CELLS, EXPR, RELATIONS, RESIDUAL, cells, expression, query, r, relations, residual, table
 
 # --- projections and filters
@@ -68,7 +72,9 @@ QC = "qc AS (SELECT l_orderkey AS cell, sum(l_quantity) AS counts, count(DISTINC
 def cell_qc(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "lineitem")
     q = t.groupBy(F.col("l_orderkey").alias("cell")).agg(F.sum("l_quantity").alias("counts"), F.countDistinct("l_linenumber").alias("genes"), (F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")).alias("part"))
-    cap = q.agg(F.percentile("counts", F.lit(0.999)).alias("c"), F.percentile("genes", F.lit(0.999)).alias("g"))
+    q = written(q)
+    caps = (quantiles(q, c, [0.999]).select(F.col("q")[0].alias(c[0])) for c in ("counts", "genes"))
+    cap = reduce(DataFrame.crossJoin, caps)
     return q.crossJoin(F.broadcast(cap)).where("counts >= 20 and genes >= 2 and counts <= c and genes <= g and part <= 0.5").select("cell", "counts", "genes")
 
 
@@ -546,7 +552,19 @@ def quota_panel(spark: SparkSession, sf: str) -> DataFrame:
     return panel.quota_panel(spark, p, {"ECONOMY": 10, "PROMO": 5}, 30)
 
 
-@query("top08_dense_grid")
+def grid_sql(size: int, starts: int, steps: int) -> str:
+    """The alternating choice unrolled step by step; a choice that no longer changes stays as it is."""
+    def chosen(name: str, given: str, of: str, to: str) -> str:
+        return (f"{name} AS MATERIALIZED (SELECT cluster, start, {to} FROM (SELECT *, row_number() OVER (PARTITION BY cluster, start ORDER BY s DESC, {to}) AS k FROM ("
+                f"SELECT r.cluster, r.start, n.{to}, coalesce(sum(score), 0) AS s FROM runs r JOIN (SELECT DISTINCT cluster, {to} FROM relations) n USING (cluster) LEFT JOIN (SELECT g.cluster, g.start, t.{to}, t.score FROM {given} g JOIN relations t ON t.cluster = g.cluster AND t.{of} = g.{of}) j ON j.cluster = r.cluster AND j.start = r.start AND j.{to} = n.{to} GROUP BY 1, 2, 3)) WHERE k <= {size})")
+
+    first = f"r0 AS MATERIALIZED (SELECT cluster, k AS start, source FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s DESC, source) AS k FROM (SELECT cluster, source, sum(score) AS s FROM relations GROUP BY 1, 2)) WHERE k <= {starts}), runs AS MATERIALIZED (SELECT cluster, start FROM r0)"
+    steps_ = [x for i in range(steps) for x in (chosen(f"c{i}", f"r{i}", "source", "target"), chosen(f"r{i + 1}", f"c{i}", "target", "source"))]
+    grid = f"grid AS (SELECT a.cluster, a.start, a.source, b.target, coalesce(score, 0) AS score FROM r{steps} a JOIN c{steps - 1} b USING (cluster, start) LEFT JOIN relations t ON t.cluster = a.cluster AND t.source = a.source AND t.target = b.target)"
+    return ", ".join([first, *steps_, grid, "best AS (SELECT cluster, start FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s DESC, start) AS k FROM (SELECT cluster, start, sum(score) AS s FROM grid GROUP BY 1, 2)) WHERE k = 1)"])
+
+
+@query("top08_dense_grid", f"WITH {RELATIONS}, {grid_sql(5, 5, 12)} SELECT cluster, source, target, round(score, 2) + 0 AS score FROM grid JOIN best USING (cluster, start)")
 def dense_grid(spark: SparkSession, sf: str) -> DataFrame:
     return panel.dense_grid(relations(spark, sf)).withColumn("score", r("score", 2))
 

@@ -12,7 +12,6 @@ from halofield.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SLOW = {"ml14_group_count_selection"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +37,7 @@ def ordered(columns, rows):
     return sorted((tuple(plain(r[i]) for i in at) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     got = df.collect()
