@@ -5,12 +5,12 @@ blocks, and every block is compressed once with each language's dictionary; the
 are smallest in total wins. The margin is the distance to the second. A narrow margin is a
 rejection: under one byte, or under the model's share of the best size.
 
-Learning takes a bounded sample: of the LANGUAGES most frequent lang values, for each the
-2 * DICT_DOCS distinct labelled texts that come first by a hash of the text. A text of more than
-LONGEST characters gives one run of LONGEST of them, at a place that its hash names; others are taken whole.
-Texts of odd rank fill the dictionary, as many as fit into DICT_BYTES. Those of even rank with CLEAR
-bytes of letters or more set the share: NARROW of the relative margin that all but one in a hundred
-of the rightly predicted ones exceed (NARROW_DEFAULT where fewer than CALIBRATED are left).
+Learning takes a bounded sample: of every lang value the 2 * DICT_DOCS distinct labelled texts that come first
+by a hash of the text, texts of at most LONGEST characters before all others. Texts teach whole or not at all; of a lang that has
+none so short its shortest two do. Texts of odd rank fill the dictionary, as many as fit into DICT_BYTES (the first
+in any case; less where so many languages would go beyond ALL_BYTES). Those of even rank with CLEAR bytes of letters
+or more set the share: NARROW of the relative margin that all but one in a hundred of the rightly predicted ones exceed
+(NARROW_DEFAULT where fewer than CALIBRATED are left). More than MOST_LANGUAGES lang values are an error.
 Prediction reads nothing but the text, and all of it, in blocks, so a long text needs little memory
 beside itself.
 
@@ -32,7 +32,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DICT_BYTES, DICT_DOCS, LONGEST, LANGUAGES = 49_152, 48, 8192, 256
+DICT_BYTES, DICT_DOCS, LONGEST = 49_152, 48, 8192
+ALL_BYTES, MOST_LANGUAGES = 64_000_000, 10_000
 BLOCK, LEVEL = 1024, 6
 NARROW, NARROW_DEFAULT, CALIBRATED, CLEAR = 0.1, 0.01, 20, 200
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -53,25 +54,28 @@ def letters(text: str | None) -> bytes:
 def sample(rows: DataFrame) -> list[tuple[str, int, str]]:
     """(lang, rank, text) of the learning rows, most frequent language first, from rows(text, lang)."""
     labelled = rows.select("lang", "text").where("lang is not null and text is not null")
-    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    spoken = labelled.where(F.col("text").rlike(r"\p{L}"))
+    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(top) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     turn = {r["lang"]: i for i, r in enumerate(top)}
-    spoken = labelled.where(F.col("lang").isin(list(turn)) & F.col("text").rlike(r"\p{L}")).withColumn("place", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("place")
-    chosen = spoken.select("lang", "place").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * DICT_DOCS)
-    over = F.greatest(F.length("text") - LONGEST, F.lit(0))
-    run = F.substring("text", (F.pmod("place", over + 1) + 1).cast("int"), F.lit(LONGEST))
-    # at most 2 * DICT_DOCS keys a language and LANGUAGES languages, so the broadcast is bounded
-    texts = spoken.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "rank").agg(F.min(run).alias("text"))
+    size = F.length("text")
+    keys = spoken.select("lang", F.when(size <= LONGEST, 0).otherwise(size).alias("late"), F.xxhash64("text").alias("place"))
+    order = Window.partitionBy("lang").orderBy("late", "place")
+    chosen = keys.distinct().withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= 2 * DICT_DOCS) & ((F.col("late") == 0) | (F.col("rank") <= 2)))
+    # at most 2 * DICT_DOCS keys a language and MOST_LANGUAGES languages, so the broadcast is bounded
+    texts = spoken.withColumn("place", F.xxhash64("text")).join(F.broadcast(chosen.select("lang", "place", "rank")), ["lang", "place"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     return sorted(((r["lang"], r["rank"], r["text"]) for r in texts.collect()), key=lambda r: (turn[r[0]], r[1]))
 
 
 def learn(rows: DataFrame) -> Model:
     """The model from the labelled rows of rows(text, lang)."""
     chosen, held = sample(rows), {}
+    most = min(DICT_BYTES, ALL_BYTES // max(1, len({lang for lang, _, _ in chosen})))
     for lang, rank, text in chosen:
         got, raw = held.setdefault(lang, bytearray()), letters(text)
-        if rank % 2 and (not got or len(got) + len(raw) < DICT_BYTES):
-            got += raw[:DICT_BYTES] + b" "
+        if rank % 2 and (not got or len(got) + len(raw) < most):
+            got += raw + b" "
     dictionaries = [(k, bytes(v)) for k, v in held.items() if v]
     coders, shares = compressors(dictionaries), []
     for lang, rank, text in chosen:

@@ -109,7 +109,7 @@ def test_language_id(spark, none):
 
 
 def test_language_id_of_repeated_and_long_rows(spark):
-    """1,000 equal rows teach once, a long text gives one run; digits that count as word characters are no letters."""
+    """1,000 equal rows teach once, a long text whole or not at all; digits that count as word characters are no letters."""
     rng = random.Random(2)
     words = {"aa": ["loro", "mira", "tosa", "vel"], "bb": ["kniv", "stork", "wald", "zehn"]}
     prose = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
@@ -117,14 +117,26 @@ def test_language_id_of_repeated_and_long_rows(spark):
     table = [(i, same, "aa") for i in range(1000)] + [(2000, long_, "bb"), (2001, long_, "bb"), (2002, prose("bb", 9), "bb"), (2002, prose("bb", 9), "bb")]
     df = spark.createDataFrame([*table, (3000, "½ ² Ⅷ", None), (3001, "½ é", None)], "doc_id long, text string, lang string")
     chosen = language_id.sample(df)
-    assert [(k, n) for k, n, _ in chosen] == [("aa", 1), ("bb", 1), ("bb", 2), ("bb", 3)]
-    run = next(t for k, _, t in chosen if len(t) == language_id.LONGEST)
-    assert run in long_ and all(t in (same, run) or len(t) < 100 for _, _, t in chosen)
+    assert [(k, n) for k, n, _ in chosen] == [("aa", 1), ("bb", 1), ("bb", 2)]
+    assert all(t == same or len(t) < 100 for _, _, t in chosen)
+    alone = language_id.sample(df.where("doc_id <> 2002"))
+    assert [(k, n, t) for k, n, t in alone if k == "bb"] == [("bb", 1, long_)]
     got = {r.doc_id: r for r in language_id.identify(df).collect()}
     assert got[3000].lang_pred == "und" and got[3000].score == 0 and got[3001].lang_pred != "und"
     assert got[0].lang_pred == "aa" and got[2000].lang_pred == "bb"
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    spoken = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(300)}
+    made = [(4 * i + j, " ".join(rng.choice(w) for _ in range(60)), k) for i, (k, w) in enumerate(spoken.items()) for j in range(4)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    assert sorted(k for k, _ in model.dictionaries) == sorted(spoken)
+    asked = df.where("doc_id % 100 = 0")
+    assert all(r.lang_pred == r.lang for r in language_id.predict(asked, model).collect())
+
+
 def test_language_id_against_plain_compression(spark):
     """Every row by a loop that compresses its letters once with each dictionary."""
     import zstandard as zstd
