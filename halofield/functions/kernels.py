@@ -77,3 +77,9 @@ class ReactionDiffusion:
 
     def column(self, distance: str) -> Column:
         return F.expr(self.sql(distance))
+
+
+def valid_parameters(diffusion: Column, decay: Column, dims: Column) -> Column:
+    """Whether ReactionDiffusion takes the parameters: finite, positive, in two or three dimensions."""
+    fine = lambda c: (c > 0) & (c < float("inf"))  # noqa: E731  NaN is greater than all
+    return F.coalesce(fine(diffusion) & fine(decay) & dims.isin(2, 3), F.lit(False))

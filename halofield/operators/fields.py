@@ -52,10 +52,10 @@ def filled(field: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     return cells.select("cell").crossJoin(F.broadcast(genes.select("gene"))).join(field, ["cell", "gene"], "left").withColumn("field", F.coalesce("field", F.lit(0.0)))
 
 
-def exponential_field(cells: DataFrame, expression: DataFrame, gene: int, bandwidth: float, reach: float, dims: int = 2) -> DataFrame:
-    """Sum of value * exp(-distance / bandwidth) over all cells within reach, itself included."""
+def exponential_field(cells: DataFrame, expression: DataFrame, gene: int | None, bandwidth: float, reach: float, dims: int = 2) -> DataFrame:
+    """Sum of value * exp(-distance / bandwidth) over all cells within reach, itself included; of one gene or of all."""
     edges = radius_join(cells, cells, reach, dims, self_pairs=True).withColumn("weight", F.exp(-F.col("distance") / bandwidth))
-    return source_field(edges, expression.where(F.col("gene") == gene))
+    return source_field(edges, expression if gene is None else expression.where(F.col("gene") == gene))
 
 
 def field_tasks(cells: DataFrame, radius: float, dims: int, tiles: int, receivers: int, senders: int) -> tuple[DataFrame, DataFrame]:
@@ -67,10 +67,13 @@ def field_tasks(cells: DataFrame, radius: float, dims: int, tiles: int, receiver
     has more than receivers x (senders + receivers) pairs, wherever the cells are.
     """
     keys = ["level", *bin_keys(dims)]
-    fine = written(finest(cells, radius * tiles, dims))
-    placed = written(leaf_of(fine, *crowded_bins(fine, dims, receivers, TILE_DEPTH), dims))
-    dense = placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > receivers).select(*keys, F.ceil(F.col("n") / receivers).alias("_parts"))
-    placed = placed.join(dense, keys, "left").withColumn("part", F.pmod(F.xxhash64("cell"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    fine = finest(cells, radius * tiles, dims)  # counting reads positions alone
+    crowded, levels = crowded_bins(fine, dims, receivers, TILE_DEPTH)
+    placed = leaf_of(fine, crowded, levels, dims).withColumn("part", F.lit(0).cast("long"))
+    if levels == TILE_DEPTH:
+        dense = placed.where(F.col("level") == levels).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > receivers).select(*keys, F.ceil(F.col("n") / receivers).alias("_parts"))
+        placed = placed.join(dense, keys, "left").withColumn("part", F.pmod(F.xxhash64("cell"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    placed = written(placed)
     box = [f(a).alias(f"{s}_{a}") for a in AXES[:dims] for s, f in (("lo", F.min), ("hi", F.max))]
     units = written(placed.groupBy(*keys, "part").agg(F.count("*").alias("n"), *box))
     # bins of at least a radius, so that neighbours lie in adjacent ones; a unit in a larger bin meets the others there

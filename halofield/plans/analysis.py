@@ -71,12 +71,16 @@ def fit_rows(field_: DataFrame, residual: DataFrame, membership: DataFrame, fit:
     return wide(x, "z", "x").join(wide(y, "z", "y"), "cell").join(membership.select("cell", "p"), "cell")
 
 
-def analyse(cells: DataFrame, expression: DataFrame, residual: DataFrame, embedding: DataFrame, a: Analysis = Analysis()) -> dict[str, DataFrame]:
+def analyse(cells: DataFrame, expression: DataFrame, residual: DataFrame, embedding: DataFrame, a: Analysis = Analysis(), centres: list[list[float]] | None = None) -> dict[str, DataFrame]:
     """receiver_group_assignments, effects, target_scores and source_target_scores.
 
     cells(cell, x, y[, z]); expression, residual (cell, gene, value); embedding(cell, v array<double>).
+    centres, if given, stand for fitted ones.
     """
-    member, _, _ = groups.receiver_groups(embedding, "v", a.receiver_group_count, seed=a.seed)
+    if centres is None:
+        member, _, _ = groups.receiver_groups(embedding, "v", a.receiver_group_count, seed=a.seed)
+    else:
+        member = groups.soft_membership(embedding, "v", centres, groups.temperature(embedding, "v", centres))
     member = written(member.select("cell", "p", "receiver_group", "maximum_probability"))
     fit = written(sampling.balanced(member.select("cell", "receiver_group"), "receiver_group", "cell", a.max_fit_cells))
     n = expression.select("gene").distinct().count()

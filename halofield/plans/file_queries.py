@@ -132,26 +132,29 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
 SETTINGS = '{"l1": 0.01, "top": 4, "steps": ${STEPS}}'
 
 
-@query("src13_settings", "SELECT * FROM (VALUES ('l1', 0.01e0), ('l2', 0.05e0), ('minimum_training_improvement', 0e0), ('sources_per_target', 4e0), ('steps', 25e0), ('tolerance', 1e-6)) t(name, value)")
+@query("src13_settings", "SELECT * FROM (VALUES ('l1', 0.01e0), ('l2', 0.05e0), ('minimum_training_improvement', 0e0), ('sources_per_target', 4e0), ('steps', CAST((SELECT count(*) FROM nation) AS DOUBLE)), ('tolerance', 1e-6)) t(name, value)")
 def settings(spark: SparkSession, sf: str) -> DataFrame:
-    """Strict settings: an old name, a filled-in value, and defaults for the rest."""
-    c = config.parse(effects.SparseEffects, SETTINGS, {"top": "sources_per_target"}, {"STEPS": "25"})
+    """Strict settings: an old name, a value filled in from a table, and defaults for the rest."""
+    c = config.parse(effects.SparseEffects, SETTINGS, {"top": "sources_per_target"}, {"STEPS": str(table(spark, sf, "nation").count())})
     return spark.createDataFrame([(k, float(v)) for k, v in sorted(vars(c).items())], "name string, value double")
 
 
-@query("src14_filled_settings", "SELECT '{\"l1\": 0.01, \"top\": 4, \"steps\": 7}' AS text")
+@query("src14_filled_settings", "SELECT r_name, '{\"l1\": 0.01, \"top\": 4, \"steps\": ' || count(n_nationkey) || '}' AS text FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def filled_settings(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(config.fill(SETTINGS, {"STEPS": "7"}),)], "text string")
+    """One template, filled in for each region with its number of nations."""
+    n = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("n"))
+    return spark.createDataFrame([(x["r_name"], config.fill(SETTINGS, {"STEPS": str(x["n"])})) for x in n.collect()], "r_name string, text string")
 
 
-@query("src16_arrays", "SELECT 'dense' AS kind, CAST(i // 3 AS BIGINT) AS cell, CAST(i % 3 AS BIGINT) AS gene, i / 2.0e0 AS value FROM range(12) t(i) UNION ALL SELECT 'sparse', i // 3, i % 3, i / 2.0e0 FROM range(12) t(i) WHERE i % 2 = 1")
+@query("src16_arrays", "WITH m AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS cell, unnest([0, 1, 2]) AS gene, unnest([n_nationkey / 2e0, n_regionkey / 2e0, length(n_name) / 2e0]) AS value FROM nation) SELECT 'dense' AS kind, cell, CAST(gene AS BIGINT) AS gene, value FROM m UNION ALL SELECT 'sparse', cell, gene, value FROM m WHERE value <> 0")
 def arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """A NumPy file and a file of a compressed sparse row matrix, both fixed."""
-    m, at = np.arange(12.0).reshape(4, 3) / 2, new_path(spark, "arrays")
+    """The numbers of the nations, which are few, in a NumPy file and in one of a compressed sparse row matrix."""
+    numbers = table(spark, sf, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey", F.length("n_name")).collect()
+    m, at = np.array(numbers, float) / 2, new_path(spark, "arrays")
     dense_file, sparse_file = io.BytesIO(), io.BytesIO()
     np.save(dense_file, m)
-    odd = np.arange(12).reshape(4, 3) % 2 == 1
-    np.savez(sparse_file, data=m[odd], indices=np.nonzero(odd)[1], indptr=np.concatenate([[0], np.cumsum(odd.sum(1))]), shape=np.array(m.shape))
+    there = m != 0
+    np.savez(sparse_file, data=m[there], indices=np.nonzero(there)[1], indptr=np.concatenate([[0], np.cumsum(there.sum(1))]), shape=np.array(m.shape))
     writers.write_bytes(f"{at}/m.npy", dense_file.getvalue())
     writers.write_bytes(f"{at}/m.npz", sparse_file.getvalue())
     one = readers.read_npy(spark, f"{at}/m.npy").select("cell", F.posexplode("v").alias("gene", "value")).withColumn("gene", F.col("gene").cast("long"))

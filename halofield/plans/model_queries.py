@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..operators import effects, fields, groups, matrix, ranking, spatial, trans
 from . import analysis, fit_sql
 from .analysis import Analysis
 from .registry import CELLS, EDGES, EXPR, LENGTH, MIN_DISTANCE, RADIUS, RESIDUAL, cells, expression, query, r, residual, table
+from .table_queries import ln_choose
 
 KERNEL = ReactionDiffusion.of_length(LENGTH, min_distance=MIN_DISTANCE)
 SETTINGS = Analysis(length_scale=LENGTH, radius=RADIUS, min_distance=MIN_DISTANCE)
@@ -138,7 +141,7 @@ def contributions(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("cell", "source", "target", r("effective_beta", 5).alias("effective_beta"), r("contribution", 5).alias("contribution"))
 
 
-@query("ml16_gene_programs")
+@query("ml16_gene_programs", f"WITH RECURSIVE {EXPR}, e AS (SELECT a.gene AS a, b.gene AS b FROM expr a JOIN expr b USING (cell) GROUP BY 1, 2 HAVING abs(corr(a.value, b.value)) >= 0.05e0), reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), l AS (SELECT a AS gene, min(b) AS l FROM reach GROUP BY 1), p AS (SELECT l, row_number() OVER (ORDER BY count(*) DESC, l) - 1 AS program FROM l GROUP BY 1 HAVING count(*) > 1) SELECT program, gene FROM l JOIN p USING (l)")
 def gene_programs(spark: SparkSession, sf: str) -> DataFrame:
     e = expression(spark, sf)
     return groups.programs(matrix.gene_correlations(e, "value"), e.select("gene").distinct(), 0.05)
@@ -222,7 +225,23 @@ def matched_background(spark: SparkSession, sf: str) -> DataFrame:
     return edge_ops.matched_background(e, cells(spark, sf), able, RADIUS, 0.1, 168)
 
 
-@query("relation_enrichment")
+#: Kept edges, one other sender of equal distance for each, relations held by both ends, Fisher and adjusted p.
+ENRICHMENT = f"""WITH {ATTRIBUTED}, k AS (SELECT *, row_number() OVER (PARTITION BY receiver_group, source, target ORDER BY influence DESC, receiver, sender) AS rank, count(*) OVER (PARTITION BY receiver_group, source, target) AS n FROM s),
+kept AS (SELECT concat_ws('/', receiver_group, source, target) AS triplet, concat_ws('/', receiver_group, source, target, sender, receiver) AS edge, source, sender, receiver, distance AS d FROM k WHERE rank <= least(ceil(n * 0.5e0), 300)),
+pool AS (SELECT edge, edges.sender, edges.receiver FROM kept JOIN edges USING (receiver) JOIN expr ON expr.cell = edges.sender AND expr.gene = kept.source AND expr.value > 0 WHERE abs(edges.distance - d) <= {RADIUS * 0.1!r}),
+back AS (SELECT edge, sender, receiver FROM (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY md5('168/' || edge || '/' || sender), sender) AS k FROM pool) WHERE k = 1),
+genes AS (SELECT cell, list(gene) AS genes FROM expr WHERE value > 0 GROUP BY 1), rel(relation, ligand, receptor) AS (VALUES ('r1', [1], [2]), ('r2', [1, 3], [4]), ('r3', [5], [6, 7]), ('r4', [8], [9])),
+pairs AS (SELECT 'm' AS kind, triplet, sender, receiver FROM kept UNION ALL SELECT 'b', triplet, back.sender, back.receiver FROM back JOIN kept USING (edge)),
+n AS (SELECT kind, triplet, relation, count(*) AS n FROM pairs JOIN genes x ON x.cell = sender JOIN genes y ON y.cell = receiver JOIN rel ON list_has_all(x.genes, ligand) AND list_has_all(y.genes, receptor) GROUP BY 1, 2, 3),
+size AS (SELECT triplet, count(*) FILTER (kind = 'm') AS m, count(*) FILTER (kind = 'b') AS b FROM pairs GROUP BY 1 HAVING count(*) FILTER (kind = 'b') > 0),
+q AS (SELECT size.triplet, rel.relation, coalesce(x.n, 0) AS a, m - coalesce(x.n, 0) AS b, coalesce(y.n, 0) AS c, size.b - coalesce(y.n, 0) AS d, m AS row_, coalesce(x.n, 0) + coalesce(y.n, 0) AS column_, m + size.b AS total FROM size CROSS JOIN rel LEFT JOIN n x ON x.kind = 'm' AND x.triplet = size.triplet AND x.relation = rel.relation LEFT JOIN n y ON y.kind = 'b' AND y.triplet = size.triplet AND y.relation = rel.relation),
+pk AS (SELECT *, exp({ln_choose('row_', 'k')} + {ln_choose('(total - row_)', 'column_ - k')} - {ln_choose('total', 'column_')}) AS pk FROM (SELECT *, unnest(range(greatest(0, row_ + column_ - total), least(row_, column_) + 1)) AS k FROM q)),
+fisher AS (SELECT triplet, relation, a, b, c, d, least(1, sum(CASE WHEN pk <= own * (1 + 1e-10) THEN pk ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN k = a THEN pk END) OVER (PARTITION BY triplet, relation) AS own FROM pk) GROUP BY 1, 2, 3, 4, 5, 6),
+adjusted AS (SELECT *, least(1, min(p * 4 / i) OVER (PARTITION BY triplet ORDER BY i DESC)) AS fdr FROM (SELECT *, row_number() OVER (PARTITION BY triplet ORDER BY p, relation) AS i FROM fisher))
+SELECT triplet, relation, a AS model_n, c AS background_n, round(p, 5) + 0 AS p, round(fdr, 5) + 0 AS fdr, round(log2((a + 0.5e0) * (d + 0.5e0) / ((b + 0.5e0) * (c + 0.5e0))), 5) + 0 AS log2_odds, round(a / (a + b), 5) + 0 AS model_fraction, round(c / (c + d), 5) + 0 AS background_fraction FROM adjusted WHERE a + c > 0"""
+
+
+@query("relation_enrichment", ENRICHMENT)
 def relation_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     kept, _ = triplet_edges(spark, sf)
     e = analysis.relation_enrichment(kept, cells(spark, sf), expression(spark, sf), known(spark), RADIUS)
@@ -235,6 +254,27 @@ def source_target_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("receiver_group", "target", "source", "target_rank", "source_rank", "selected", *(r(c, 5).alias(c) for c in ("screening_score", "signed_beta", "derived_attention", "training_improvement")))
 
 
+#: The whole analysis with the first three cells as centres of the soft groups.
+GIVEN = f"""{STANDARD}, emb AS (SELECT vec_id AS cell, list_transform(embedding[28:64], lambda v: CAST(v AS DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings),
+centre AS (SELECT row_number() OVER (ORDER BY v) - 1 AS g, v FROM emb WHERE i < 3),
+d AS (SELECT emb.cell, g, list_sum(list_transform(range(1, 38), lambda i: (emb.v[i] - centre.v[i]) * (emb.v[i] - centre.v[i]))) AS d2 FROM emb, centre),
+heat AS (SELECT greatest(list(gap ORDER BY gap)[count(*) // 2 + 1], 1e-3) AS h FROM (SELECT cell, list(d2 ORDER BY d2)[2] - min(d2) AS gap FROM d GROUP BY 1)),
+ex AS (SELECT cell, g, exp(greatest(-d2 / h + min(d2 / h) OVER (PARTITION BY cell), -60)) AS e FROM d, heat), pr AS (SELECT cell, g, e / sum(e) OVER (PARTITION BY cell) AS p FROM ex),
+member AS (SELECT g * 100 + t AS pid, cell, p AS w FROM pr, range(1, 13) r(t)), aim AS (SELECT DISTINCT pid, pid % 100 AS target FROM member), {weighted(fit_sql.fitted(0.03))},
+sr AS (SELECT pid // 100 AS g, target, s, score, beta, imp, CASE WHEN sum(abs(beta)) OVER (PARTITION BY pid) > 0 THEN abs(beta) / sum(abs(beta)) OVER (PARTITION BY pid) ELSE 0 END AS share, row_number() OVER (PARTITION BY pid ORDER BY score DESC, s) AS source_rank FROM eff),
+tr AS (SELECT g, target, row_number() OVER (PARTITION BY g ORDER BY imp DESC, target) AS target_rank FROM sr WHERE source_rank = 1)"""
+
+
+@query("source_target_analysis_given_centres", f"WITH RECURSIVE {GIVEN} SELECT CAST(g AS INTEGER) AS receiver_group, CAST(target - 1 AS INTEGER) AS target, CAST(s - 1 AS INTEGER) AS source, CAST(target_rank AS INTEGER) AS target_rank, CAST(source_rank AS INTEGER) AS source_rank, beta <> 0 AS selected, round(score, 5) + 0 AS screening_score, round(beta, 5) + 0 AS signed_beta, round(share, 5) + 0 AS derived_attention, round(imp, 5) + 0 AS training_improvement FROM sr JOIN tr USING (g, target) WHERE source_rank <= 10")
+def source_target_analysis_given_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship analysis, from positions and expression to ranked relations; only the centres are given."""
+    e = embedding(spark, sf)
+    first = sorted(row["v"] for row in e.orderBy("cell").limit(3).collect())
+    masked = replace(SETTINGS, mask_mode="hard_expression", mask_threshold=0.05, receiver_group_count=3)
+    out = analysis.analyse(cells(spark, sf), expression(spark, sf), residual(spark, sf), e, masked, centres=first)["source_target_scores"]
+    return out.select("receiver_group", "target", "source", "target_rank", "source_rank", "selected", *(r(c, 5).alias(c) for c in ("screening_score", "signed_beta", "derived_attention", "training_improvement")))
+
+
 #: Soft groups around the first cells as centres; each problem is a count, fold, group and target, its cells weighted.
 SELECTION = f"""{STANDARD}, emb AS (SELECT vec_id AS cell, list_transform(embedding[28:64], lambda v: CAST(v AS DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings),
 fb AS (SELECT cell, ((xor(CAST(floor(x / 0.1e0) AS BIGINT) * 73856093, CAST(floor(y / 0.1e0) AS BIGINT) * 19349663) % 2) + 2) % 2 AS f FROM cells), cf AS (SELECT cell, CASE WHEN (SELECT count(DISTINCT f) FROM fb) < 2 THEN cell % 2 ELSE f END AS fold FROM fb),
@@ -272,10 +312,14 @@ def fitted_group_count(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("count", "eligible", "selected", *(r(c, 5).alias(c) for c in ("baseline_mse", "physical_mse", "improvement_fraction", "minimum_effective_train_mass")))
 
 
-@query("ml22_association_scores", f"WITH {STANDARD} SELECT grp AS \"group\", b.gene AS target, round(avg(b.z * b.z), 4) + 0 AS target_score FROM zr b JOIN cells USING (cell) GROUP BY 1, 2")
+@query("ml22_association_scores", f"WITH {SCREEN}, ts AS (SELECT grp, gene AS target, avg(zr.z * zr.z) AS t FROM zr JOIN cells USING (cell) GROUP BY 1, 2) SELECT grp AS \"group\", target, source, round(t, 4) + 0 AS target_score, round(abs(c) / sqrt(v), 4) + 0 AS source_score FROM k JOIN ts USING (grp, target)")
 def association_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a regression: the target's mean square residual and the source's |cov| / sd in each group."""
     _, y = standard(spark, sf)
-    return y.join(cells(spark, sf).select("cell", "group"), "cell").groupBy("group", F.col("gene").alias("target")).agg(r(F.avg(F.col("z") * F.col("z")), 4).alias("target_score"))
+    of = cells(spark, sf).select("cell", "group")
+    targets = y.join(of, "cell").groupBy("group", F.col("gene").alias("target")).agg(r(F.avg(F.col("z") * F.col("z")), 4).alias("target_score"))
+    sources = effects.screen(joined(spark, sf), ["group"]).select("group", "target", "source", r("screening_score", 4).alias("source_score"))
+    return sources.join(targets, ["group", "target"]).select("group", "target", "source", "target_score", "source_score")
 
 
 @query("ml01_masked_gene_model")

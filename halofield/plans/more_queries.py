@@ -41,9 +41,12 @@ def path_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return readers.paths(p, "path").select("p_partkey", "position", "node")
 
 
-@query("src24_gene_set_inversion", "SELECT * FROM (VALUES ('a', 'x;y'), ('b', 'x'), ('c', 'y;z')) t(gene, categories)")
+@query("src24_gene_set_inversion", "WITH s AS (SELECT r_name AS category, n_name AS gene FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'short', n_name FROM nation WHERE length(n_name) < 7) SELECT gene, string_agg(category, ';' ORDER BY category) AS categories FROM s GROUP BY 1")
 def gene_set_inversion(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.gene_sets(spark, {"x": ["a", "b"], "y": ["a", "c"], "z": ["c"]}).select("gene", F.array_join("categories", ";").alias("categories"))
+    """Sets of names: the nations of each region, which are few, and the short ones."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").collect()
+    sets = {c: [x["n_name"] for x in n if x["r_name"] == c] for c in sorted({x["r_name"] for x in n})} | {"short": [x["n_name"] for x in n if len(x["n_name"]) < 7]}
+    return readers.gene_sets(spark, sets).select("gene", F.array_join(F.sort_array("categories"), ";").alias("categories"))
 
 
 @query("src25_aligned_tables", "SELECT d.doc_id, d.n_chars, length(d.text) AS length FROM documents d")

@@ -6,8 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..functions.kernels import ReactionDiffusion
+from ..functions import kernels, scalars
 from ..operators import effects, fields, generators, graphs, groups, matrix, ranking, sampling, spatial
 from ..sources import readers
 from .model_queries import CENTRES, HARD, SCREEN, embedding, fitted, joined, standard
@@ -87,23 +86,17 @@ def distance(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("cell", (F.col("cell") + 1).alias("other"), r(gap).alias("distance"))
 
 
-@query("fld05_exponential_field_3d", f"WITH {CELLS}, {EXPR} SELECT a.cell, gene, round(sum(value * exp(-sqrt({GAP3}) / 0.05e0)), 6) + 0 AS field FROM cells a JOIN cells b ON {GAP3} <= 0.15e0 * 0.15e0 JOIN expr ON expr.cell = b.cell WHERE gene = 1 AND value <> 0 GROUP BY 1, 2")
+@query("fld05_exponential_field_3d", f"WITH {CELLS}, {EXPR} SELECT a.cell, gene, round(sum(value * exp(-sqrt({GAP3}) / 0.05e0)), 6) + 0 AS field FROM cells a JOIN cells b ON {GAP3} <= 0.15e0 * 0.15e0 JOIN expr ON expr.cell = b.cell WHERE value <> 0 GROUP BY 1, 2")
 def exponential_field_3d(spark: SparkSession, sf: str) -> DataFrame:
-    f = fields.exponential_field(cells(spark, sf), expression(spark, sf), 1, 0.05, RADIUS, dims=3)
+    f = fields.exponential_field(cells(spark, sf), expression(spark, sf), None, 0.05, RADIUS, dims=3)
     return f.select("cell", "gene", r("field").alias("field"))
 
 
-@query("fld08_kernel_parameters", "SELECT * FROM (VALUES (1e0, 1e0, 2, true), (0e0, 1e0, 2, false), (1e0, -1e0, 2, false), (1e0, 'infinity'::DOUBLE, 3, false), (2e0, 0.5e0, 3, true), (1e0, 1e0, 4, false)) t(diffusion, decay, dims, valid)")
+@query("fld08_kernel_parameters", "SELECT c_custkey, c_acctbal > 0 AND c_nationkey % 7 > 0 AND c_nationkey % 4 + 1 BETWEEN 2 AND 3 AS valid FROM customer")
 def kernel_parameters(spark: SparkSession, sf: str) -> DataFrame:
-    def valid(diffusion: float, decay: float, dims: int) -> bool:
-        try:
-            ReactionDiffusion(diffusion, decay, dims=dims)
-        except ValueError:
-            return False
-        return True
-
-    rows = [(1.0, 1.0, 2), (0.0, 1.0, 2), (1.0, -1.0, 2), (1.0, float("inf"), 3), (2.0, 0.5, 3), (1.0, 1.0, 4)]
-    return spark.createDataFrame([(*x, valid(*x)) for x in rows], "diffusion double, decay double, dims int, valid boolean")
+    """Which rows would make a kernel: diffusion, decay and dimensions from a table."""
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", kernels.valid_parameters(F.col("c_acctbal"), (F.col("c_nationkey") % 7).cast("double"), F.col("c_nationkey") % 4 + 1).alias("valid"))
 
 
 @query("la08_projected", "SELECT vec_id AS cell, CAST(c AS INTEGER) AS component, round(list_sum(list_transform(range(0, 4), lambda i: (CAST(embedding[28 + i] AS DOUBLE) - 0.01e0 * i) * (i + 1) / (c + 2))), 6) + 0 AS value FROM embeddings, range(0, 2) t(c)")
@@ -137,21 +130,23 @@ def effect_records(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("receiver_group", "source", "target", r("signed_beta", 5).alias("signed_beta"), (F.col("signed_beta") > 0).alias("rises"))
 
 
-@query("ml15_manual_count", "SELECT 3 AS selected, 0 AS candidates")
+@query("ml15_manual_count", "SELECT CAST(count(DISTINCT label) AS INTEGER) AS selected, 0 AS candidates FROM embeddings")
 def manual_count(spark: SparkSession, sf: str) -> DataFrame:
-    """A manual number of groups is taken and nothing is fitted."""
+    """A manual number of groups, that of the labels, is taken and nothing is fitted."""
     def never() -> DataFrame:
         raise AssertionError("nothing must be fitted")
 
-    count, candidates = groups.group_count(3, never)
+    labels = table(spark, sf, "embeddings").agg(F.countDistinct("label").alias("n")).first()["n"]
+    count, candidates = groups.group_count(labels, never)
     return spark.createDataFrame([(count, 0 if candidates is None else candidates.count())], "selected int, candidates int")
 
 
-@query("ml26_shortest_paths", f"WITH RECURSIVE {CELLS}, k AS {knn(2)}, e AS (SELECT receiver AS a, sender AS b FROM k UNION SELECT sender, receiver FROM k), p(source, node, steps) AS (SELECT cell, cell, 0 FROM cells WHERE cell % 50 = 0 UNION SELECT source, b, steps + 1 FROM p JOIN e ON node = a WHERE steps < 6) SELECT source, node, CAST(min(steps) AS INTEGER) AS steps FROM p GROUP BY 1, 2")
+@query("ml26_shortest_paths", f"WITH RECURSIVE {CELLS}, k AS {knn(1)}, e AS (SELECT receiver AS a, sender AS b FROM k UNION SELECT sender, receiver FROM k), p(source, node, steps) AS (SELECT cell, cell, 0 FROM cells UNION SELECT source, b, steps + 1 FROM p JOIN e ON node = a WHERE steps < 30) SELECT source, node, CAST(min(steps) AS INTEGER) AS steps FROM p GROUP BY 1, 2")
 def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of the graph of nearest neighbours, whose components are small."""
     c = cells(spark, sf)
-    e = spatial.knn_join(c, c, 2).select(F.col("receiver").alias("a"), F.col("sender").alias("b"))
-    return graphs.shortest_paths(e, c.where("cell % 50 = 0").select(F.col("cell").alias("node")), 6)
+    e = spatial.knn_join(c, c, 1).select(F.col("receiver").alias("a"), F.col("sender").alias("b"))
+    return graphs.shortest_paths(e, c.select(F.col("cell").alias("node")), 30)
 
 
 @query("smp08_random_mask", f"WITH {CELLS} SELECT cell, count(*) FILTER (CAST('0x' || substr(md5('168/1/' || cell || '/' || g), 1, 7) AS BIGINT) / 268435456e0 < 0.15e0) AS masked FROM cells, range(0, 12) t(g) GROUP BY 1")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +71,9 @@ def cell_qc(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "lineitem")
     q = t.groupBy(F.col("l_orderkey").alias("cell")).agg(F.sum("l_quantity").alias("counts"), F.countDistinct("l_linenumber").alias("genes"), (F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")).alias("part"))
     q = written(q)
-    caps = (quantiles(q, c, [0.999]).select(F.col("q")[0].alias(c[0])) for c in ("counts", "genes"))
-    cap = reduce(DataFrame.crossJoin, caps)
+    both = q.select(F.stack(F.lit(2), F.lit("counts"), F.col("counts"), F.lit("genes"), F.col("genes").cast("double")).alias("of", "value"))
+    at = lambda of: F.max(F.when(F.col("of") == of, F.col("q")[0])).alias(of[0])
+    cap = quantiles(both, "value", [0.999], ["of"]).agg(at("counts"), at("genes"))
     return q.crossJoin(F.broadcast(cap)).where("counts >= 20 and genes >= 2 and counts <= c and genes <= g and part <= 0.5").select("cell", "counts", "genes")
 
 
@@ -633,9 +632,10 @@ def permutation_null(spark: SparkSession, sf: str) -> DataFrame:
 # --- scalar functions
 
 
-@query("fn01_bessel", f"SELECT k, round({bessel_k0('(k / 50.0e0)')}, 9) + 0 AS k0, round({bessel_i0('(k / 50.0e0)')}, 7) + 0 AS i0 FROM (SELECT CAST(unnest(range(1, 400)) AS BIGINT) AS k)")
+@query("fn01_bessel", f"SELECT c_custkey, round({bessel_k0('x')}, 9) + 0 AS k0, round({bessel_i0('x')} / exp(x), 9) + 0 AS scaled_i0 FROM (SELECT c_custkey, abs(c_acctbal) / 1000 + 0.01e0 AS x FROM customer)")
 def bessel(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1, 400).select(F.col("id").alias("k"), r(F.expr(bessel_k0("(id / 50.0D)")), 9).alias("k0"), r(F.expr(bessel_i0("(id / 50.0D)")), 7).alias("i0"))
+    t = table(spark, sf, "customer").select("c_custkey", (F.abs("c_acctbal") / 1000 + 0.01).alias("x"))
+    return t.select("c_custkey", r(F.expr(bessel_k0("x")), 9).alias("k0"), r(F.expr(bessel_i0("x")) / F.exp("x"), 9).alias("scaled_i0"))
 
 
 @query("fn03_soft_threshold", "SELECT c_custkey, round(CASE WHEN abs(v) > 0.3e0 THEN sign(v) * (abs(v) - 0.3e0) ELSE 0 END, 6) + 0 AS soft FROM (SELECT c_custkey, c_acctbal / 10000 AS v FROM customer)")
