@@ -133,6 +133,34 @@ def fold_moments(rows: DataFrame, folds: int, n_sources: int, n_targets: int) ->
     return sums.crossJoin(F.broadcast(groups)).select((F.col("receiver_group") / F.col("k")).cast("int").alias("fold"), (F.col("receiver_group") % F.col("k")).alias("receiver_group"), "sums")
 
 
+def held_out_error(moments: DataFrame, n_sources: int, n_targets: int, config: SparseEffects | None = SparseEffects()) -> DataFrame:
+    """(n, sse): values of all held-out folds and their squared error, each fold predicted by its group's fit on the others.
+
+    moments as from fold_moments, of hard groups; config None predicts the groups' means. A group without a
+    training cell predicts 0. A task has the folds of one group.
+    """
+
+    def judge(f: pd.DataFrame) -> pd.DataFrame:
+        sums = {int(k): np.asarray(v, float) for k, v in zip(f["fold"], f["sums"])}
+        total, n, sse = sum(sums.values()), 0.0, 0.0
+        for held in sums.values():
+            if held[0] <= 0:
+                continue
+            test, left = unpack_gram(held, n_sources, n_targets), total - held
+            a, b = np.zeros(n_targets), np.zeros((n_sources, n_targets))
+            if left[0] > 0.5:
+                train = unpack_gram(left, n_sources, n_targets)
+                if config is not None:
+                    b = fit_group(train, config)["signed_beta"].to_numpy().reshape(n_sources, n_targets)
+                a = train["mean_y"] - train["mean_x"] @ b
+            gap = test["mean_y"] - a - test["mean_x"] @ b
+            n += held[0] * n_targets
+            sse += held[0] * (test["variance_y"] - 2 * (b * test["cross"]).sum(0) + (b * (test["gram"] @ b)).sum(0) + gap**2).sum()
+        return pd.DataFrame({"n": [n], "sse": [sse]})
+
+    return moments.groupBy("receiver_group").applyInPandas(judge, "n double, sse double").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"))
+
+
 def held_out_triplets(moments: DataFrame, triplets: DataFrame, n_sources: int, n_targets: int, config: SparseEffects = SparseEffects()) -> DataFrame:
     """For each fold and triplet(receiver_group, source, target) the held-out error of the group's mean, of
     the fit, and of the fit without the source; and how much the source adds.

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import effects, generators, graphs, spatial, stats
+from ..operators import effects, generators, graphs, matrix, sampling, spatial, stats
 from ..sources import readers, writers
 from ..sources.store import new_path, written
-from . import recovery
-from .model_queries import ATTRIBUTED, HARD, fitted, hard, standard, triplet_edges
+from . import analysis, fit_sql, recovery
+from .model_queries import ATTRIBUTED, HARD, embedding, fitted, hard, standard, triplet_edges
 from .registry import CELLS, EXPR, RELATIONS, cells, expression, knn, query, r, relations, residual, table
 
 # --- sources and sinks
@@ -178,6 +178,38 @@ def component_errors(spark: SparkSession, sf: str) -> DataFrame:
     return recovery.component_errors({"group mean": base, "effects": full}, seen).select("method", r("mse", 5).alias("mse"), r("improvement", 5).alias("improvement"))
 
 
+#: Cells of method m have the numbers from m million on, each with the method's fields and outcome; a problem is a method, fold, group and target.
+COMPONENTS = f"""{HARD[:HARD.index(', member AS (')].replace('zf AS (', 'f0 AS (').replace('zr AS (', 'r0 AS (')},
+e0 AS (SELECT cell, gene, (value - avg(value) OVER w) / greatest(stddev_pop(value) OVER w, 1e-8) AS z FROM expr WINDOW w AS (PARTITION BY gene)),
+fb AS (SELECT cell, ((xor(CAST(floor(x / 0.3e0) AS BIGINT) * 73856093, CAST(floor(y / 0.3e0) AS BIGINT) * 19349663) % 5) + 5) % 5 AS f FROM cells), cf AS (SELECT cell, CASE WHEN (SELECT count(DISTINCT f) FROM fb) < 5 THEN cell % 5 ELSE f END AS fold FROM fb),
+emb AS (SELECT vec_id AS cell, list_transform(embedding[28:64], lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+own AS (SELECT a.cell, arg_min(b.cell, list_sum(list_transform(range(1, 38), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS g FROM emb a JOIN emb b ON b.cell < 10 GROUP BY 1),
+pm AS (SELECT cell, row_number() OVER (ORDER BY md5('77/' || cell), cell) - 1 AS taken FROM cells),
+zf AS (SELECT m * 1000000 + cell AS cell, gene, z FROM f0, range(0, 3) r(m) UNION ALL SELECT m * 1000000 + pm.cell, gene, z FROM pm JOIN f0 ON f0.cell = taken, range(3, 5) r(m)),
+zr AS (SELECT r0.cell, gene, r0.z + e0.z AS z FROM r0 JOIN e0 USING (cell, gene) UNION ALL SELECT m * 1000000 + cell, gene, z FROM r0, range(1, 5) r(m)),
+q AS (SELECT ((m * 5 + r.f) * 10 + CASE WHEN m = 0 THEN cell % 7 WHEN m IN (1, 3) THEN g ELSE grp END) * 100 + t AS pid, m, t, m * 1000000 + cell AS cell, fold = r.f AS held FROM cells JOIN cf USING (cell) JOIN own USING (cell), range(0, 5) n(m), range(0, 5) r(f), range(1, 13) h(t)),
+member AS (SELECT pid, cell FROM q WHERE NOT held), aim AS (SELECT DISTINCT pid, pid % 100 AS target FROM member), {fit_sql.fitted(0.03)},
+guess AS (SELECT q.m, q.pid, q.cell, t, coalesce(any_value(intercept) + sum(beta * zf.z), 0) AS p FROM q LEFT JOIN ic USING (pid) LEFT JOIN eff USING (pid) LEFT JOIN zf ON zf.cell = q.cell AND zf.gene = eff.s WHERE held GROUP BY 1, 2, 3, 4),
+mean_ AS (SELECT q.cell, t, coalesce(any_value(my), 0) AS p FROM q LEFT JOIN ty USING (pid) WHERE held AND m = 0 GROUP BY 1, 2),
+er AS (SELECT m + 3 AS place, avg((z - p) * (z - p)) AS mse FROM guess JOIN zr ON zr.cell = guess.cell AND gene = t GROUP BY 1 UNION ALL SELECT 0, avg((z - p) * (z - p)) FROM mean_ JOIN zr ON zr.cell = mean_.cell AND gene = t UNION ALL SELECT i, avg(z * z) FROM r0, range(1, 3) r(i) GROUP BY 1)
+SELECT method, round(mse, 5) + 0 AS mse, round(1 - mse / (SELECT mse FROM er WHERE place = 0), 5) + 0 AS improvement FROM er JOIN (VALUES {', '.join(f"({i}, '{m[0]}')" for i, m in enumerate(recovery.METHODS))}) n(place, method) USING (place)"""
+
+
+@query("ml20_component_benchmark", f"WITH RECURSIVE {COMPONENTS}")
+def component_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight methods over five spatial folds; groups by number, by the nearest of ten embeddings, and by label."""
+    c, (x, y) = cells(spark, sf), standard(spark, sf)
+    base = matrix.standardized(expression(spark, sf), "value", ["gene"]).select("cell", "gene", F.col("z").alias("b"))
+    seen = y.select("cell", "gene", F.col("z").alias("r")).join(base, ["cell", "gene"]).withColumn("o", F.col("r") + F.col("b"))
+    e = embedding(spark, sf)
+    near = matrix.squared_distances(e, "v", [row["v"] for row in e.orderBy("cell").limit(10).collect()]).select("cell", (F.array_position("d2", F.array_min("d2")) - 1).cast("int").alias("model_group"))
+    field = analysis.wide(x, "z", "field")
+    other = sampling.permuted(c.select("cell"), "cell", 77).join(field.select(F.col("cell").alias("taken"), F.col("field").alias("permuted")), "taken").select("cell", "permuted")
+    rows = field.join(other, "cell").join(analysis.wide(seen, "o", "observed"), "cell").join(analysis.wide(seen, "r", "residual"), "cell").join(near, "cell")
+    rows = rows.join(analysis.with_folds(c, 5, 0.3).select("cell", "fold", (F.col("cell") % 7).cast("int").alias("expression_group"), F.col("group").cast("int").alias("whitened_group")), "cell")
+    return recovery.component_benchmark(rows, 5).select("method", r("mse", 5).alias("mse"), r("improvement", 5).alias("improvement"))
+
+
 @query("ml21_truth_ranks", f"WITH {RELATIONS}, e AS (SELECT CAST(ascii(cluster) AS INTEGER) AS receiver_group, source, target, score FROM relations), k AS (SELECT *, rank() OVER (PARTITION BY receiver_group, target ORDER BY score DESC) AS source_rank, rank() OVER (PARTITION BY receiver_group ORDER BY score DESC) AS joint_rank FROM e), b AS (SELECT receiver_group, target, rank() OVER (PARTITION BY receiver_group ORDER BY max(score) DESC) AS target_rank FROM e GROUP BY 1, 2) SELECT receiver_group, source, target, source_rank, joint_rank, target_rank FROM k JOIN b USING (receiver_group, target) WHERE (source * 7 + target) % 50 = 0")
 def truth_ranks(spark: SparkSession, sf: str) -> DataFrame:
     e = relations(spark, sf).select(F.ascii("cluster").alias("receiver_group"), "source", "target", "score")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import panel, stats
+from ..operators import effects, panel, stats
+from ..operators.effects import SparseEffects
+from ..sources.store import written
 
 
 def mapped_effects(effects: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,3 +49,44 @@ def component_errors(predictions: dict[str, DataFrame], observed: DataFrame) ->
         out = one if out is None else out.unionByName(one)
     first = out.where("place = 0").select(F.col("mse").alias("base"))
     return out.crossJoin(F.broadcast(first)).select("place", "method", "mse", (1 - F.col("mse") / F.col("base")).alias("improvement"))
+
+
+#: Name, what is predicted beyond the base, the base itself counted in or not, fields, grouping; None: no fit.
+METHODS = (
+    ("mean_baseline", "observed", None, "expression_group"),
+    ("transformer_only", "residual", None, None),
+    ("transformer_whitened_only", "residual", None, None),
+    ("physical_only", "observed", "field", "expression_group"),
+    ("transformer_physical", "residual", "field", "model_group"),
+    ("transformer_whitened_physical", "residual", "field", "whitened_group"),
+    ("transformer_permuted_physical", "residual", "permuted", "model_group"),
+    ("transformer_whitened_permuted_physical", "residual", "permuted", "whitened_group"),
+)
+
+
+def component_benchmark(rows: DataFrame, folds: int, config: SparseEffects = SparseEffects()) -> DataFrame:
+    """(place, method, mse, improvement over the mean baseline) of the eight methods over held-out folds.
+
+    rows(cell, fold, field, permuted, observed, residual: arrays; expression_group, model_group,
+    whitened_group: from 0 without gaps). residual is observed less the reconstruction, so its error is that of the sum.
+    permuted are the fields of other cells, the control. Each method's fits come from the sums of its folds and groups: one scan a
+    method, and fits from as many rows as there are groups and folds.
+    """
+    rows = written(rows)
+    sizes = rows.select(F.size("field").alias("x"), F.size("observed").alias("y")).first()
+    if sizes is None:
+        raise ValueError("no cells to judge on")
+    out = None
+    for place, (name, outcome, fields, group) in enumerate(METHODS):
+        if group is None:
+            one = rows.select(F.aggregate(outcome, F.lit(0.0), lambda s, v: s + v * v).alias("e")).agg((F.count("*") * sizes["y"]).cast("double").alias("n"), F.sum("e").alias("sse"))
+        else:
+            k = rows.agg(F.max(group).alias("k")).first()["k"] + 1
+            p = F.transform(F.sequence(F.lit(0), F.lit(int(k) - 1)), lambda g: F.when(F.col(group) == g, 1.0).otherwise(0.0))
+            moments = effects.fold_moments(rows.select(F.col(fields or "field").alias("x"), F.col(outcome).alias("y"), p.alias("p"), "fold"), folds, sizes["x"], sizes["y"])
+            one = effects.held_out_error(moments, sizes["x"], sizes["y"], config if fields else None)
+        one = one.select(F.lit(place).alias("place"), F.lit(name).alias("method"), (F.col("sse") / F.col("n")).alias("mse"))
+        out = one if out is None else out.unionByName(one)
+    out = written(out)
+    first = out.where("place = 0").select(F.col("mse").alias("base"))
+    return out.crossJoin(F.broadcast(first)).select("place", "method", "mse", (1 - F.col("mse") / F.col("base")).alias("improvement"))
