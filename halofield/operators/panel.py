@@ -147,7 +147,10 @@ def optimal_mapping(spark: SparkSession, counts: DataFrame, inferred: str, true:
 
 
 def assignment(cost: np.ndarray) -> list[int]:
-    """Column of each row in a square assignment of least cost; exact, O(n^3) by shortest augmenting paths."""
+    """Column of each row in a square assignment of least cost, of equal ones the first in lexical order.
+
+    Exact, O(n^3) by shortest augmenting paths; then the first order among the edges that cost nothing beyond the duals.
+    """
     n = len(cost)
     if n <= 6:
         return list(min(permutations(range(n)), key=lambda p: sum(cost[i, j] for i, j in enumerate(p))))
@@ -174,4 +177,36 @@ def assignment(cost: np.ndarray) -> list[int]:
     out = [0] * n
     for j in range(n):
         out[match[j]] = j
+    return first_in_order(np.abs(cost - u[:n, None] - v[None, :n]) <= 1e-9 * max(1.0, float(np.abs(cost).max())), out)
+
+
+def first_in_order(tight: np.ndarray, out: list[int]) -> list[int]:
+    """The lexically first perfect matching of a graph, from one of them: each row in turn takes its least
+    column that leaves the later rows a matching."""
+    n = len(out)
+    owner = [0] * n
+    for i, j in enumerate(out):
+        owner[j] = i
+
+    def moved(row: int, free: int, above: int, seen: set[int]) -> bool:
+        """Give row another column, the rows up to above keeping theirs, so that free is taken."""
+        for j in np.flatnonzero(tight[row]).tolist():
+            if j in seen or owner[j] <= above and j != free:
+                continue
+            seen.add(j)
+            if j == free or moved(owner[j], free, above, seen):
+                owner[j], out[row] = row, j
+                return True
+        return False
+
+    for i in range(n):
+        for j in np.flatnonzero(tight[i]).tolist():
+            if j == out[i]:
+                break
+            if owner[j] < i:
+                continue
+            free, other = out[i], owner[j]
+            if moved(other, free, i, {j}):
+                owner[j], out[i] = i, j
+                break
     return out

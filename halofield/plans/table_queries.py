@@ -144,7 +144,15 @@ def majority_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return panel.majority_mapping(stats.contingency(c, "inferred", "group"), "inferred", "group")
 
 
-@query("jn19_optimal_mapping")
+def mapping_sql(groups: int) -> str:
+    """The best assignment over sets of taken columns, a row a step; of equal sums the first path in order."""
+    steps = ["s0 AS (SELECT 0 AS taken, 0 AS total, CAST([] AS INTEGER[]) AS path)"]
+    for i in range(groups):
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT taken, total, path FROM (SELECT *, row_number() OVER (PARTITION BY taken ORDER BY total DESC, path) AS k FROM (SELECT taken | (1 << j) AS taken, total + n AS total, list_append(path, CAST(j AS INTEGER)) AS path FROM s{i}, b WHERE i = {i} AND (taken >> j) & 1 = 0)) WHERE k = 1)")
+    return ", ".join(steps)
+
+
+@query("jn19_optimal_mapping", f"WITH {CELLS}, g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS j FROM (SELECT DISTINCT grp FROM cells)), n AS (SELECT CAST(cell % 10 AS INTEGER) AS i, grp, count(*) AS n FROM cells GROUP BY 1, 2), b AS MATERIALIZED (SELECT r.i, j, g.grp, coalesce(n, 0) AS n FROM range(10) r(i) CROSS JOIN g LEFT JOIN n ON n.i = r.i AND n.grp = g.grp), {mapping_sql(10)} SELECT CAST(b.i AS INTEGER) AS inferred, grp AS mapped, n FROM s10, b WHERE path[b.i + 1] = j")
 def optimal_mapping(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf).withColumn("inferred", (F.col("cell") % 10).cast("int"))
     return panel.optimal_mapping(spark, stats.contingency(c, "inferred", "group"), "inferred", "group")

@@ -415,3 +415,14 @@ def test_containment_join_is_the_plain_one(spark):
     e = [(f"{i}-{j}", i, j) for i in range(20) for j in range(0, 20, 3) if i != j]
     got = edges.supported_relations(spark.createDataFrame(e, "edge string, sender int, receiver int"), spark.createDataFrame(list(pos.items()), "cell int, genes array<int>"), spark.createDataFrame([(k, *v) for k, v in rel.items()], "relation string, ligand array<int>, receptor array<int>"))
     assert {tuple(r) for r in got.collect()} == {(x, k) for x, i, j in e for k, (a, b) in rel.items() if set(a) <= set(pos[i]) and set(b) <= set(pos[j])}
+
+
+def test_assignment_is_the_first_of_the_best():
+    from itertools import permutations
+
+    rng = np.random.default_rng(9)
+    for n in (3, 7, 8):
+        for _ in range(6):
+            cost = -rng.integers(0, 4, (n, n)).astype(float)
+            want = min(permutations(range(n)), key=lambda p: sum(cost[i, j] for i, j in enumerate(p)))
+            assert list(panel.assignment(cost)) == list(want)
