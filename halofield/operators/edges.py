@@ -18,10 +18,10 @@ def attributed(edges: DataFrame, triplets: DataFrame, expression: DataFrame, mem
     sign of the receiver's residual and a positive finite influence |part| * min(|z|, clip) / clip.
     """
     sent = expression.where("value > 0").select(F.col("cell").alias("sender"), F.col("gene").alias("source"), "value")
-    got = membership.where("p > 0").select(F.col("cell").alias("receiver"), "receiver_group", "p").join(F.broadcast(triplets), "receiver_group")
+    got = membership.where("p > 0").select(F.col("cell").alias("receiver"), "receiver_group", "p").join(triplets, "receiver_group")
     got = got.join(residual.select(F.col("cell").alias("receiver"), F.col("gene").alias("target"), "z"), ["receiver", "target"])
     # the receivers' groups name the few sources that matter, so they come before the senders' values
-    e = edges.join(got, "receiver").join(sent, ["sender", "source"]).join(F.broadcast(scale), "source")
+    e = edges.join(got, "receiver").join(sent, ["sender", "source"]).join(scale, "source")
     part = F.col("p") * F.col("signed_beta") * F.col("weight") * F.col("value") / F.col("sd")
     e = e.withColumn("signed_contribution", part).withColumn("influence_score", F.abs("signed_contribution") * F.least(F.abs("z"), F.lit(clip)) / clip)
     finite = ~F.isnan("influence_score") & (F.col("influence_score") < float("inf"))
@@ -54,9 +54,9 @@ def supported_relations(edges: DataFrame, positive: DataFrame, relations: DataFr
     """
     spread = positive.select("cell", F.explode("genes").alias("gene"))
     counts = spread.groupBy("gene").agg(F.count("*").alias("n"))
-    part = relations.select("relation", "ligand", "receptor", F.explode("ligand").alias("gene")).join(F.broadcast(counts), "gene")
+    part = relations.select("relation", "ligand", "receptor", F.explode("ligand").alias("gene")).join(counts, "gene")
     rare = part.groupBy("relation").agg(F.min_by("gene", F.struct("n", "gene")).alias("gene"), F.first("ligand").alias("ligand"), F.first("receptor").alias("receptor"))
-    able = spread.join(F.broadcast(rare), "gene").join(positive, "cell").where(F.size(F.array_except("ligand", "genes")) == 0).select(F.col("cell").alias("sender"), "relation", "receptor")
+    able = spread.join(rare, "gene").join(positive, "cell").where(F.size(F.array_except("ligand", "genes")) == 0).select(F.col("cell").alias("sender"), "relation", "receptor")
     return edges.join(able, "sender").join(positive.select(F.col("cell").alias("receiver"), "genes"), "receiver").where(F.size(F.array_except("receptor", "genes")) == 0).select("edge", "relation")
 
 
@@ -80,7 +80,7 @@ def enrichment(model: DataFrame, background: DataFrame, sizes: DataFrame, relati
     counts every relation; those without any support are dropped after it.
     """
     m, b = model.withColumnRenamed("n", "model_n"), background.withColumnRenamed("n", "background_n")
-    t = sizes.crossJoin(F.broadcast(relations.select("relation"))).join(m, ["triplet", "relation"], "left").join(b, ["triplet", "relation"], "left").na.fill(0, ["model_n", "background_n"])
+    t = sizes.crossJoin(relations.select("relation")).join(m, ["triplet", "relation"], "left").join(b, ["triplet", "relation"], "left").na.fill(0, ["model_n", "background_n"])
     rest = lambda n, k: (F.col(n) - F.col(k)).cast("long")
     t = t.withColumn("p", stats.fisher_exact(F.col("model_n"), rest("model_edges", "model_n"), F.col("background_n"), rest("background_edges", "background_n")))
     t = stats.benjamini_hochberg(t, "p", ["triplet"], ["relation"])

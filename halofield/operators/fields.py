@@ -49,7 +49,7 @@ def source_field(edges: DataFrame, expression: DataFrame) -> DataFrame:
 
 def filled(field: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     """The field for every cell and gene, 0 where nothing arrives. genes is a small list of its own kind."""
-    return cells.select("cell").crossJoin(F.broadcast(genes.select("gene"))).join(field, ["cell", "gene"], "left").withColumn("field", F.coalesce("field", F.lit(0.0)))
+    return cells.select("cell").crossJoin(genes.select("gene")).join(field, ["cell", "gene"], "left").withColumn("field", F.coalesce("field", F.lit(0.0)))
 
 
 def exponential_field(cells: DataFrame, expression: DataFrame, gene: int | None, bandwidth: float, reach: float, dims: int = 2) -> DataFrame:
@@ -254,7 +254,7 @@ def voxel_ratio(points: DataFrame, width: float, weight: str, dims: int = 3, lea
 def complex_expression(expression: DataFrame, parts: DataFrame) -> DataFrame:
     """(cell, complex, value): expm1 of the mean log1p of its parts(complex, gene); 0 if one is missing or not positive."""
     n = parts.groupBy("complex").agg(F.countDistinct("gene").alias("need"))
-    held = expression.where("value > 0").join(F.broadcast(parts.distinct()), "gene").groupBy("cell", "complex").agg(F.expm1(F.sum(F.log1p("value")) / F.count("*")).alias("value"), F.count("*").alias("have"))
+    held = expression.where("value > 0").join(parts.distinct(), "gene").groupBy("cell", "complex").agg(F.expm1(F.sum(F.log1p("value")) / F.count("*")).alias("value"), F.count("*").alias("have"))
     return held.join(n, "complex").where("have = need").select("cell", "complex", "value")
 
 

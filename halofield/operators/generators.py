@@ -93,7 +93,7 @@ def matched_markers(expression: DataFrame, groups: DataFrame, targets: dict[int,
 
     spark = expression.sparkSession
     of = spark.createDataFrame(list(targets.items()), "group int, gene long")
-    own = groups.select("cell", F.col("group").cast("int").alias("group")).join(F.broadcast(of), "group").join(expression, ["cell", "gene"], "left")
+    own = groups.select("cell", F.col("group").cast("int").alias("group")).join(of, "group").join(expression, ["cell", "gene"], "left")
     own = own.select("cell", "group", F.coalesce("value", F.lit(0.0)).alias("value"))
     mean = own.groupBy("group").agg(F.avg("value").alias("mean"))
     place = F.row_number().over(Window.partitionBy("group").orderBy("cell"))
@@ -102,7 +102,7 @@ def matched_markers(expression: DataFrame, groups: DataFrame, targets: dict[int,
     shared = kinds(0, 0).select("group", shuffled("shared").alias("at"), F.col("value").alias("a"))
     special = kinds(0, markers - 1).select("group", "marker", shuffled("own").alias("at"), F.col("value").alias("b"))
     cells = own.select("cell", "group", place.alias("at"))
-    drawn = cells.join(shared, ["group", "at"]).join(special, ["group", "at"]).join(F.broadcast(mean), "group")
+    drawn = cells.join(shared, ["group", "at"]).join(special, ["group", "at"]).join(mean, "group")
     loading = F.element_at(F.array(*map(F.lit, loadings)), F.col("marker") % len(loadings) + 1)
     program = float(share) ** 0.5 * (F.col("a") - F.col("mean")) + (1 - float(share)) ** 0.5 * (F.col("b") - F.col("mean"))
     return drawn.select("cell", "group", "marker", F.greatest(F.col("mean") + loading * program, F.lit(0.0)).alias("value"))

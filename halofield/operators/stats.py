@@ -96,19 +96,51 @@ def tie_averaged(scores: DataFrame, by: list[str], score: str, positive: str) ->
     return total.join(sums, by, "left").select(*by, F.coalesce(F.col("_ap") / n, F.lit(0.0)).alias("average_precision"), F.coalesce("_rr", F.lit(0.0)).alias("mrr"), (F.col("_ranks") / n).alias("mean_rank"))
 
 
+def falling_sum(first: int, step: int, last: int, row: int, column: int, total: int) -> float:
+    """Sum of the hypergeometric terms from first on in steps of 1 or -1, in units of the first, until they vanish.
+
+    Terms fall along the way, each by its ratio to the one before; a sum takes some standard deviations of
+    terms, however large the table is.
+    """
+    out, term, at = 1.0, 1.0, first
+    while at != last and term > 1e-18 * out:
+        k = np.arange(at, at + step * min(4096, abs(last - at)), step, dtype=float)
+        up = (row - k) * (column - k) / ((k + 1) * (total - row - column + k + 1)) if step > 0 else k * (total - row - column + k) / ((row - k + 1) * (column - k + 1))
+        terms = term * np.cumprod(up)
+        out, term, at = out + terms.sum(), float(terms[-1]), at + step * len(k)
+    return out
+
+
+def two_sided_fisher(w: int, x: int, y: int, z: int) -> float:
+    """Two-sided p of the table [[w, x], [y, z]]: all tables at most as likely, with a relative slack of 1e-10."""
+    row, column, total = w + x, w + y, w + x + y + z
+    low, high = max(0, row + column - total), min(row, column)
+    g = math.lgamma
+
+    def log(k: int) -> float:
+        return g(row + 1) - g(k + 1) - g(row - k + 1) + g(total - row + 1) - g(column - k + 1) - g(total - row - column + k + 1) - (g(total + 1) - g(column + 1) - g(total - column + 1))
+
+    mode = min(max((row + 1) * (column + 1) // (total + 2), low), high)
+    limit, p = log(w) + 1e-10, 0.0
+    for step, end in ((-1, low), (1, high)):
+        # the table nearest the mode on this side that is at most as likely; likelihood falls from the mode on
+        near, far = (mode, end) if step < 0 else (min(mode + 1, high + 1), end)
+        if (near - far) * step > 0 or log(far) > limit:
+            continue
+        while near != far:
+            middle = near + (far - near) // 2 if step > 0 else near - (near - far) // 2
+            if log(middle) <= limit:
+                far = middle
+            else:
+                near = middle + step
+        p += math.exp(log(near)) * falling_sum(near, step, end, row, column, total)
+    return min(1.0, p)
+
+
 @F.pandas_udf(DoubleType())
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided p of the table [[a, b], [c, d]]: all tables at most as likely, with a relative slack of 1e-10."""
-    n = int((a + b + c + d).max()) if len(a) else 0
-    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    out = []
-    for w, x, y, z in zip(a.astype(int), b.astype(int), c.astype(int), d.astype(int)):
-        row, column, total = w + x, w + y, w + x + y + z
-        k = np.arange(max(0, row + column - total), min(row, column) + 1)
-        f = log_factorial
-        p = np.exp(f[row] - f[k] - f[row - k] + f[total - row] - f[column - k] - f[total - row - column + k] - (f[total] - f[column] - f[total - column]))
-        out.append(min(1.0, p[p <= p[w - k[0]] * (1 + 1e-10)].sum()))
-    return pd.Series(out, dtype=float)
+    """two_sided_fisher of each row."""
+    return pd.Series([two_sided_fisher(*map(int, t)) for t in zip(a, b, c, d)], dtype=float)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str], tie: list[str], out: str = "fdr") -> DataFrame:
@@ -284,7 +316,7 @@ def gene_metrics(expression: DataFrame, n_cells: int) -> DataFrame:
 def specificity(expression: DataFrame, labels: DataFrame) -> DataFrame:
     """tau of each gene over the label means, and the label with the largest mean (ties: smallest)."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    mean = expression.join(labels, "cell").groupBy("gene", "label").agg(F.sum("value").alias("s")).join(F.broadcast(sizes), "label").withColumn("mean", F.col("s") / F.col("size"))
+    mean = expression.join(labels, "cell").groupBy("gene", "label").agg(F.sum("value").alias("s")).join(sizes, "label").withColumn("mean", F.col("s") / F.col("size"))
     k = sizes.agg(F.count("*").alias("k"))
     top = mean.groupBy("gene").agg(F.max("mean").alias("top"), F.sum("mean").alias("total"), F.min(F.struct((-F.col("mean")).alias("m"), "label")).alias("x")).crossJoin(F.broadcast(k))
     tau = F.when((F.col("top") > 0) & (F.col("k") > 1), (F.col("k") - F.col("total") / F.col("top")) / (F.col("k") - 1)).otherwise(0.0)
@@ -296,7 +328,7 @@ def marker_scores(expression: DataFrame, labels: DataFrame, pad: float = 0.05) -
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     n = sizes.agg(F.sum("size").alias("n"))
     g = expression.join(labels, "cell").groupBy("gene", "label").agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("k"))
-    g = g.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(n)).withColumn("t", F.sum("s").over(Window.partitionBy("gene")))
+    g = g.join(sizes, "label").crossJoin(F.broadcast(n)).withColumn("t", F.sum("s").over(Window.partitionBy("gene")))
     inside, outside = F.col("s") / F.col("size"), (F.col("t") - F.col("s")) / (F.col("n") - F.col("size"))
     return g.select("gene", "label", (F.log2((inside + pad) / (outside + pad)) * F.sqrt(F.col("k") / F.col("size"))).alias("score"))
 
@@ -313,7 +345,7 @@ def variable_genes(metrics: DataFrame, bins: int = 20) -> DataFrame:
 
 def module_scores(z: DataFrame, markers: DataFrame, margin: float = 0.25) -> DataFrame:
     """The label of each cluster by its markers(gene, label, role): core + aux / 2 - anti / 2, best over second by a margin."""
-    means = z.join(F.broadcast(markers), "gene").groupBy("cluster", "label").agg(*(F.coalesce(F.avg(F.when(F.col("role") == r, F.col("z"))), F.lit(0.0)).alias(r) for r in ("core", "aux", "anti")))
+    means = z.join(markers, "gene").groupBy("cluster", "label").agg(*(F.coalesce(F.avg(F.when(F.col("role") == r, F.col("z"))), F.lit(0.0)).alias(r) for r in ("core", "aux", "anti")))
     score = means.withColumn("score", F.col("core") + 0.5 * F.col("aux") - 0.5 * F.col("anti"))
     order = Window.partitionBy("cluster").orderBy(F.desc("score"), "label")
     top = score.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("r = 1")

@@ -99,7 +99,7 @@ def cell_edges(cells: DataFrame, expression: DataFrame, residual: DataFrame, mem
 
     membership(cell, receiver_group, p) is long. Scales come from the fit cells, or from all.
     """
-    expression = expression.join(F.broadcast(triplets.select(F.col("source").alias("gene")).distinct()), "gene", "left_semi")
+    expression = expression.join(triplets.select(F.col("source").alias("gene")).distinct(), "gene", "left_semi")
     e = weighed_edges(cells, a, cells.join(expression.where("value > 0").select("cell").distinct(), "cell", "left_semi"))
     base = cells if fit is None else fit
     field_ = fields.filled(fields.source_field(e, expression), cells, expression.select("gene").distinct())

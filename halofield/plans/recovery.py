@@ -16,7 +16,7 @@ def mapped_effects(effects: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
     groups(cell, inferred, true). Of several inferred groups with one true group the larger score counts.
     """
     to = panel.majority_mapping(stats.contingency(groups, "inferred", "true"), "inferred", "true").select(F.col("inferred").alias("receiver_group"), "mapped")
-    e = effects.join(F.broadcast(to), "receiver_group").groupBy(F.col("mapped").alias("receiver_group"), "source", "target").agg(F.max("score").alias("score"))
+    e = effects.join(to, "receiver_group").groupBy(F.col("mapped").alias("receiver_group"), "source", "target").agg(F.max("score").alias("score"))
     return e, stats.agreement(groups, "inferred", "true")
 
 

@@ -30,7 +30,7 @@ def complement(spark: SparkSession, sf: str) -> DataFrame:
 @query("prj03_gene_panel", f"WITH {EXPR}, panel(gene, position) AS (VALUES (7, 0), (2, 1), (11, 2)) SELECT cell, position, round(value, 6) + 0 AS value FROM expr JOIN panel USING (gene)")
 def gene_panel(spark: SparkSession, sf: str) -> DataFrame:
     chosen = spark.createDataFrame([(7, 0), (2, 1), (11, 2)], "gene long, position int")
-    return expression(spark, sf).join(F.broadcast(chosen), "gene").select("cell", "position", r("value").alias("value"))
+    return expression(spark, sf).join(chosen, "gene").select("cell", "position", r("value").alias("value"))
 
 
 @query("prj04_one_hot", f"WITH {CELLS} SELECT cell, k AS receiver_group, CASE WHEN grp = k THEN 1e0 ELSE 0e0 END AS p FROM cells, (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS k)")
@@ -475,7 +475,7 @@ def replicates(spark: SparkSession, sf: str) -> DataFrame:
     m = residual(spark, sf).join(cells(spark, sf).select("cell", "group"), "cell").groupBy("group", "gene", (F.col("cell") % 4).alias("seed")).agg(F.avg("value").alias("m"))
     planted = spark.createDataFrame([(1, 2, True), (3, 4, True)], "group int, gene long, planted boolean")
     g = m.groupBy("group", "gene").agg(r(F.avg("m")).alias("mean"), r(F.stddev_samp("m")).alias("sd"))
-    return g.join(F.broadcast(planted), ["group", "gene"], "left").na.fill(False, ["planted"])
+    return g.join(planted, ["group", "gene"], "left").na.fill(False, ["planted"])
 
 
 # --- ranks, top-k, sets

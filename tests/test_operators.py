@@ -426,3 +426,19 @@ def test_assignment_is_the_first_of_the_best():
             cost = -rng.integers(0, 4, (n, n)).astype(float)
             want = min(permutations(range(n)), key=lambda p: sum(cost[i, j] for i, j in enumerate(p)))
             assert list(panel.assignment(cost)) == list(want)
+
+
+def test_fisher_of_small_and_very_large_tables():
+    import math
+    import time
+
+    rng = np.random.default_rng(10)
+    choose = lambda n, k: math.comb(int(n), int(k))
+    for _ in range(300):
+        w, x, y, z = (int(v) for v in rng.integers(0, 12, 4))
+        row, column, total = w + x, w + y, w + x + y + z
+        p = {k: choose(row, k) * choose(total - row, column - k) / choose(total, column) for k in range(max(0, row + column - total), min(row, column) + 1)}
+        assert stats.two_sided_fisher(w, x, y, z) == pytest.approx(min(1.0, sum(v for v in p.values() if v <= p[w] * (1 + 1e-10))), abs=1e-12)
+    began = time.time()
+    same = stats.two_sided_fisher(500_000_000, 500_000_000, 500_010_000, 499_990_000)
+    assert time.time() - began < 2 and 0.5 < same < 0.8 and 2e-56 < stats.two_sided_fisher(10**9, 10**9, 10**9 + 10**6, 10**9) < 4e-56  # z is 15.8
