@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import ReactionDiffusion
+from ..functions.kernels import I0_SMALL, K0_LARGE, K0_SMALL, ReactionDiffusion
 from ..sources.store import written
 from .graphs import least_reachable
 from .ordered import quantiles
@@ -130,8 +130,6 @@ def dense_field(cells: DataFrame, kernel: ReactionDiffusion, radius: float, dims
 
 def kernel_values(kernel: ReactionDiffusion, distance: np.ndarray) -> np.ndarray:
     """The kernel over an array; the same polynomials as the column expression."""
-    from ..functions.kernels import I0_SMALL, K0_LARGE, K0_SMALL
-
     r = np.maximum(distance, kernel.min_distance)
     x = r / kernel.length
     if kernel.dims == 3:
