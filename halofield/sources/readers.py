@@ -106,8 +106,9 @@ def read_positive_genes(spark: SparkSession, path: str, genes: list[int], thresh
 def is_matrix_market(spark: SparkSession, path: str) -> bool:
     if path.endswith(".mtx"):
         return True
-    first = spark.read.text(path).limit(1).collect()
-    return bool(first) and first[0]["value"].startswith("%%MatrixMarket")
+    # the first line of a folder is that of its first file, wherever Spark begins to read
+    first = placed_lines(spark, path).agg(F.min(F.struct(*PLACE, "value")).alias("f")).first()["f"]
+    return first is not None and first["value"].startswith("%%MatrixMarket")
 
 
 def read_expression(spark: SparkSession, path: str, n_cells: int, n_genes: int) -> DataFrame:
