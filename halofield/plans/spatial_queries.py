@@ -178,10 +178,8 @@ VECTORS = f"{WEIGHED}, vectors AS (SELECT receiver, a.grp, a.x, a.y, weight, a.x
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.edges import direction
-
     c = cells(spark, sf)
-    return direction(fields.weigh(edges(spark, sf), KERNEL), c).join(c.select(F.col("cell").alias("receiver"), "x", "y", "group"), "receiver")
+    return fields.direction_sums(c, KERNEL, RADIUS).join(c.select("cell", "x", "y", "group"), "cell")
 
 
 @query("fld12_mean_direction", f"WITH {VECTORS}, m AS (SELECT grp, sum(weight * dx / d) / sum(weight) AS mx, sum(weight * dy / d) / sum(weight) AS my, count(*) AS n FROM vectors WHERE d > 0 GROUP BY 1) SELECT grp AS \"group\", round(mx, 5) + 0 AS mx, round(my, 5) + 0 AS my, n, round(sqrt(mx * mx + my * my), 5) + 0 AS enrichment FROM m")
