@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
-from .spatial import radius_join
+from .spatial import bins, gaps, radius_join
+from .trees import AXES
+
+#: Pairs of bins with at most this many pairs of cells are joined; others are tried by halving, nearest parts first.
+FEW = 256
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:
@@ -24,17 +31,99 @@ def least_reachable(edges: DataFrame) -> DataFrame:
             return label
 
 
+def close_bins(cells: DataFrame, radius: float, dims: int) -> DataFrame:
+    """cells with their bin, so small that all cells of one bin lie within the radius of each other."""
+    return cells.select("cell", *(F.col(x).cast("double").alias(x) for x in AXES[:dims])).select("*", *bins(cells, radius / dims**0.5 * (1 - 1e-9), dims))
+
+
+def meet(a: np.ndarray, b: np.ndarray, radius: float) -> bool:
+    """Whether a point of a lies within the radius of one of b. Only parts whose boxes leave it open are halved, near ones first."""
+    open_ = [(0.0, a, b)]
+    while open_:
+        _, a, b = open_.pop()
+        (la, ha), (lb, hb) = ((x.min(0), x.max(0)) for x in (a, b))
+        if (np.maximum(np.maximum(lb - ha, la - hb), 0.0) ** 2).sum() > radius * radius * (1 + 1e-9):
+            continue
+        if len(a) * len(b) <= 4096:
+            if (sum((p[:, None] - q[None]) ** 2 for p, q in zip(a.T, b.T)) <= radius * radius).any():
+                return True
+            continue
+        swap = len(a) < 2 or (len(b) > 1 and (hb - lb).max() > (ha - la).max())
+        x, y = (b, a) if swap else (a, b)
+        axis = int(np.argmax(x.max(0) - x.min(0)))
+        cut = np.argpartition(x[:, axis], len(x) // 2)
+        gap = lambda p: float((np.maximum(np.maximum(y.min(0) - p.max(0), p.min(0) - y.max(0)), 0.0) ** 2).sum())
+        halves = sorted(((gap(h), h) for h in (x[cut[: len(x) // 2]], x[cut[len(x) // 2 :]])), key=lambda h: -h[0])
+        open_ += [(g, y, h) if swap else (g, h, y) for g, h in halves]
+    return False
+
+
+def components_within(cells: DataFrame, radius: float, dims: int = 2) -> DataFrame:
+    """node, label: the smallest cell reachable in steps of at most the radius, the cell itself included.
+
+    Pairs of cells grow with the square of the cells, so bins are linked instead: all cells of a bin (see close_bins) are
+    within reach of each other, and two bins are linked if any of their cells are. Boxes decide most pairs of bins,
+    the others go by their cells, of which each bin's distinct places travel to the bins around it.
+    """
+    axes = AXES[:dims]
+    keys = [f"b{x}" for x in axes]
+    placed = written(close_bins(cells, radius, dims))
+    box = [f(x).alias(f"{e}_{x}") for x in axes for e, f in (("lo", F.min), ("hi", F.max))]
+    place = placed.groupBy(*keys, *axes).agg(F.min("cell").alias("cell"))
+    nodes = written(place.groupBy(*keys).agg(F.min("cell").alias("node"), F.count("*").alias("n"), *box))
+    later = [o for o in product(range(-2, 3), repeat=dims) if o > (0,) * dims]
+    around = F.explode(F.array(*(F.struct(*(F.lit(o).cast("long").alias(f"d{k}") for k, o in zip(keys, offset))) for offset in later))).alias("o")
+    side = lambda e: [F.col(c).alias(f"{e}{c}") for c in nodes.columns if c not in keys]
+    a = nodes.select(*side("a"), *(F.col(k).alias(f"a{k}") for k in keys), around).select("*", *((F.col(f"a{k}") + F.col(f"o.d{k}")).alias(k) for k in keys)).drop("o")
+    least, most = gaps("a", "b", dims)
+    pairs = a.join(nodes.select(*side("b"), *keys), keys).where(least <= radius * radius * (1 + 1e-9))
+    pairs = written(pairs.select("anode", "bnode", "an", "bn", (most <= radius * radius).alias("sure"), *(f"a{k}" for k in keys), *keys))
+    links = [nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), pairs.where("sure").select(F.col("anode").alias("a"), F.col("bnode").alias("b"))]
+    unsure = pairs.where("not sure").withColumn("few", F.col("an") * F.col("bn") <= FEW)
+    own = place.select(*(F.col(k).alias(f"a{k}") for k in keys), *(F.col(x).alias(f"a{x}") for x in axes))
+    sent = place.select(*keys, *axes)
+    met = unsure.where("few").join(own, [f"a{k}" for k in keys]).join(sent, keys)
+    near = sum(((F.col(f"a{x}") - F.col(x)) * (F.col(f"a{x}") - F.col(x)) for x in axes[1:]), (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")))
+    links.append(met.where(near <= radius * radius).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct())
+
+    def linked(mine: pa.Table, other: pa.Table) -> pa.Table:
+        here = np.stack([mine[f"a{x}"].to_numpy() for x in axes], 1)
+        there, to = np.stack([other[x].to_numpy() for x in axes], 1), other["bnode"]
+        code = to.combine_chunks().dictionary_encode()
+        index = code.indices.to_numpy()
+        found = [i for i in range(len(code.dictionary)) if meet(here, there[index == i], radius)] if len(here) else []
+        return pa.table({"a": other["anode"].take(pa.array([0] * len(found), pa.int64())), "b": code.dictionary.take(pa.array(found, pa.int64()))})
+
+    many = unsure.where("not few")
+    kind = cells.schema["cell"].dataType.simpleString()
+    crowded = own.join(many.select(*(f"a{k}" for k in keys)).distinct(), [f"a{k}" for k in keys])
+    tried = crowded.groupBy(*(f"a{k}" for k in keys)).cogroup(many.select("anode", "bnode", *(f"a{k}" for k in keys), *keys).join(sent, keys).groupBy(*(f"a{k}" for k in keys)))
+    links.append(tried.applyInArrow(linked, f"a {kind}, b {kind}"))
+    label = least_reachable(reduce(DataFrame.unionByName, links))
+    return placed.join(nodes.select(*keys, "node"), keys).select("cell", "node").join(label, "node").select(F.col("cell").alias("node"), "label")
+
+
 def density_clusters(cells: DataFrame, radius: float, least: int, dims: int = 2) -> DataFrame:
     """(cell, cluster): cells with `least` cells within the radius (themselves included) are cores; cores
     within the radius share a cluster, named by its smallest core; other cells join the nearest core
-    within the radius (ties: smallest), or have a null cluster."""
-    near = written(radius_join(cells, cells, radius, dims, self_pairs=True))
-    core = near.groupBy("receiver").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("receiver").alias("core"))
-    to_core = written(near.join(core.withColumnRenamed("core", "sender"), "sender", "left_semi"))
-    links = to_core.join(core.withColumnRenamed("core", "receiver"), "receiver", "left_semi").select(F.col("receiver").alias("a"), F.col("sender").alias("b"))
-    label = least_reachable(links)
-    nearest = to_core.groupBy(F.col("receiver").alias("cell")).agg(F.min(F.struct("distance", "sender")).alias("x")).select("cell", F.col("x.sender").alias("node"))
-    return cells.select("cell").join(nearest.join(label, "node").select("cell", F.col("label").alias("cluster")), "cell", "left")
+    within the radius (ties: smallest), or have a null cluster.
+
+    Where a bin of close cells holds `least` all are cores. The others are fewer than that a bin, so what they meet
+    grows with the cells, wherever these lie; cores are linked by components_within.
+    """
+    keys = [f"b{x}" for x in AXES[:dims]]
+    placed = close_bins(cells, radius, dims)
+    full = placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*keys)
+    placed = written(placed.join(full.withColumn("_full", F.lit(True)), keys, "left").withColumn("full", F.coalesce("_full", F.lit(False))).drop("_full"))
+    thin = placed.where("not full")
+    some = radius_join(thin, placed, radius, dims, self_pairs=True).groupBy(F.col("receiver").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cell", F.lit(True).alias("_core"))
+    placed = written(placed.join(some, "cell", "left").withColumn("core", F.col("full") | F.coalesce("_core", F.lit(False))))
+    core = placed.where("core").select("cell", *AXES[:dims])
+    label = written(components_within(core, radius, dims))
+    near = radius_join(placed.where("not core"), core, radius, dims)
+    nearest = near.groupBy(F.col("receiver").alias("cell")).agg(F.min(F.struct("distance", "sender")).alias("x")).select("cell", F.col("x.sender").alias("node"))
+    named = nearest.join(label, "node").select("cell", F.col("label").alias("cluster")).unionByName(label.select(F.col("node").alias("cell"), F.col("label").alias("cluster")))
+    return cells.select("cell").join(named, "cell", "left")
 
 
 def propagated_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
