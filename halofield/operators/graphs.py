@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
-from .spatial import bins, gaps, radius_join
+from .spatial import bins, gaps, knn_join, radius_join
 from .trees import AXES
 
 #: Pairs of bins with at most this many pairs of cells are joined; others are tried by halving, nearest parts first.
@@ -158,18 +158,17 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 10) -> Data
     return found
 
 
-def densest_crop(edges: DataFrame, size: int = 14) -> DataFrame:
-    """(centre, node, rank): of the largest component of edges(receiver, sender, distance) the node whose
-    `size` nearest neighbours lie closest together, and these neighbours. Ties: the smallest node.
+def densest_crop(cells: DataFrame, radius: float, size: int = 14, dims: int = 2) -> DataFrame:
+    """(centre, node, rank): of the largest component of cells linked within the radius the cell whose
+    `size` nearest neighbours within it lie closest together, and these neighbours. Ties: the smallest cell.
 
-    Closeness is the mean distance to the neighbours; nodes with fewer than `size` come after all others.
+    Closeness is the mean distance to the neighbours; cells with fewer than `size` come after all others. Neither the
+    component nor the nearest need the pairs within the radius (see components_within and knn_join).
     """
-    links = edges.select(F.col("receiver").alias("a"), F.col("sender").alias("b"))
-    label = written(least_reachable(links))
+    label = written(components_within(cells, radius, dims))
     largest = label.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)
-    inside = label.join(F.broadcast(largest), "label", "left_semi").select(F.col("node").alias("receiver"))
-    near = edges.join(inside, "receiver", "left_semi")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("receiver").orderBy("distance", "sender"))).where(F.col("rank") <= size)
+    inside = written(cells.join(label.join(F.broadcast(largest), "label", "left_semi").select(F.col("node").alias("cell")), "cell", "left_semi"))
+    ranked = written(knn_join(inside, inside, size, dims, radius=radius))
     centre = ranked.groupBy("receiver").agg(F.count("*").alias("n"), F.avg("distance").alias("mean")).orderBy(F.desc("n"), "mean", "receiver").limit(1)
     return ranked.join(F.broadcast(centre.select("receiver")), "receiver", "left_semi").select(F.col("receiver").alias("centre"), F.col("sender").alias("node"), "rank")
 

@@ -50,7 +50,7 @@ def mixed_order(spark: SparkSession, sf: str) -> DataFrame:
 @query("top09_densest_crop", f"WITH RECURSIVE {CELLS}, {EDGES}, reach(a, b) AS (SELECT receiver, sender FROM edges WHERE distance <= 0.05e0 UNION SELECT reach.a, edges.sender FROM reach JOIN edges ON reach.b = edges.receiver AND edges.distance <= 0.05e0), label AS (SELECT a, least(a, min(b)) AS label FROM reach GROUP BY 1), big AS (SELECT label FROM label GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1), k AS (SELECT *, row_number() OVER (PARTITION BY receiver ORDER BY distance, sender) AS rank FROM edges JOIN label ON a = receiver JOIN big USING (label) WHERE distance <= 0.05e0), t AS (SELECT * FROM k WHERE rank <= 14), c AS (SELECT receiver FROM t GROUP BY 1 ORDER BY count(*) DESC, avg(distance), receiver LIMIT 1) SELECT receiver AS centre, sender AS node, rank FROM t JOIN c USING (receiver)")
 def densest_crop(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)
-    crop = graphs.densest_crop(spatial.radius_join(c, c, 0.05), 14)
+    crop = graphs.densest_crop(c, 0.05, 14)
     return crop.withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -63,3 +63,17 @@ def test_density_clusters_of_crowded_cells_write_no_pairs(spark, monkeypatch):
         at = [j for j in np.flatnonzero(near[i] & core)]
         want[i] = int(label[i] if core[i] else label[min(at, key=lambda j: (d2[i, j], j))]) if core[i] or at else None
     assert got == want and max(rows) < 5 * len(p) < near.sum() / 20
+
+
+def test_densest_crop_of_crowded_cells_writes_no_pairs(spark, monkeypatch):
+    rows, p = counting(monkeypatch), crowded(3)
+    got = [(r.centre, r.node, r["rank"]) for r in graphs.densest_crop(table(spark, p), 0.15, 6).collect()]
+    label = components(p, 0.15)
+    names, sizes = np.unique(label, return_counts=True)
+    best = None
+    for i in np.flatnonzero(label == names[np.argmax(sizes)]):
+        d = np.sqrt(((p - p[i]) ** 2).sum(1))
+        at = sorted((d[j], j) for j in np.flatnonzero(d <= 0.15) if j != i)[:6]
+        best = min(best or (1,), (-len(at), np.mean([x for x, _ in at]), int(i), [int(j) for _, j in at]))
+    assert sorted(got, key=lambda g: g[2]) == [(best[2], j, k + 1) for k, j in enumerate(best[3])]
+    assert max(rows) < 40 * len(p) < (((p[:, None] - p[None]) ** 2).sum(2) <= 0.15**2).sum()
