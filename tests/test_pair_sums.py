@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import udf
 
 import __spark_entry__  # noqa: F401  registers the queries
 from halofield.functions.kernels import ReactionDiffusion
@@ -64,3 +65,22 @@ def test_nearest_within_radius_looks_at_few_pairs(spark):
     row = lambda df: sorted((x.receiver, x.sender, x["rank"]) for x in df.collect())
     want = row(spatial.nearest(spatial.radius_join(cells, cells, 2.0), 5))
     assert row(spatial.knn_join(cells, cells, 5, radius=2.0)) == want
+
+
+def test_retained_edges_are_made_once_after_their_totals(spark):
+    rows = [(0, 1, 2, f"r{r}", f"s{s}", float((r * 7 + s * 3) % 11 + 1)) for r in range(30) for s in range(20)]
+    e = spark.createDataFrame(rows, "receiver_group int, source long, target long, receiver string, sender string, influence_score double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def marked(x):
+        seen.add(1)
+        return x
+
+    mark = udf(marked, "double").asNondeterministic()
+
+    def of(leaders):
+        return e.join(leaders, [*edges.EDGE, "receiver"]).withColumn("influence_score", mark("influence_score"))
+
+    got = edges.retained(e, 1.0, 25, of)
+    assert got.count() == 25 and {"n_supported", "rank_within_triplet"} <= set(got.columns) and got.columns.count("receiver") == 1
+    assert seen.value <= len(rows)
