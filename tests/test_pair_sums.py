@@ -7,7 +7,7 @@ from pyspark.sql.functions import udf
 import __spark_entry__  # noqa: F401  registers the queries
 from halofield.functions.kernels import ReactionDiffusion
 from halofield.operators import edges, fields, spatial
-from halofield.plans import registry
+from halofield.plans import analysis, model_queries, registry
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,10 @@ def test_retained_edges_are_made_once_after_their_totals(spark):
     got = edges.retained(e, 1.0, 25, of)
     assert got.count() == 25 and {"n_supported", "rank_within_triplet"} <= set(got.columns) and got.columns.count("receiver") == 1
     assert seen.value <= len(rows)
+
+
+def test_fields_of_several_uses_are_made_once(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan(model_queries.standard(spark, sf)[0])
+    assert "FlatMapCoGroupsInArrow" not in plan(analysis.source_fields(registry.cells(spark, sf), registry.expression(spark, sf), model_queries.SETTINGS))
