@@ -19,13 +19,14 @@ from .model_queries import ATTRIBUTED, triplet_edges
 from .registry import CELLS, EXPR, cells, expression, query, r, table
 
 
-def text_file(df: DataFrame, key: Column | str, line: Column, name: str, head: str | None = None) -> str:
-    """The path of a text file with a line for each row, in the order of key, under a first line."""
-    rows = df.select(F.col(key).cast("long").alias("k") if isinstance(key, str) else key.cast("long").alias("k"), line.alias("value"))
+def text_file(df: DataFrame, key: Column | str, line: Column, name: str, head: str | None = None, falling: list[str] | None = None) -> str:
+    """The path of a text file with a line for each row, in the order of key, under a first line; of equal keys in falling order of further columns."""
+    falling = falling or []
+    rows = df.select(F.col(key).cast("long").alias("k") if isinstance(key, str) else key.cast("long").alias("k"), line.alias("value"), *falling)
     if head is not None:
-        rows = rows.unionByName(df.sparkSession.createDataFrame([(-1, head)], "k long, value string"))
+        rows = rows.unionByName(df.sparkSession.createDataFrame([(-1, head)], "k long, value string"), allowMissingColumns=True)
     path = new_path(df.sparkSession, name)
-    writers.write_ids(rows, path, "k", "value")
+    writers.write_ids(rows, path, ["k", *(F.desc(c) for c in falling)], "value")
     return path
 
 
@@ -102,10 +103,11 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src09_selected_betas", "SELECT l_linenumber AS receiver_group, l_returnflag AS source, l_linestatus AS target, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS signed_beta FROM lineitem WHERE l_partkey % 3 < 2 GROUP BY 1, 2, 3")
 def selected_betas(spark: SparkSession, sf: str) -> DataFrame:
-    """Of repeated keys the last selected line wins."""
+    """Of repeated keys the last selected line wins; of rows with one order number that is the table's first, as max_by keeps it."""
+    items = table(spark, sf, "lineitem").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     chosen = F.element_at(F.array(F.lit("true"), F.lit("1"), F.lit("no")), (F.col("l_partkey") % 3 + 1).cast("int"))
     line = F.concat_ws(",", "l_returnflag", "l_linenumber", chosen, "l_linestatus", "l_quantity")
-    path = text_file(table(spark, sf, "lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), line, "betas", "source_gene,receiver_group,selected,target_gene,signed_beta")
+    path = text_file(items, F.col("l_orderkey") * 10 + F.col("l_linenumber"), line, "betas", "source_gene,receiver_group,selected,target_gene,signed_beta", ["_file", "_row"])
     return readers.read_selected_betas(spark, path)
 
 

@@ -15,8 +15,9 @@ def write_matrix(df: DataFrame, path: str, decimals: int = 7, once: bool = False
     ordered.write.mode("ignore" if once else "overwrite").text(path)
 
 
-def write_ids(df: DataFrame, path: str, key: str, name: str) -> None:
-    df.repartitionByRange(key).sortWithinPartitions(key).select(F.col(name).alias("value")).write.mode("overwrite").text(path)
+def write_ids(df: DataFrame, path: str, key: str | list, name: str) -> None:
+    order = key if isinstance(key, list) else [key]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(name).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_matrix_market(df: DataFrame, path: str, n_rows: int, n_columns: int) -> None:
