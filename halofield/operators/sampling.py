@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw, uniform
+from ..sources.store import written
 from .ordered import running
 
 
@@ -21,8 +28,6 @@ def balanced(df: DataFrame, group: str, key: str, most: int) -> DataFrame:
     each range, so a group that holds most rows is dealt over many tasks. A null group is one of its own
     for its size, but not counted as a group.
     """
-    from ..sources.store import written
-
     n_groups = df.agg(F.countDistinct(group).alias("groups"))
     placed = written(df.repartitionByRange(group, key).withColumn("_p", F.spark_partition_id()))
     # one row for each group and range that it reaches into: at most groups + ranges rows
@@ -91,19 +96,51 @@ def bootstrap(df: DataFrame, value: str, by: list[str], replicates: int, seed: i
     return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(ci, by)
 
 
-def permutation_null(df: DataFrame, score: str, hit: str, key: str, repeats: int, seed: int) -> DataFrame:
+def permutation_null(df: DataFrame, score: str, hit: str, key: str, repeats: int, seed: int, most: int = 500_000) -> DataFrame:
     """Average precision of df's ranking, its mean under permuted hits, and p = (1 + as good) / (repeats + 1).
 
-    The order of all repeats is one exchange into ranges of (repeat, hash), which part a repeat as they part the
-    rest; ranks and hits so far are carried over range ends, and a hit's row alone goes on from there.
+    A repeat's order is that of a hash (see draw), which is spread evenly, so its first bits part a repeat into slots of
+    some `most` rows without a look at the rows. A row moves once a repeat, as the 16 bytes of its hash; a task ranks a
+    slot's hits in it, and ranks and hits so far are carried from slot to slot. Rows are dealt out before they
+    are repeated, as a small table is one task.
     """
-    runs = df.select(key, score, F.col(hit).cast("int").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(repeats))).alias("repeat"))
-    order = F.when(F.col("repeat") == 0, F.col(score)).otherwise(0.0)
-    runs = runs.withColumn("_o", -order).withColumn("_h", F.when(F.col("repeat") > 0, draw(seed, "repeat", key))).select("repeat", "_o", "_h", key, "hit")
-    placed = running(runs, ["repeat"], ["_o", "_h", key], {"r": F.lit(1), "seen": F.col("hit")})
-    ap = placed.where("hit = 1").groupBy("repeat").agg(F.avg((F.col("seen") + 1) / (F.col("r") + 1)).alias("ap"))
-    seen = ap.where("repeat = 0").select(F.col("ap").alias("observed"))
-    return ap.where("repeat > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.avg("ap").alias("expected"), ((1 + F.count_if(F.col("ap") >= F.col("observed"))) / (F.count("*") + 1)).alias("p"))
+    base = df.select(key, (-F.col(score)).alias("_o"), F.col(hit).cast("int").alias("hit"))
+    ranked = running(base, [], ["_o", key], {"r": F.lit(1), "seen": F.col("hit")}).where("hit = 1")
+    observed = ranked.agg(F.avg((F.col("seen") + 1) / (F.col("r") + 1)).alias("observed"))
+    bits = min(16, max(0, math.ceil(math.log2(max(1, df.count()) / most))))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails, hits = [t.encode() for t in batch["tail"].to_pylist()], batch["hit"].to_numpy(zero_copy_only=False).astype(np.uint8)
+            slots, packed = [], []
+            for repeat in range(1, repeats + 1):
+                start = f"{seed}/{repeat}".encode()
+                rows = np.frombuffer(b"".join([md5(start + t).digest() for t in tails]), np.uint8).reshape(-1, 16)
+                slot = ((rows[:, 0].astype(np.int64) << 8) | rows[:, 1]) >> (16 - bits)
+                order = np.argsort(slot, kind="stable")
+                rows, slot = np.hstack([rows, hits[:, None]])[order], slot[order]
+                ends = [0, *(np.flatnonzero(np.diff(slot)) + 1), len(slot)] if len(slot) else []
+                for i, j in zip(ends, ends[1:]):
+                    slots.append((repeat << bits) + int(slot[i]))
+                    packed.append(rows[i:j].tobytes())
+            yield pa.record_batch({"slot": pa.array(slots, pa.int64()), "rows": pa.array(packed, pa.binary())})
+
+    def ranks(table: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(table["rows"].to_pylist()), np.uint8).reshape(-1, 17)
+        high, low = (np.ascontiguousarray(rows[:, i : i + 8]).view(">u8").ravel().astype(np.uint64) for i in (0, 8))
+        at = np.flatnonzero(rows[np.lexsort((low, high)), 16]) + 1
+        return pa.table({"slot": table["slot"].slice(0, 1), "n": pa.array([len(rows)], pa.int64()), "ranks": pa.array([at], pa.list_(pa.int64()))})
+
+    tail = F.concat_ws("/", F.lit(""), key).alias("tail")
+    dealt = base.select(tail, (F.coalesce("hit", F.lit(0)) == 1).alias("hit")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = written(dealt.mapInArrow(hashed, "slot long, rows binary").groupBy("slot").applyInArrow(ranks, "slot long, n long, ranks array<long>"))
+    before = Window.partitionBy("repeat").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = slots.select("slot", "n", F.size("ranks").alias("k"), F.shiftright("slot", bits).alias("repeat"))
+    carried = sizes.select("slot", "repeat", "k", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "k")))
+    precisions = F.transform("ranks", lambda r, i: (F.col("k_before") + i + 1) / (F.col("n_before") + r))
+    part = slots.select("slot", "ranks").join(carried, "slot").select("repeat", "k", F.aggregate(precisions, F.lit(0.0), lambda s, x: s + x).alias("s"))
+    ap = part.groupBy("repeat").agg(F.try_divide(F.sum("s"), F.sum("k")).alias("ap"))
+    return ap.crossJoin(F.broadcast(observed)).where("observed is not null").groupBy("observed").agg(F.avg("ap").alias("expected"), ((1 + F.count_if(F.col("ap") >= F.col("observed"))) / (F.count("*") + 1)).alias("p"))
 
 
 def random_mask(key: str, width: int, probability: float, seed: int, epoch: int) -> Column:
