@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 from pyspark.sql.functions import udf
 
 import __spark_entry__  # noqa: F401  registers the queries
@@ -91,3 +92,18 @@ def test_fields_of_several_uses_are_made_once(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" not in plan(model_queries.standard(spark, sf)[0])
     assert "FlatMapCoGroupsInArrow" not in plan(analysis.source_fields(registry.cells(spark, sf), registry.expression(spark, sf), model_queries.SETTINGS))
+
+
+def test_what_moves_grows_as_the_cells(spark, monkeypatch):
+    """Each cell goes to as many tasks among four times the cells, and a receiver has as many partial sums."""
+    made, real = [], fields.field_tasks
+    monkeypatch.setattr(fields, "field_tasks", lambda *a: made.append(real(*a)) or made[-1])
+    copies, parts = [], []
+    for n in (8192, 32768):
+        at = [functions.pmod(functions.xxhash64("id", functions.lit(a)), functions.lit(10**6)) / 1e6 for a in (1, 2)]
+        cells = spark.range(n).select(functions.col("id").alias("cell"), at[0].alias("x"), at[1].alias("y"), functions.array(functions.lit(1.0)).alias("v"))
+        fields.pair_sums(cells, 0.5, fields.weighted(None))
+        pairs = made[-1][1]
+        copies.append(pairs.agg(functions.sum("sn")).first()[0] / n)
+        parts.append(pairs.agg(functions.max("bundle")).first()[0])
+    assert copies[1] < 1.2 * copies[0] and parts[1] <= parts[0]
