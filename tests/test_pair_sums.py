@@ -107,3 +107,20 @@ def test_what_moves_grows_as_the_cells(spark, monkeypatch):
         copies.append(pairs.agg(functions.sum("sn")).first()[0] / n)
         parts.append(pairs.agg(functions.max("bundle")).first()[0])
     assert copies[1] < 1.2 * copies[0] and parts[1] <= parts[0]
+
+
+def test_receivers_of_one_bin_are_dealt_to_tasks(spark):
+    rng = np.random.default_rng(9)
+    at = rng.uniform(0.1, 0.9, (9000, 2))
+    cells = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "cell long, x double, y double")
+    few, before = cells.where("cell < 3"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = spatial.radius_join(cells, few, 1.0).withColumn("task", functions.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    near = ((at[:, None] - at[None, :3]) ** 2).sum(2) <= 1.0
+    assert sorted((x.receiver, x.sender) for x in got) == [(i, j) for i in range(len(at)) for j in range(3) if i != j and near[i, j]]
+    assert len({x.task for x in got}) > 1
