@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from halofield.plans import analysis
+import __spark_entry__  # noqa: F401  registers the queries
+from halofield.operators import edges, spatial
+from halofield.plans import analysis, registry
 
 
 def test_an_analysis_is_fitted_on_all_cells(spark):
@@ -22,3 +24,20 @@ def test_an_analysis_is_fitted_on_all_cells(spark):
     got = {(r.source, r.target): r.screening_score for r in out["effects"].collect()}
     want = {(s, u): abs(np.corrcoef(value[np.arange(n) ^ 1, s], told[:, u])[0, 1]) for s in range(2) for u in range(2) if s != u}
     assert len(want) == 2 and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_relations_are_counted_without_edges(spark):
+    rng = np.random.default_rng(4)
+    cells = spark.createDataFrame([(f"c{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (80, 2)))], "cell string, x double, y double")
+    genes = [(f"c{i}", f"g{g}") for i in range(78) for g in range(6) if rng.random() < 0.5] + [("c79", "g1")]
+    positive = edges.positive_genes(spark.createDataFrame(genes, "cell string, gene string").withColumn("value", F.lit(1.0)))
+    known = [("a", ["g1"], ["g2"]), ("b", ["g1", "g3"], ["g4", "g5"]), ("c", ["g0", "g0"], []), ("d", ["none"], ["g1"]), ("e", [], ["g1"]), ("f", ["g2"], ["none"])]
+    relations = spark.createDataFrame(known, "relation string, ligand array<string>, receptor array<string>")
+    e = spatial.radius_join(cells, cells, 1.1).withColumn("edge", F.struct("sender", "receiver"))
+    want = edges.supported_relations(e.select("edge", "sender", "receiver"), positive, relations).groupBy("edge.receiver", "relation").count().collect()
+    for at_once in (2, 64):
+        got = edges.relation_counts(cells, positive, relations, 1.1, at_once=at_once)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 80
+    assert edges.relation_counts(cells, positive, relations.limit(0), 1.1).collect() == []
+    plan = registry.QUERIES["jn16_containment_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
