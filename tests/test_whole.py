@@ -1,10 +1,13 @@
 """Whole tables go into results, and pairs of cells become rows only where they are the result."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
-from halofield.operators import edges, spatial
+from halofield.operators import edges, fields, spatial
 from halofield.plans import analysis, registry
 
 
@@ -41,3 +44,28 @@ def test_relations_are_counted_without_edges(spark):
     assert edges.relation_counts(cells, positive, relations.limit(0), 1.1).collect() == []
     plan = registry.QUERIES["jn16_containment_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("dims, most, run", [(2, (16, 40), 300), (3, (4096, 8192), 1 << 22)])
+def test_near_pairs_are_those_of_the_radius_join(spark, dims, most, run):
+    rng = np.random.default_rng(8)
+    at = [tuple(map(float, p)) for p in np.vstack([rng.normal(0, 1, (90, 3)), rng.normal(4, 0.01, (40, 3)), np.ones((20, 3)), [[0, 0.5, 0], [0, 1, 0]]])]
+    odd = [(float("nan"), 0.0, 0.0), (None, 0.0, 0.0), (float("inf"), 0.0, 0.0)]
+    cells = spark.createDataFrame([(f"c{i}", *p) for i, p in enumerate(at + odd)], "cell string, x double, y double, z double")
+    some, others = cells.where("cell < 'c5'"), cells.where("cell > 'c12'")
+    for r, s in ((cells, None), (some, others)):
+        want = sorted(map(tuple, spatial.radius_join(*((r if t is None else t).where("coalesce(x, 0) < 1e300 or isnan(x)") for t in (r, s)), 0.5, dims).collect()))  # which fails on an infinite place
+        assert sorted(map(tuple, fields.near_pairs(r, 0.5, dims, s, most=most, run=run, block=7).collect())) == want and len(want) > 500
+    assert fields.near_pairs(cells.limit(0), 0.5, dims).collect() == []
+
+
+@pytest.mark.parametrize("name", ["jn01_radius_join", "jn01_radius_join_3d", "jn04_radius_join_two_sets"])
+def test_pairs_take_few_bytes(spark, tmp_path, name):
+    """In the order of receivers a pair took 10 bytes, eight of them its distance."""
+    v = np.random.default_rng(9).normal(0, 0.06, (2500, 64)).astype("float32")
+    v[:, 3] = 1  # all express the first gene
+    pq.write_table(pa.table({"vec_id": np.arange(2500), "embedding": list(v), "label": np.arange(2500, dtype="int32") % 5}), f"{tmp_path}/embeddings.parquet")
+    registry.QUERIES[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    files = [pq.read_metadata(f) for f in (tmp_path / "out").glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.column(j).total_compressed_size for g in groups for j in range(3)) < 6 * sum(g.num_rows for g in groups) and sum(g.num_rows for g in groups) > 2_000_000
