@@ -95,13 +95,12 @@ def region_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fld01_kernel_2d", f"WITH {WEIGHED} SELECT receiver, sender, round(weight, 6) + 0 AS weight FROM weighed")
 def kernel_2d(spark: SparkSession, sf: str) -> DataFrame:
-    return fields.weigh(edges(spark, sf), KERNEL).select("receiver", "sender", r("weight").alias("weight"))
+    return fields.weigh(fields.near_pairs(cells(spark, sf), RADIUS, twins=True), KERNEL).select("receiver", "sender", r("weight").alias("weight"))
 
 
 @query("fld02_kernel_3d", f"WITH {CELLS}, edges AS (SELECT a.cell AS receiver, b.cell AS sender, sqrt({GAP3}) AS distance FROM cells a JOIN cells b ON a.cell <> b.cell AND {GAP3} <= 0.2e0 * 0.2e0) SELECT receiver, sender, round({KERNEL3.sql('distance')}, 6) + 0 AS weight FROM edges")
 def kernel_3d(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf)
-    return fields.weigh(spatial.radius_join(c, c, 0.2, 3), KERNEL3).select("receiver", "sender", r("weight").alias("weight"))
+    return fields.weigh(fields.near_pairs(cells(spark, sf), 0.2, 3, twins=True), KERNEL3).select("receiver", "sender", r("weight").alias("weight"))
 
 
 @query("fld03_uniform_field", f"WITH {CELLS}, {EXPR}, {EDGES}, n AS (SELECT receiver, count(*) AS n FROM edges GROUP BY 1) SELECT receiver AS cell, gene, round(sum(value * (1.0e0 / n)), 6) + 0 AS field FROM edges JOIN n USING (receiver) JOIN expr ON sender = cell WHERE value <> 0 GROUP BY 1, 2")
