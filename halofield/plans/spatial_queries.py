@@ -17,11 +17,6 @@ WEIGHED = f"{CELLS}, {EXPR}, {EDGES}, weighed AS (SELECT *, {KERNEL.sql('distanc
 FIELD = f"{WEIGHED}, field AS (SELECT receiver AS cell, gene, sum(weight * value) AS field FROM weighed JOIN expr ON sender = expr.cell WHERE value <> 0 GROUP BY 1, 2)"
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf)
-    return spatial.radius_join(c, c, RADIUS)
-
-
 def kernel(distance: np.ndarray) -> np.ndarray:
     return fields.kernel_values(KERNEL, distance)
 
